@@ -75,10 +75,14 @@ def _pos(a: Column) -> Column:
             .when(ends(T.ADJ_SUFFIXES), "ADJ").otherwise("NOUN"))
 
 
-def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rule-based token table from ``(id, text)`` rows; see the module docstring."""
-    sents = sentence_rows(df, id_col, text_col)
-    toks = sents.select("doc_id", "sent_id", _annotated_array().alias("toks"))
+def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """rule-based token table from ``(id, text)`` rows; see the module docstring.
+
+    ``keep`` columns of the input are carried to every token row (after ``doc_id``)."""
+    keep = tuple(keep)
+    sents = sentence_rows(df, id_col, text_col, keep)
+    toks = sents.select("doc_id", *keep, "sent_id", _annotated_array().alias("toks"))
     # verb positions of the sentence, ascending; first verb is the root
     toks = toks.withColumn("verbs", F.expr(
         "filter(transform(toks, a -> IF(a.pos = 'VERB', a.tok_id, NULL)), v -> v IS NOT NULL)"))
@@ -89,18 +93,18 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         'first_verb', get(verbs, 0),
         'prev_pos', IF(i > 0, get(toks, i - 1).pos, NULL),
         'prev_lw', IF(i > 0, get(toks, i - 1).lw, NULL)))""")
-    rows = toks.select("doc_id", "sent_id", F.inline(linked))
+    rows = toks.select("doc_id", *keep, "sent_id", F.inline(linked))
     head = (F.when(F.col("tok.pos") == "VERB",
                    F.when(F.col("tok.tok_id") == F.col("first_verb"), F.lit(None).cast("int"))
                    .otherwise(F.col("first_verb")))
             .otherwise(F.coalesce("prev_verb", "next_verb")))
     rows = rows.select(
-        "doc_id", "sent_id", F.col("tok.tok_id").alias("tok_id"), F.col("tok.text").alias("text"),
+        "doc_id", *keep, "sent_id", F.col("tok.tok_id").alias("tok_id"), F.col("tok.text").alias("text"),
         F.col("tok.lw").alias("lw"), F.col("tok.pos").alias("pos"),
         F.col("tok.is_punct").alias("is_punct"), head.alias("head_id"),
         "first_verb", "prev_pos", "prev_lw")
     return rows.select(
-        "doc_id", "sent_id", "tok_id", "text",
+        "doc_id", *keep, "sent_id", "tok_id", "text",
         F.col("lw").alias("lemma"), "pos",
         F.expr(T.verb_form_sql("pos", "lw")).alias("verb_form"),
         F.expr(T.dep_sql("pos", "head_id", "tok_id", "prev_pos", "prev_lw", "first_verb")).alias("dep"),

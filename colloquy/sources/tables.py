@@ -19,7 +19,7 @@ UNIT_CATEGORIES = ("ACTEURS", "OBJETS", "LIEUX", "ACTIONS")
 VALENCE_MOD, VALENCE_DUP_MOD = 7, 49               # word in lexicon / listed twice
 EMOTION_MOD, EMOTION_DUP_MOD = 5, 25
 UNIT_MOD = 11
-SESSION_BASE = "2024-01-01 00:00:00"               # session clock: base + conv·1h + turn·30s
+SESSION_BASE_EPOCH = 1704067200                    # session clock: 2024-01-01 UTC + conv·1h + turn·30s
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -115,6 +115,5 @@ def unit_dictionary(vocab: DataFrame) -> DataFrame:
 
 def session_clock(turns_df: DataFrame) -> DataFrame:
     """Adds ``ts`` = base + conv_id hours + turn · 30 s (the live-session stand-in)."""
-    return turns_df.withColumn(
-        "ts", F.to_timestamp(F.lit(SESSION_BASE)) + F.make_dt_interval(
-            F.lit(0), F.col("conv_id").cast("int"), F.lit(0), (F.col("turn") * 30).cast("decimal(18,6)")))
+    secs = F.lit(SESSION_BASE_EPOCH) + F.col("conv_id") * 3600 + F.col("turn") * 30
+    return turns_df.withColumn("ts", F.timestamp_seconds(secs))
