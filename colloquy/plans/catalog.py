@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import dialogue_queries, feature_queries, running_queries, text_queries  # noqa: F401
+from colloquy.plans import dialogue_queries, feature_queries, metric_queries, running_queries, text_queries  # noqa: F401
 from colloquy.plans.registry import QUERIES, Query
 
 
