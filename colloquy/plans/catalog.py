@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.plans import (dialogue_queries, feature_queries, metric_queries, running_queries,  # noqa: F401
-                            sampling_queries, text_queries)
+from colloquy.plans import (dialogue_queries, feature_queries, metric_queries, model_queries,  # noqa: F401
+                            running_queries, sampling_queries, text_queries)
 from colloquy.plans.registry import QUERIES, Query
 
 
