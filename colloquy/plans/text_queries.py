@@ -300,8 +300,12 @@ def q_a14(spark, sf):
     return rounded(d.select("doc_id", *[(F.col(e) / den).alias(f"{e}_rate") for e in EMOTIONS]))
 
 
-_SENT_SQL = ("o_sent2 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS sentence FROM documents), "
-             "vw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(sentence), '\\s+')) AS word FROM o_sent2)")
+def _sent_sql(table: str = "documents") -> str:
+    return (f"o_sent2 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS sentence FROM {table}), "
+            "vw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(sentence), '\\s+')) AS word FROM o_sent2)")
+
+
+_SENT_SQL = _sent_sql()
 
 
 @register("a15", _lex_sql(", " + _SENT_SQL + """,
@@ -365,7 +369,7 @@ def _concepts(spark, sf):
 
 # --- A20 / A21: the wide row ----------------------------------------------------------------------
 
-def _wide_sql(a: float, emotion_normalised: bool, flat_units: bool) -> str:
+def _wide_sql(a: float, emotion_normalised: bool, flat_units: bool, sent_table: str = "documents") -> str:
     unit_join = ("JOIN unit_flat ON lower(tok.lemma) = unit_flat.unit" if flat_units
                  else "JOIN unit_cat ON lower(tok.lemma) = unit_cat.unit")
     cat = "CAST(NULL AS VARCHAR)" if flat_units else "category"
@@ -373,7 +377,7 @@ def _wide_sql(a: float, emotion_normalised: bool, flat_units: bool) -> str:
         (f"{rsql(f'coalesce(es.{e}, 0) / nullif(syn.total, 0)')} AS {e}_rate" if emotion_normalised
          else f"{rsql(f'coalesce(es.{e}, 0)')} AS {e}_rate") for e in EMOTIONS)
     rates = ", ".join(f"syn.{c}" for c in Y.RATE_NAMES.values())
-    return (_SYN_SQL + _div_sql(a) + _EMO_SQL + "," + _SENT_SQL + f""",
+    return (_SYN_SQL + _div_sql(a) + _EMO_SQL + "," + _sent_sql(sent_table) + f""",
   vs AS (SELECT doc_id, CAST(sum(value) AS BIGINT) AS s FROM vw JOIN valence USING (word) WHERE word <> '' GROUP BY 1),
   fs AS (SELECT doc_id, avg(c) AS mean_f, max(c) - min(c) AS range_f, stddev_pop(c) AS std_f FROM
          (SELECT doc_id, text, count(*) AS c FROM tok WHERE {_COUNTABLE} AND pos <> 'DET' GROUP BY 1, 2) GROUP BY 1),
