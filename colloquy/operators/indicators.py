@@ -7,6 +7,7 @@ their aggregation, so the joins add no further exchange of the big inputs).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +42,22 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
     """
     duration = duration if duration is not None else F.lit(BATCH_DURATION_SECONDS)
     base = docs.select("doc_id", duration.cast("double").alias("duration"))
-    tok = tokens if tokens is not None else annotate(docs)
+    # several aggregates read the token table: annotate once, keep it (memory, then disk)
+    tok = (tokens if tokens is not None else annotate(docs)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    syn = syntax.syntax_rates(tok, conj_tags)
-    freqs = lexical.text_frequencies(tok)
-    fstats = lexical.frequency_stats(freqs)
-    vocab = lexical.vocabulary_counts(freqs)
-    n_doc = tok.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_doc"))
-    emo = _emotion_from_freqs(freqs, emotions)
+    syn = syntax.syntax_rates(tok, conj_tags)                      # aggregate 1: (doc, sentence)
+    words = lexical.word_table(tok)                                  # aggregate 2: (doc, text, lemma)
+    texts = lexical.text_table(words)
+    emo = lexicon.first_wins(emotions, "word", "line_no", list(EMOTIONS))
+    texts = texts.withColumn("word", F.lower("text")).join(lexicon.small_side(emo), "word", "left")
+    emo_sums = [F.sum(F.when(F.col("freq") > 0, F.col("freq") * F.coalesce(F.col(e), F.lit(0))))
+                .cast("bigint").alias(e) for e in EMOTIONS]
+    wm = lexical.word_measures(texts, emo_sums)
     val = lexicon.valence_scores(sentence_rows(docs), valence)
-    counts = lexicon.unit_counts(tok, dictionary=dictionary, units=units)
+    counts = lexicon.unit_counts_from_words(words, dictionary=dictionary, units=units)
 
-    row = (base.join(syn, "doc_id", "left").join(fstats, "doc_id", "left")
-               .join(vocab, "doc_id", "left").join(n_doc, "doc_id", "left")
-               .join(emo, "doc_id", "left").join(val, "doc_id", "left"))
+    row = (base.join(syn, "doc_id", "left").join(wm, "doc_id", "left")
+               .join(val, "doc_id", "left"))
     row = row.fillna(0, ["total_words", "V", "v1", "n_doc", "Score_AFINN", *EMOTIONS])
     words = F.col("total_words").cast("double")
     emo_cols = [

@@ -39,6 +39,36 @@ def text_frequencies(tokens: DataFrame) -> DataFrame:
         F.sum((F.col("pos") != "DET").cast("int")).alias("freq_nodet")))
 
 
+def word_table(tokens: DataFrame) -> DataFrame:
+    """One aggregate for every word-level measure: per ``(doc, text, lemma)`` the countable
+    frequency (``freq``), the same without determiners (``freq_nodet``) and all occurrences
+    (``n_all``, for unit look-ups by lemma)."""
+    cond = _countable()
+    return tokens.groupBy("doc_id", "text", "lemma").agg(
+        F.sum(cond.cast("long")).alias("freq"),
+        F.sum((cond & (F.col("pos") != "DET")).cast("long")).alias("freq_nodet"),
+        F.count(F.lit(1)).alias("n_all"))
+
+
+def text_table(words: DataFrame) -> DataFrame:
+    """Per ``(doc, text)`` sums of :func:`word_table` (a text under two lemmas counts once)."""
+    return words.groupBy("doc_id", "text").agg(F.sum("freq").alias("freq"),
+                                                 F.sum("freq_nodet").alias("freq_nodet"))
+
+
+def word_measures(texts: DataFrame, extra: list[Column] | None = None) -> DataFrame:
+    """A2 + A3 per document in one aggregation over :func:`text_table` rows, plus ``extra``
+    aggregates over the same rows (e.g. emotion sums)."""
+    nd = F.when(F.col("freq_nodet") > 0, F.col("freq_nodet"))
+    return texts.groupBy("doc_id").agg(
+        F.sum((F.col("freq") > 0).cast("long")).alias("V"),
+        F.sum((F.col("freq") == 1).cast("long")).alias("v1"),
+        F.avg(nd).alias("mean_freq_words"),
+        (F.max(nd) - F.min(nd)).cast("bigint").alias("range_freq_words"),
+        F.stddev_pop(nd).alias("std_freq_words"),
+        *(extra or []))
+
+
 def frequency_stats(freqs: DataFrame) -> DataFrame:
     """A2: mean, range (max − min) and population std of the non-DET frequencies."""
     f = freqs.filter(F.col("freq_nodet") > 0)

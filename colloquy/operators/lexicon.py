@@ -132,6 +132,18 @@ def unit_counts(tokens: DataFrame, dictionary: DataFrame | None = None,
     return t.groupBy("doc_id", "category", "unit").agg(F.count(F.lit(1)).alias("count"))
 
 
+def unit_counts_from_words(words: DataFrame, dictionary: DataFrame | None = None,
+                           units: DataFrame | None = None) -> DataFrame:
+    """A16 from the ``(doc, text, lemma, n_all)`` word table (no second pass over tokens)."""
+    w = words.select("doc_id", F.lower("lemma").alias("unit"), "n_all")
+    if dictionary is not None:
+        w = w.join(small_side(unit_categories(dictionary)), "unit")
+    else:
+        w = w.join(small_side(units.select("unit").distinct()), "unit") \
+             .withColumn("category", F.lit(None).cast("string"))
+    return w.groupBy("doc_id", "category", "unit").agg(F.sum("n_all").alias("count"))
+
+
 def unit_maps(counts: DataFrame, total_words: DataFrame, by_category: bool = True) -> DataFrame:
     """A16/A17 as maps: ``has_unit`` (nested or flat) and ``ratio_unit`` = count / words."""
     c = counts.join(total_words, "doc_id")

@@ -47,7 +47,7 @@ def sentence_stats(tokens: DataFrame, conj_tags: tuple[str, ...] = ("CONJ",)) ->
         tag_counts.append(cnt(cond).alias(f"n_{tag}"))
     non_stop_lemma = word & ~F.col("lemma").isin(list(STOP_WORDS))
     agg = tokens.groupBy("doc_id", "sent_id").agg(
-        cnt(word).alias("total"), *tag_counts,
+        F.count(F.lit(1)).alias("n_tokens"), cnt(word).alias("total"), *tag_counts,
         cnt(verb & (F.col("verb_form") == "Inf")).alias("n_vinf"),
         cnt(verb & F.col("verb_form").isNotNull() & (F.col("verb_form") != "Inf")).alias("n_vconj"),
         cnt(F.col("dep").isin(list(SUBCLAUSE_DEPS))).alias("n_sub"),
@@ -60,7 +60,7 @@ def sentence_stats(tokens: DataFrame, conj_tags: tuple[str, ...] = ("CONJ",)) ->
     )
     flag = lambda heads: F.coalesce(F.arrays_overlap("verbs", heads), F.lit(False)).cast("long")
     return agg.select(
-        "doc_id", "sent_id", "total", *[f"n_{t}" for t in RATE_TAGS], "n_vinf", "n_vconj", "n_sub",
+        "doc_id", "sent_id", "n_tokens", "total", *[f"n_{t}" for t in RATE_TAGS], "n_vinf", "n_vconj", "n_sub",
         (F.col("n_lemma_tokens") - F.col("n_lemma_distinct")).alias("repetition"),
         flag("obj_heads").alias("has_obj"), flag("subj_heads").alias("has_subj"),
         flag("aux_heads").alias("has_aux"))
@@ -72,7 +72,8 @@ def syntax_rates(tokens: DataFrame, conj_tags: tuple[str, ...] = ("CONJ",)) -> D
     s = sentence_stats(tokens, conj_tags)
     sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in RATE_TAGS]
     d = s.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_sentences"), F.sum("total").alias("total_words"), *sums,
+        F.count(F.lit(1)).alias("n_sentences"), F.sum("n_tokens").alias("n_doc"),
+        F.sum("total").alias("total_words"), *sums,
         F.sum("n_vinf").alias("n_vinf"), F.sum("n_vconj").alias("n_vconj"),
         F.sum("n_sub").alias("n_sub"), F.sum("repetition").alias("repetition_cons_rate"),
         F.sum("has_obj").alias("n_obj"), F.sum("has_subj").alias("n_subj"),
@@ -92,4 +93,5 @@ def syntax_rates(tokens: DataFrame, conj_tags: tuple[str, ...] = ("CONJ",)) -> D
         F.when(verbs > 0, F.col("n_vinf") / verbs).otherwise(F.lit(0.0)).alias("verb_inf_rate"),
         F.col("total_words").cast("bigint").alias("total_words"),
         F.col("n_sentences").cast("bigint").alias("n_sentences"),
+        F.col("n_doc").cast("bigint").alias("n_doc"),
     )

@@ -7,6 +7,7 @@ lexicons from the corpus vocabulary by an md5 rule (the same rule the SQL oracle
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +73,12 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pat = F.lit(WORD_RE)
     d = read(spark, sf_dir, "documents", "text")
     c = read(spark, sf_dir, "conversations", "text")
-    w = (d.unionByName(c)
+    w = (spread(d.unionByName(c))
           .select(F.explode(F.regexp_extract_all(F.lower("text"), pat, 0)).alias("word"))
           .distinct())
-    return w.withColumn("h", md5_int("word"))
+    # three lexicons and their size checks read it: computed once, kept (identical plans
+    # share the cache entry, so repeated calls do not recompute it either)
+    return w.withColumn("h", md5_int("word")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def valence_lexicon(vocab: DataFrame) -> DataFrame:
