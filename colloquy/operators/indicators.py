@@ -56,7 +56,7 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
     val = lexicon.valence_scores(sentence_rows(docs), valence)
     counts = lexicon.unit_counts_from_words(words, dictionary=dictionary, units=units)
 
-    row = (base.join(syn, "doc_id", "left").join(wm, "doc_id", "left")
+    row = (base.join(syn.drop("n_doc"), "doc_id", "left").join(wm, "doc_id", "left")
                .join(val, "doc_id", "left"))
     row = row.fillna(0, ["total_words", "V", "v1", "n_doc", "Score_AFINN", *EMOTIONS])
     words = F.col("total_words").cast("double")

@@ -53,7 +53,8 @@ def word_table(tokens: DataFrame) -> DataFrame:
 def text_table(words: DataFrame) -> DataFrame:
     """Per ``(doc, text)`` sums of :func:`word_table` (a text under two lemmas counts once)."""
     return words.groupBy("doc_id", "text").agg(F.sum("freq").alias("freq"),
-                                                 F.sum("freq_nodet").alias("freq_nodet"))
+                                                 F.sum("freq_nodet").alias("freq_nodet"),
+                                                 F.sum("n_all").alias("n_all"))
 
 
 def word_measures(texts: DataFrame, extra: list[Column] | None = None) -> DataFrame:
@@ -66,6 +67,7 @@ def word_measures(texts: DataFrame, extra: list[Column] | None = None) -> DataFr
         F.avg(nd).alias("mean_freq_words"),
         (F.max(nd) - F.min(nd)).cast("bigint").alias("range_freq_words"),
         F.stddev_pop(nd).alias("std_freq_words"),
+        F.sum("n_all").alias("n_doc"),
         *(extra or []))
 
 
@@ -102,8 +104,7 @@ def diversity(n_doc: Column, V: Column, v1: Column, a: float = REFERENCE_BRUNET_
 
 
 def lexical_diversity(tokens: DataFrame, a: float = REFERENCE_BRUNET_A) -> DataFrame:
-    """A3–A6 per document: ``n_doc, V, v1, Brunet_index, Honore_statistic, TTR``."""
-    counts = token_counts(tokens)
-    vc = vocabulary_counts(text_frequencies(tokens))
-    d = counts.join(vc, "doc_id", "left").fillna(0, ["V", "v1"])
+    """A3–A6 per document: ``n_doc, V, v1, Brunet_index, Honore_statistic, TTR`` — one pass:
+    N is the sum of all occurrences in the same word-level aggregate."""
+    d = word_measures(text_table(word_table(tokens)))
     return d.select("doc_id", "n_doc", "V", "v1", *diversity(F.col("n_doc"), F.col("V"), F.col("v1"), a))
