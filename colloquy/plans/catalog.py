@@ -16,4 +16,5 @@ def all_queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a4"].run(spark, sf_dir)
+    """SURVEY 7.2 slice: lexical profile of every patient dialogue."""
+    return QUERIES["slice"].run(spark, sf_dir)

@@ -156,3 +156,80 @@ def q_k3(spark, sf):
     back = spark.read.parquet(path).filter(F.col("partof") == 1)
     dec = back.select("participant_id", "partof", F.from_json("indicateur", Fe.indicator_schema()).alias("i"))
     return dec.select("participant_id", "partof", F.col("i.TTR").alias("TTR"), F.col("i.total_words").alias("total_words"))
+
+
+# --- inventory items otherwise covered only inside larger queries --------------------------------
+
+from colloquy.operators import dialogue as D  # noqa: E402
+from colloquy.operators import lexical as L  # noqa: E402
+from colloquy.plans.dialogue_queries import NOTES_SQL, SENTS_SQL, TURNS_SQL  # noqa: E402
+from colloquy.plans.registry import QUERIES  # noqa: E402
+
+
+@register("j1", f"WITH {NOTES_SQL} SELECT DISTINCT t.conv_id FROM turns t JOIN notes n USING (conv_id)")
+def q_j1(spark, sf):
+    """Transcripts joined to their case notes on the conversation key."""
+    t = S.turns(spark, sf)
+    sents = D.transcript_sentences(t)
+    notes = D.standin_notes(sents)
+    return t.select("conv_id").distinct().join(notes.select("conv_id").distinct(), "conv_id")
+
+
+@register("f4", f"WITH {SENTS_SQL} SELECT conv_id, turn, pos, sentence FROM ts0")
+def q_f4(spark, sf):
+    """List of sentences of each turn → one row per sentence with its position."""
+    t = S.turns(spark, sf)
+    from colloquy.functions.text import sentences
+    return t.select("conv_id", "turn", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")) \
+            .withColumn("pos", F.col("pos").cast("int"))
+
+
+_SLICE_SRC = ("SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations "
+              "WHERE role = 'user' GROUP BY conv_id")
+_SLICE_SQL = (f"WITH src AS ({_SLICE_SRC}),{tokens_cte('src')}, n AS (SELECT doc_id, count(*) AS n_doc FROM tok GROUP BY 1), "
+              "f AS (SELECT doc_id, text, count(*) AS c, sum(CASE WHEN pos <> 'DET' THEN 1 ELSE 0 END) AS cn FROM tok "
+              "WHERE NOT is_punct AND NOT is_stop AND NOT contains(text, chr(10)) GROUP BY 1, 2), "
+              "v AS (SELECT doc_id, count(*) AS V, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS v1, "
+              "avg(CASE WHEN cn > 0 THEN cn END) AS mf, max(CASE WHEN cn > 0 THEN cn END) - min(CASE WHEN cn > 0 THEN cn END) AS rf, "
+              "stddev_pop(CASE WHEN cn > 0 THEN cn END) AS sf FROM f GROUP BY 1) "
+              "SELECT n.doc_id AS conv_id, n.n_doc, CAST(coalesce(v.V, 0) AS BIGINT) AS V, CAST(coalesce(v.v1, 0) AS BIGINT) AS v1, "
+              f"{rsql('CASE WHEN coalesce(v.V, 0) > 0 THEN pow(n.n_doc, pow(v.V, -0.165)) END')} AS Brunet_index, "
+              f"{rsql('CASE WHEN coalesce(v.v1, 0) <> n.n_doc THEN 100.0 * ln(n.n_doc) / (1.0 - coalesce(v.v1, 0) / n.n_doc) END')} AS Honore_statistic, "
+              f"{rsql('coalesce(v.v1, 0) / n.n_doc')} AS TTR, {rsql('v.mf')} AS mean_freq_words, CAST(v.rf AS BIGINT) AS range_freq_words, "
+              f"{rsql('v.sf')} AS std_freq_words FROM n LEFT JOIN v USING (doc_id)")
+
+
+@register("slice", _SLICE_SQL)
+def q_slice(spark, sf):
+    """SURVEY 7.2 slice: patient dialogue of each conversation → tokens → N, V, hapax, Brunet,
+    Honoré, TTR and frequency mean/range/std."""
+    dia = D.patient_dialogue(S.turns(spark, sf)).select(F.col("conv_id").alias("doc_id"), F.col("dialogue").alias("text"))
+    tok = annotate(S.spread(dia))
+    d = L.word_measures(L.text_table(L.word_table(tok)))
+    out = d.select(F.col("doc_id").alias("conv_id"), "n_doc", F.coalesce("V", F.lit(0)).alias("V"),
+                   F.coalesce("v1", F.lit(0)).alias("v1"),
+                   *L.diversity(F.col("n_doc"), F.coalesce("V", F.lit(0)), F.coalesce("v1", F.lit(0))),
+                   "mean_freq_words", "range_freq_words", "std_freq_words")
+    return rounded(out)
+
+
+@register("k6", QUERIES["w3"].sql)
+def q_k6(spark, sf):
+    """Session snapshot sink: every row written by the foreachBatch writer, read back."""
+    from colloquy.plans.stream_queries import _lex, _staged_phrases
+    from colloquy.streaming import session as St
+    emo, units = _lex(spark, sf)
+    stream = St.session_stream(_staged_phrases(spark, sf), emo, units)
+    snap, ckpt = St.scratch(spark, "snapshot-k6"), St.scratch(spark, "snapshot-k6-ckpt")
+    St.run_to_end(stream, snap, ckpt, batch_fn=St.snapshot_writer(snap))
+    return rounded(spark.read.parquet(snap).select("conv_id", "phrase", "turn", *R.RUNNING_SERIES))
+
+
+@register("s18")
+def q_s18(spark, sf):
+    """Persisted pipeline model loaded back and applied to the test split (rows-only)."""
+    from colloquy.operators import models as Mo
+    from colloquy.plans.model_queries import frames
+    train, test = frames(spark, sf)
+    path = Mo.save_model(Mo.fit_pipeline([Mo.gradient_boosting(max_iter=20)], train), "s18_boosting", spark)
+    return Mo.load_model(path).transform(test).select("participant_id", "label", "prediction")
