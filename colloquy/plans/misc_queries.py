@@ -83,8 +83,9 @@ def q_p21(spark, sf):
 
 
 @register("p23", f"WITH src AS ({DOCS}),{tokens_cte('src')} SELECT doc_id, "
-                 "sum(CASE WHEN is_punct THEN 1 ELSE 0 END) AS n_punct, sum(CASE WHEN is_stop THEN 1 ELSE 0 END) AS n_stop, "
-                 "sum(CASE WHEN pos = 'DET' THEN 1 ELSE 0 END) AS n_det, sum(CASE WHEN contains(text, chr(10)) OR is_space THEN 1 ELSE 0 END) AS n_space "
+                 "CAST(sum(CASE WHEN is_punct THEN 1 ELSE 0 END) AS BIGINT) AS n_punct, CAST(sum(CASE WHEN is_stop THEN 1 ELSE 0 END) AS BIGINT) AS n_stop, "
+                 "CAST(sum(CASE WHEN pos = 'DET' THEN 1 ELSE 0 END) AS BIGINT) AS n_det, "
+                 "CAST(sum(CASE WHEN contains(text, chr(10)) OR is_space THEN 1 ELSE 0 END) AS BIGINT) AS n_space "
                  "FROM tok GROUP BY doc_id")
 def q_p23(spark, sf):
     """Token predicates per document: punctuation, stop words, determiners, blanks."""

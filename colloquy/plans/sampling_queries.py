@@ -34,7 +34,7 @@ def _round_vec(col: str) -> str:
 def q_m7(spark, sf):
     """Exact 5 nearest neighbours of every embedding within its class."""
     nn = Sm.knn(_emb(spark, sf), "id", "vec", K, group="cls")
-    return nn.select("cls", "id", "nid", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
+    return nn.select(F.col("cls").cast("int").alias("cls"), "id", "nid", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
 def _synth_sql(quota_ctes: str, knn_name: str) -> str:
@@ -64,7 +64,7 @@ _ADASYN_Q = (f"WITH {EMB_SQL}, {_CNT}, {_knn_sql('nn', True)}, {_knn_sql('nall',
 
 def _out(df):
     return df.select(F.col("id"), F.col("cls"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"),
-                     "synthetic", "source_id", "s")
+                     "synthetic", "source_id", F.col("s").cast("int").alias("s"))
 
 
 @register("m5", _synth_sql(_SMOTE_Q, "nn"))
