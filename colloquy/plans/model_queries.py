@@ -21,6 +21,14 @@ from colloquy.plans.feature_queries import _features
 from colloquy.plans.registry import register, rounded
 from colloquy.session import cut_lineage
 
+
+def _in_parallel(fns):
+    """Runs independent fits as concurrent Spark jobs (as CrossValidator's parallelism does)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(fns)) as pool:
+        return [f.result() for f in [pool.submit(fn) for fn in fns]]
+
+
 NUMERIC = INDICATOR_COLUMNS
 
 
@@ -73,10 +81,10 @@ def q_m11(spark, sf):
 def q_m12(spark, sf):
     """Gradient boosting 100 × depth 3, plain and with balanced sample weights."""
     train, test = frames(spark, sf)
-    plain = _scored(Mo.gradient_boosting().fit(train), test, "plain")
     wtrain = Fe.balanced_weights(train, "label")
-    weighted = _scored(Mo.gradient_boosting(weight_col="weight").fit(wtrain), test, "weighted")
-    return plain.unionByName(weighted)
+    plain_m, weighted_m = _in_parallel([lambda: Mo.gradient_boosting().fit(train),
+                                        lambda: Mo.gradient_boosting(weight_col="weight").fit(wtrain)])
+    return _scored(plain_m, test, "plain").unionByName(_scored(weighted_m, test, "weighted"))
 
 
 @register("m13")
@@ -136,9 +144,11 @@ def _resampled(train: DataFrame, how: str) -> DataFrame:
 def q_m24(spark, sf):
     """Gradient boosting on raw, SMOTE and ADASYN training data, one report table."""
     train, test = frames(spark, sf)
+    variants = ("raw", "smote", "adasyn")
+    sets = {v: cut_lineage(_resampled(train, v)) for v in variants}
+    models = _in_parallel([lambda v=v: Mo.gradient_boosting().fit(sets[v]) for v in variants])
     tables = []
-    for variant in ("raw", "smote", "adasyn"):
-        model = Mo.gradient_boosting().fit(_resampled(train, variant))
+    for variant, model in zip(variants, models):
         scored = Mo.positive_probability(model.transform(test)).withColumn("variant", F.lit(variant))
         conf = M.confusion(scored, keys=["variant"])
         rep = M.classification_report(conf, keys=["variant"])
