@@ -96,12 +96,22 @@ def differences(levels: DataFrame, series: list[str] = RUNNING_SERIES) -> DataFr
         first_difference(F.col(s), F.col(f"_prev_{s}")).alias(f"delta_{s}") for s in series])
 
 
-def running_text(phr: DataFrame) -> DataFrame:
-    """Accumulated text after each phrase (output grows quadratically; on request only)."""
-    w = (Window.partitionBy("conv_id").orderBy("phrase")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return phr.select("conv_id", "phrase",
-                      F.array_join(F.collect_list("text").over(w), " ").alias("texte"))
+def running_text(phr: DataFrame, block: int = 256) -> DataFrame:
+    """Accumulated text after each phrase (output grows quadratically; on request only).
+
+    Blocked like :mod:`colloquy.operators.sequence`: a running join inside each block of
+    ``block`` phrases, plus the joined text of all earlier blocks (one row per block)."""
+    b = phr.withColumn("_blk", F.floor(F.col("phrase") / F.lit(block)).cast("long"))
+    inner = (Window.partitionBy("conv_id", "_blk").orderBy("phrase")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    b = b.withColumn("_in", F.array_join(F.collect_list("text").over(inner), " "))
+    blocks = b.groupBy("conv_id", "_blk").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("phrase", "text"))), lambda x: x["text"]), " ").alias("_bt"))
+    outer = Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("conv_id", "_blk", F.array_join(F.collect_list("_bt").over(outer), " ").alias("_pre"))
+    out = b.join(blocks, ["conv_id", "_blk"])
+    texte = F.when(F.col("_pre") == "", F.col("_in")).otherwise(F.concat(F.col("_pre"), F.lit(" "), F.col("_in")))
+    return out.select("conv_id", "phrase", texte.alias("texte"))
 
 
 def elapsed_seconds(events: DataFrame, key: str = "conv_id", ts: str = "ts") -> DataFrame:

@@ -58,3 +58,11 @@ def test_casenote_layout(spark):
     assert D.unmatched_elements(notes, sents).count() == 1
     src = D.casenote_text(notes, sents, include_source=True).first()["note"]
     assert '"I sleep badly." => sleep issue' in src
+
+
+def test_running_text_blocked(spark):
+    phr = spark.createDataFrame([(1, i, i, f"p{i}.") for i in range(7)] + [(2, 0, 0, "q0.")],
+                                "conv_id long, phrase long, turn long, text string")
+    got = {(r["conv_id"], r["phrase"]): r["texte"] for r in R.running_text(phr, block=3).collect()}
+    assert got[(1, 0)] == "p0." and got[(1, 6)] == " ".join(f"p{i}." for i in range(7))
+    assert got[(1, 4)] == "p0. p1. p2. p3. p4." and got[(2, 0)] == "q0."
