@@ -157,26 +157,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_phrases(phr: DataFrame, path: str, pieces: int = 3) -> None:
-    """Writes the phrase table as ``pieces`` successive file sets (by phrase order), so
-    that a file-source stream reads it in several micro-batches."""
-    mx = phr.agg(F.max("phrase")).first()[0] or 0
-    step = mx // pieces + 1
-    for i in range(pieces):
-        part = phr.filter((F.col("phrase") >= i * step) & (F.col("phrase") < (i + 1) * step))
-        part.write.mode("append").parquet(path)
+def state_partitions(spark: SparkSession) -> int:
+    """State partitions of a new stream (fixed for its lifetime by its checkpoint): the
+    ``colloquy.stream.partitions`` setting, else the cluster's default parallelism."""
+    conf = spark.conf.get("colloquy.stream.partitions", None)
+    return int(conf) if conf else spark.sparkContext.defaultParallelism
 
 
 def run_to_end(stream_df: DataFrame, sink: str, ckpt: str, mode: str = "append",
                batch_fn=None) -> None:
-    """Runs a streaming DataFrame over all available input (``availableNow``) into parquet."""
+    """Runs a streaming DataFrame over all available input (``availableNow``) into parquet.
+
+    The state store is RocksDB; the stream's shuffle/state partition count is set from
+    :func:`state_partitions` while the query starts and the session value is restored."""
     spark = stream_df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    w = stream_df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if batch_fn is None:
-        q = w.format("parquet").option("path", sink).start()
-    else:
-        q = w.foreachBatch(batch_fn).start()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions(spark)))
+    try:
+        w = stream_df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+        if batch_fn is None:
+            q = w.format("parquet").option("path", sink).start()
+        else:
+            q = w.foreachBatch(batch_fn).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
 
 
