@@ -127,8 +127,10 @@ def q_s7(spark, sf):
                    F.when(F.col("role") == "system", "summary").otherwise(F.lit("")).alias("Sub_topic"),
                    F.col("turn").cast("string").alias("ID"),
                    F.when(F.col("role") == "user", "P").otherwise("T").alias("Type"),
-                   F.col("role").alias("Dialogue_Act"), F.lit("").alias("Emotion"), F.col("turn").alias("row"),
+                   F.col("role").alias("Dialogue_Act"), F.lit("").alias("Emotion"), F.col("turn").alias("_row"),
                    D.split_name(F.col("conv_id")).alias("split"), F.col("conv_id").alias("note"))
+    # one file per note, lines in turn order (the layout has no row column)
+    out = out.repartition("split", "note").sortWithinPartitions("split", "note", "_row").drop("_row")
     K.write_csv(out, path, partition_by=["split", "note"])
     u = Fi.read_utterance_csv(spark, path)
     return u.select("note", "row", "Utterance", "Type", "split")

@@ -73,12 +73,16 @@ def read_unit_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def read_utterance_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted comma CSV, header skipped, six fields; the note id from the file name and
-    the split from the folder."""
+def read_utterance_csv(spark: SparkSession, path: str, note_pattern: str = r"note=(\d+)",
+                       split_pattern: str = r"split=(\w+)") -> DataFrame:
+    """Quoted comma CSV, header skipped, six fields; the note id from the file path, the
+    split from the folder, ``row`` = position of the line in its file (0-based)."""
+    from colloquy.operators.sequence import dense_ordinal
     df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", True).schema(UTTERANCE_SCHEMA + ", row LONG").csv(path))
-    return df.withColumn("note", path_key(r"note=(\d+)")).withColumn("split", path_key(r"split=(\w+)", cast=None))
+          .option("multiLine", True).schema(UTTERANCE_SCHEMA).csv(path))
+    df = df.select(path_key(note_pattern).alias("note"), path_key(split_pattern, cast=None).alias("split"),
+                   *file_order(), *[c for c in df.columns if c not in ("note", "split")])
+    return dense_ordinal(df, ["_file"], ["_pos"], out="row").drop("_file", "_pos")
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
