@@ -29,11 +29,20 @@ def _staged_turns(spark, sf):
     path = scratch(spark, "turns-tsv")
     t = S.turns(spark, sf).select("conv_id", "turn", "speaker", F.col("text").alias("original"),
                                    F.col("text").alias("traduit"))
-    K.write_tsv(t.select("speaker", "original", "traduit", "turn", "conv_id"), path, partition_by="conv_id")
+    _write_turn_files(t, path)
     return path
 
 
-@register("s1", f"WITH {TURNS_SQL} SELECT conv_id, turn, speaker, text AS original FROM turns")
+def _write_turn_files(t, path):
+    """One TSV file per conversation, lines in turn order, layout columns only."""
+    out = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    K.write_tsv(out.select("speaker", "original", "traduit", "conv_id"), path, partition_by="conv_id")
+
+
+_POS_TURNS = f"{TURNS_SQL}, pt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, speaker, text FROM turns)"
+
+
+@register("s1", f"WITH {_POS_TURNS} SELECT conv_id, turn, speaker, text AS original FROM pt")
 def q_s1(spark, sf):
     """Turn TSV files (header, one folder per conversation) read back with their keys."""
     t = Fi.read_turn_tsv(spark, _staged_turns(spark, sf))
@@ -46,8 +55,8 @@ def q_s11(spark, sf):
     return Fi.read_turn_tsv(spark, _staged_turns(spark, sf)).select("conv_id").distinct()
 
 
-@register("s12", f"WITH {TURNS_SQL} SELECT conv_id, turn FROM turns WHERE conv_id IN "
-                 "(SELECT DISTINCT conv_id FROM turns ORDER BY conv_id LIMIT 20)")
+@register("s12", f"WITH {_POS_TURNS} SELECT conv_id, turn FROM pt WHERE conv_id IN "
+                 "(SELECT DISTINCT conv_id FROM pt ORDER BY conv_id LIMIT 20)")
 def q_s12(spark, sf):
     """Directory scan capped to the first 20 files by key."""
     t = Fi.read_turn_tsv(spark, _staged_turns(spark, sf))
@@ -145,6 +154,7 @@ def q_s8(spark, sf):
              .when(F.col("role") == "user", D.PATIENT_NAME).otherwise(F.col("role")))
     out = c.select((F.col("turn") * 30).cast("string").alias("start"), (F.col("turn") * 30 + 29).cast("string").alias("stop"),
                    name.alias("speaker"), F.col("text").alias("value"), "turn", "conv_id")
+    out = out.repartition("conv_id").sortWithinPartitions("conv_id", "turn").drop("turn")
     K.write_tsv(out, path, partition_by="conv_id", header=False)
     return Fi.read_export(spark, path).select("conv_id", "turn", "speaker", "value")
 
@@ -243,13 +253,15 @@ def q_s17(spark, sf):
     return empty.unionByName(Fi.read_or_empty(spark, path, schema))
 
 
-@register("k1", QUERIES["f13"].sql)
+@register("k1", QUERIES["f13"].sql.replace("SELECT t.conv_id, t.turn, coalesce(gl.traduit, '') AS traduit FROM turns t LEFT JOIN gl USING (text)",
+                                          "SELECT t.conv_id, row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn) - 1 AS turn, "
+                                          "coalesce(gl.traduit, '') AS traduit FROM turns t LEFT JOIN gl USING (text)"))
 def q_k1(spark, sf):
     """Turn TSV writer with the glossed text, read back."""
     path = scratch(spark, "turns-gloss")
     lex = D.standin_bilingual(S.vocabulary(spark, sf))
     t = D.gloss(S.turns(spark, sf), "text", lex)
-    K.write_tsv(t.select("speaker", F.col("text").alias("original"), "traduit", "turn", "conv_id"), path, partition_by="conv_id")
+    _write_turn_files(t.select("conv_id", "turn", "speaker", F.col("text").alias("original"), "traduit"), path)
     r = Fi.read_turn_tsv(spark, path)
     return r.select("conv_id", "turn", F.coalesce("traduit", F.lit("")).alias("traduit"))
 

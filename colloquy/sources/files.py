@@ -37,9 +37,12 @@ def file_order() -> list[Column]:
 def read_turn_tsv(spark: SparkSession, path: str, key_pattern: str = r"conv_id=(\d+)") -> DataFrame:
     """S1 + S11: tab-separated turn files with header; the file key becomes ``conv_id`` and
     the line order inside each file becomes ``turn`` (0-based)."""
+    from colloquy.operators.sequence import dense_ordinal
     df = (spark.read.option("sep", "\t").option("header", True).option("multiLine", True)
-          .schema(TURN_TSV_SCHEMA + ", turn LONG").csv(path))
-    return df.withColumn("conv_id", path_key(key_pattern))
+          .schema(TURN_TSV_SCHEMA).csv(path))
+    df = df.select(path_key(key_pattern).alias("conv_id"), *file_order(),
+                   *[c for c in df.columns if c != "conv_id"])
+    return dense_ordinal(df, ["_file"], ["_pos"], out="turn").drop("_file", "_pos")
 
 
 def read_valence_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -88,9 +91,12 @@ def read_utterance_csv(spark: SparkSession, path: str, note_pattern: str = r"not
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Interview export: tab-joined ``start, stop, speaker, value``; the whole value
     is kept (the reference lost anything after a comma)."""
+    from colloquy.operators.sequence import dense_ordinal
     df = (spark.read.option("sep", "\t").option("header", False).option("multiLine", True)
-          .schema(EXPORT_SCHEMA + ", turn LONG").csv(path))
-    return df.withColumn("conv_id", path_key(r"conv_id=(\d+)"))
+          .schema(EXPORT_SCHEMA).csv(path))
+    df = df.select(path_key(r"conv_id=(\d+)").alias("conv_id"), *file_order(),
+                   *[c for c in df.columns if c != "conv_id"])
+    return dense_ordinal(df, ["_file"], ["_pos"], out="turn").drop("_file", "_pos")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
