@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.functions.text import NUM_TEST_RE, WORD_RE, pos_sql
 from colloquy.operators import features as Fe
@@ -163,7 +162,7 @@ def q_k3(spark, sf):
 
 from colloquy.operators import dialogue as D  # noqa: E402
 from colloquy.operators import lexical as L  # noqa: E402
-from colloquy.plans.dialogue_queries import NOTES_SQL, SENTS_SQL, TURNS_SQL  # noqa: E402
+from colloquy.plans.dialogue_queries import NOTES_SQL, SENTS_SQL  # noqa: E402
 from colloquy.plans.registry import QUERIES  # noqa: E402
 
 

@@ -8,13 +8,14 @@ results equal the batch W3/W4 results, so the batch SQL oracles apply unchanged.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from colloquy.operators import indicators as I
 from colloquy.operators import lexicon as X
 from colloquy.operators import running as R
 from colloquy.operators.lexical import REFERENCE_BRUNET_A
-from colloquy.operators.tokens import annotate  # noqa: F401  (used by the stateless route)
+from colloquy.operators.tokens import annotate
 from colloquy.plans.registry import QUERIES, register, rounded, rsql
 from colloquy.plans.running_queries import PHRASES_SQL
 from colloquy.plans.sqlparts import lexicon_ctes, tokens_cte
@@ -107,10 +108,12 @@ def q_t3(spark, sf):
 
     def per_batch(batch, batch_id):
         docs = batch.select((F.col("conv_id") * 1000000 + F.col("phrase")).alias("doc_id"), "text")
-        row = rounded(I.indicator_row(docs, val, emo, dictionary=dic, with_maps=False))
+        tok = annotate(docs).persist(StorageLevel.MEMORY_AND_DISK)       # released after the batch
+        row = rounded(I.indicator_row(docs, val, emo, dictionary=dic, with_maps=False, tokens=tok))
         row = row.select((F.col("doc_id") / 1000000).cast("long").alias("conv_id"),
                          (F.col("doc_id") % 1000000).alias("phrase"), *I.INDICATOR_COLUMNS)
         row.write.mode("append").parquet(sink)
+        tok.unpersist()
 
     St.run_to_end(stream, sink, ckpt, batch_fn=per_batch)
     return spark.read.parquet(sink)
