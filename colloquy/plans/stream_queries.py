@@ -29,13 +29,14 @@ PIECES = 3
 
 def _staged_phrases(spark, sf):
     phr = S.session_clock(R.phrases(S.spread(S.turns(spark, sf))))
-    phr = phr.select("conv_id", "phrase", "turn", "ts", "text")
+    phr = phr.select("conv_id", "phrase", "turn", "ts", "text").persist(StorageLevel.MEMORY_AND_DISK)
     src = St.scratch(spark, "phrases")
     mx = phr.agg(F.max("phrase")).first()[0] or 0
     step = mx // PIECES + 1
     for i in range(PIECES):
         part = phr.filter((F.col("phrase") >= i * step) & (F.col("phrase") < (i + 1) * step))
         part.repartition(FILES_PER_BATCH, "conv_id").write.mode("append").parquet(src)
+    phr.unpersist()
     return (spark.readStream.schema(St.PHRASE_SCHEMA).option("maxFilesPerTrigger", FILES_PER_BATCH)
             .parquet(src))
 
