@@ -203,7 +203,7 @@ def split_name(key: Column) -> Column:
     return F.when(m <= 1, "Test").when(m == 2, "Validation").otherwise("Train")
 
 
-def memo_dataset(conversations: DataFrame) -> DataFrame:
+def summary_dataset(conversations: DataFrame) -> DataFrame:
     """Dialogue + summary per conversation with its split. Stand-in layout: system rows
     are the ``summary`` metadata rows, ``user`` rows have type ``P``."""
     rows = conversations.select(

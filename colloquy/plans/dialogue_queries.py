@@ -196,7 +196,7 @@ def q_a25(spark, sf):
                  "ELSE 'Train' END AS split FROM r JOIN n USING (conv_id)")
 def q_a26(spark, sf):
     """Dialogue + summary dataset with split names."""
-    return D.memo_dataset(S.read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+    return D.summary_dataset(S.read(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
 
 
 @register("a27", f"WITH {EXPORT_SQL} SELECT conv_id, string_agg(CASE WHEN speaker_name = 'Ellie' THEN 'Doctor: ' || "
