@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return S.spread(S.documents(spark, sf))
 
 
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token table of the documents, persisted: every text query of a session reads the same
+    one (identical plans share the cache entry, also with :func:`indicator_row`)."""
+    return annotate(_docs(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _lexicons(spark: SparkSession, sf: str):
     vocab = S.vocabulary(spark, sf)
     return S.valence_lexicon(vocab), S.emotion_lexicon(vocab), S.unit_dictionary(vocab)
@@ -40,7 +47,7 @@ def _tok_sql(body: str, lex: bool = False) -> str:
                           "is_punct, is_stop FROM tok"))
 def q_f14(spark, sf):
     """Token annotation table of every document (rule-based stand-in for the parser)."""
-    return annotate(_docs(spark, sf)).drop("is_space")
+    return _tokens(spark, sf).drop("is_space")
 
 
 @register("f2", "WITH s AS (SELECT doc_id, CAST(generate_subscripts(regexp_extract_all(text, "
@@ -66,7 +73,7 @@ _COUNTABLE = "NOT is_punct AND NOT is_stop AND NOT contains(text, chr(10))"
 @register("a1", _tok_sql(f"SELECT doc_id, text AS word, count(*) AS freq FROM tok WHERE {_COUNTABLE} GROUP BY 1, 2"))
 def q_a1(spark, sf):
     """Token frequency per document (case kept, no punctuation or stop words)."""
-    return L.word_frequency(annotate(_docs(spark, sf)))
+    return L.word_frequency(_tokens(spark, sf))
 
 
 @register("a2", _tok_sql(f""", f AS (SELECT doc_id, text, count(*) AS c FROM tok
@@ -75,7 +82,7 @@ def q_a1(spark, sf):
          {rsql('stddev_pop(c)')} AS std_freq_words FROM f GROUP BY doc_id"""))
 def q_a2(spark, sf):
     """Mean, range and population std of word frequencies (determiners excluded)."""
-    return rounded(L.frequency_stats(L.text_frequencies(annotate(_docs(spark, sf)))))
+    return rounded(L.frequency_stats(L.text_frequencies(_tokens(spark, sf))))
 
 
 _DIV_SQL = f""", n AS (SELECT doc_id, count(*) AS n_doc FROM tok GROUP BY doc_id),
@@ -95,25 +102,25 @@ def _div_sql(a: float) -> str:
 @register("a3", _tok_sql(_div_sql(L.REFERENCE_BRUNET_A) + "\nSELECT doc_id, n_doc, V, v1 FROM r"))
 def q_a3(spark, sf):
     """Token count N (punctuation included), vocabulary V and hapax count v1."""
-    return L.lexical_diversity(annotate(_docs(spark, sf))).select("doc_id", "n_doc", "V", "v1")
+    return L.lexical_diversity(_tokens(spark, sf)).select("doc_id", "n_doc", "V", "v1")
 
 
 @register("a4", _tok_sql(_div_sql(L.REFERENCE_BRUNET_A) + f"\nSELECT doc_id, {rsql('Brunet_index')} AS Brunet_index FROM r"))
 def q_a4(spark, sf):
     """Brunet index N^(V^-0.165)."""
-    return rounded(L.lexical_diversity(annotate(_docs(spark, sf))).select("doc_id", "Brunet_index"))
+    return rounded(L.lexical_diversity(_tokens(spark, sf)).select("doc_id", "Brunet_index"))
 
 
 @register("a5", _tok_sql(_div_sql(L.REFERENCE_BRUNET_A) + f"\nSELECT doc_id, {rsql('Honore_statistic')} AS Honore_statistic FROM r"))
 def q_a5(spark, sf):
     """Honoré statistic variant 100·ln N / (1 − v1/N)."""
-    return rounded(L.lexical_diversity(annotate(_docs(spark, sf))).select("doc_id", "Honore_statistic"))
+    return rounded(L.lexical_diversity(_tokens(spark, sf)).select("doc_id", "Honore_statistic"))
 
 
 @register("a6", _tok_sql(_div_sql(L.REFERENCE_BRUNET_A) + f"\nSELECT doc_id, {rsql('TTR')} AS TTR FROM r"))
 def q_a6(spark, sf):
     """Hapax ratio v1/N (named TTR)."""
-    return rounded(L.lexical_diversity(annotate(_docs(spark, sf))).select("doc_id", "TTR"))
+    return rounded(L.lexical_diversity(_tokens(spark, sf)).select("doc_id", "TTR"))
 
 
 # --- A7 – A12, J9 ------------------------------------------------------------------------------
@@ -151,7 +158,7 @@ _SYN_SQL = f""", kids AS (
 @register("a7", _tok_sql(_SYN_SQL + "\nSELECT doc_id, " + ", ".join(Y.RATE_NAMES.values()) + " FROM syn"))
 def q_a7(spark, sf):
     """Part-of-speech rates over the words of each document (CONJ as in the reference tag set)."""
-    r = Y.syntax_rates(annotate(_docs(spark, sf)))
+    r = Y.syntax_rates(_tokens(spark, sf))
     return rounded(r.select("doc_id", *Y.RATE_NAMES.values()))
 
 
@@ -160,7 +167,7 @@ SELECT doc_id, {rsql('CASE WHEN n_verb > 0 THEN n_conj / n_verb ELSE 0 END')} AS
        {rsql('CASE WHEN n_verb > 0 THEN n_inf / n_verb ELSE 0 END')} AS verb_inf_rate FROM syn"""))
 def q_a8(spark, sf):
     """Conjugated and infinitive shares of the verbs (0 without verbs)."""
-    return rounded(Y.syntax_rates(annotate(_docs(spark, sf))).select("doc_id", "verb_conj_rate", "verb_inf_rate"))
+    return rounded(Y.syntax_rates(_tokens(spark, sf)).select("doc_id", "verb_conj_rate", "verb_inf_rate"))
 
 
 @register("a9", _tok_sql(_SYN_SQL + f"""
@@ -168,27 +175,27 @@ SELECT doc_id, {rsql('n_aux / nullif(n_sent, 0)')} AS verb_aux_rate, {rsql('n_ob
        {rsql('n_subj / nullif(n_sent, 0)')} AS verb_subj_rate FROM syn"""))
 def q_a9(spark, sf):
     """Share of sentences with a verb that has an auxiliary, object or subject child."""
-    return rounded(Y.syntax_rates(annotate(_docs(spark, sf))).select(
+    return rounded(Y.syntax_rates(_tokens(spark, sf)).select(
         "doc_id", "verb_aux_rate", "verb_obj_rate", "verb_subj_rate"))
 
 
 @register("a10", _tok_sql(_SYN_SQL + "\nSELECT doc_id, CAST(rep AS BIGINT) AS repetition_cons_rate FROM syn"))
 def q_a10(spark, sf):
     """Repeated non-stop lemmas within a sentence, summed per document."""
-    return Y.syntax_rates(annotate(_docs(spark, sf))).select("doc_id", "repetition_cons_rate")
+    return Y.syntax_rates(_tokens(spark, sf)).select("doc_id", "repetition_cons_rate")
 
 
 @register("a11", _tok_sql(_SYN_SQL + f"\nSELECT doc_id, {rsql('n_sub / nullif(n_sent, 0)')} AS sub_prop_rate FROM syn"))
 def q_a11(spark, sf):
     """Subordinate clause labels per sentence."""
-    return rounded(Y.syntax_rates(annotate(_docs(spark, sf))).select("doc_id", "sub_prop_rate"))
+    return rounded(Y.syntax_rates(_tokens(spark, sf)).select("doc_id", "sub_prop_rate"))
 
 
 @register("a12", _tok_sql(_SYN_SQL + "\nSELECT doc_id, CAST(total AS BIGINT) AS total_words, "
                                      "CAST(n_sent AS BIGINT) AS n_sentences FROM syn"))
 def q_a12(spark, sf):
     """Words (no punctuation) and sentences per document."""
-    return Y.syntax_rates(annotate(_docs(spark, sf))).select("doc_id", "total_words", "n_sentences")
+    return Y.syntax_rates(_tokens(spark, sf)).select("doc_id", "total_words", "n_sentences")
 
 
 @register("j9", _tok_sql("""SELECT c.doc_id, c.sent_id, c.tok_id AS child_id, c.head_id, c.dep AS child_dep,
@@ -196,7 +203,7 @@ def q_a12(spark, sf):
   FROM tok c JOIN tok h ON c.doc_id = h.doc_id AND c.sent_id = h.sent_id AND c.head_id = h.tok_id"""))
 def q_j9(spark, sf):
     """Every token with the POS of its head (children ⋈ heads)."""
-    return Y.children_heads(annotate(_docs(spark, sf)))
+    return Y.children_heads(_tokens(spark, sf))
 
 
 # --- lexicons: S4, W6, J4 – J8, U1, A13 – A19 -----------------------------------------------------
@@ -271,7 +278,7 @@ def q_j8(spark, sf):
 def q_j6(spark, sf):
     """Tokens whose lemma belongs to the flat unit set (semi join)."""
     val, emo, _ = _lexicons(spark, sf)
-    t = X.unit_membership(annotate(_docs(spark, sf)), X.unit_set(val, emo))
+    t = X.unit_membership(_tokens(spark, sf), X.unit_set(val, emo))
     return t.select("doc_id", "sent_id", "tok_id", "unit")
 
 
@@ -283,7 +290,7 @@ _EMO_SQL = f""", fr AS (SELECT doc_id, lower(text) AS word, count(*) AS c FROM t
 def q_a13(spark, sf):
     """Emotion sums Σ freq × flag per document."""
     _, emo, _ = _lexicons(spark, sf)
-    return X.emotion_sums(annotate(_docs(spark, sf)), emo)
+    return X.emotion_sums(_tokens(spark, sf), emo)
 
 
 @register("a14", _tok_sql(_EMO_SQL + f""", tw AS (SELECT doc_id, sum(CASE WHEN {_WORD} THEN 1 ELSE 0 END) AS total FROM tok GROUP BY 1)
@@ -292,7 +299,7 @@ FROM tw LEFT JOIN es USING (doc_id)""", lex=True))
 def q_a14(spark, sf):
     """Emotion rates: emotion sums divided by the words of the document."""
     _, emo, _ = _lexicons(spark, sf)
-    tok = annotate(_docs(spark, sf))
+    tok = _tokens(spark, sf)
     sums = X.emotion_sums(tok, emo)
     tw = L.token_counts(tok).select("doc_id", "total_words")
     d = tw.join(sums, "doc_id", "left").fillna(0, list(EMOTIONS))
@@ -327,7 +334,7 @@ _UNIT_SQL = f""", uc AS (SELECT doc_id, category, lower(lemma) AS unit, count(*)
 def q_a16(spark, sf):
     """Unit counts per document, category and unit (long form of ``has_unit``)."""
     _, _, d = _lexicons(spark, sf)
-    return X.unit_counts(annotate(_docs(spark, sf)), dictionary=d)
+    return X.unit_counts(_tokens(spark, sf), dictionary=d)
 
 
 @register("a17", _tok_sql(_UNIT_SQL + f""", u1 AS (SELECT doc_id, unit, arg_max(count, category) AS count FROM uc GROUP BY 1, 2)
@@ -335,7 +342,7 @@ SELECT u1.doc_id, u1.unit, {rsql('u1.count / nullif(tw.total, 0)')} AS ratio FRO
 def q_a17(spark, sf):
     """Unit ratio count / words per document and unit (long form of ``ratio_unit``)."""
     _, _, d = _lexicons(spark, sf)
-    tok = annotate(_docs(spark, sf))
+    tok = _tokens(spark, sf)
     maps = X.unit_maps(X.unit_counts(tok, dictionary=d), L.token_counts(tok).select("doc_id", "total_words"))
     return rounded(maps.select("doc_id", F.explode("ratio_unit").alias("unit", "ratio")))
 
@@ -362,7 +369,7 @@ def q_a19(spark, sf):
 
 def _concepts(spark, sf):
     _, _, d = _lexicons(spark, sf)
-    tok = annotate(_docs(spark, sf))
+    tok = _tokens(spark, sf)
     tw = L.token_counts(tok).select("doc_id", "total_words")
     return X.concept_measures(X.unit_counts(tok, dictionary=d), tw, F.lit(float(I.BATCH_DURATION_SECONDS)))
 
