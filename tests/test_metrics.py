@@ -55,3 +55,18 @@ def test_macro_f1_evaluator_and_vote(spark):
     p = spark.createDataFrame([(1, [0.8, 0.2], [0.4, 0.6])], "id int, a array<double>, b array<double>")
     v = M.soft_vote(p, ["a", "b"]).first()
     assert v["prediction"] == 0 and abs(v["probability"][1] - 0.4) < 1e-12
+
+
+def test_auc_equals_spark_evaluator(spark):
+    import random
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    rows = [(int(rnd.random() < 0.3), round(rnd.random(), 2)) for _ in range(400)]     # many ties
+    df = spark.createDataFrame(rows, "label int, score double")
+    ours = M.roc_auc(df).first()["roc_auc"]
+    raw = df.select(F.col("label").cast("double").alias("label"),
+                    array_to_vector(F.array(1 - F.col("score"), F.col("score"))).alias("rawPrediction"))
+    theirs = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(raw)
+    assert abs(ours - theirs) < 1e-9
