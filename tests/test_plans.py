@@ -57,3 +57,18 @@ def test_top_k_is_cut_before_shuffle(spark):
     counts = spark.createDataFrame([(1, f"w{i}", i % 7) for i in range(200)], "doc_id long, unit string, count long")
     p = plan(top_words(counts, k=5))
     assert "WindowGroupLimit" in p
+
+
+def test_group_windows_are_blocked(spark):
+    """A conversation holding most turns is never one window partition: every window of
+    the running sums is partitioned by (group, block) or runs over one row per block."""
+    from colloquy.operators.sequence import prefix_sums
+    rows = [(1, i, 1) for i in range(5000)] + [(2, i, 1) for i in range(10)]       # one hot group
+    df = spark.createDataFrame(rows, "g long, o long, v long")
+    out = prefix_sums(df, ["g"], "o", ["v"], block=256)
+    p = plan(out)
+    assert "_blk" in p and "Window" in p
+    got = {r["o"]: r["v_cum"] for r in out.filter("g = 1").collect()}
+    assert got[0] == 1 and got[4999] == 5000 and got[256] == 257
+    counts = out.filter("g = 1").groupBy((F.floor(F.col("o") / 256)).alias("b")).count().agg(F.max("count")).first()[0]
+    assert counts <= 256
