@@ -99,9 +99,11 @@ class AdaBoostClassifier(Estimator):
     """SAMME boosting of weighted decision trees (50 rounds, rate 0.01 by default)."""
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 0.01, max_depth: int = 3,
-                 featuresCol: str = "features", labelCol: str = "label", weightCol: str | None = None):
+                 featuresCol: str = "features", labelCol: str = "label", weightCol: str | None = None,
+                 checkpoint_every: int = 1):
         super().__init__()
         self.n_estimators, self.learning_rate, self.max_depth = n_estimators, learning_rate, max_depth
+        self.checkpoint_every = max(1, checkpoint_every)
         self.featuresCol, self.labelCol, self.weightCol = featuresCol, labelCol, weightCol
 
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
@@ -134,7 +136,9 @@ class AdaBoostClassifier(Estimator):
                 break
             nxt = pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")))
             s = nxt.agg(F.sum("_w")).first()[0]
-            df = cut_lineage(nxt.select(self.featuresCol, lab, (F.col("_w") / F.lit(s)).alias("_w")))
+            df = nxt.select(self.featuresCol, lab, (F.col("_w") / F.lit(s)).alias("_w"))
+            if (t + 1) % self.checkpoint_every == 0:      # reliable checkpoint bounds the lineage
+                df = cut_lineage(df)
         return AdaBoostModel(trees, alphas, int(k), self.featuresCol)
 
 
