@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from colloquy.llm import chat, langid, packing, quality, secrets, toxicity
+from colloquy.llm import chat, langid, packing, quality, secrets, toxicity, warc
 from colloquy.llm.common import table
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,14 @@ def op10_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_chat, op6_toxicity, op8_secrets, op10_langid)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_chat, op6_toxicity, op7_warc, op8_secrets, op10_langid)}
+
+_OP7 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+     f as (select payload_digest, max(page_id) as first_id from p where payload_bytes >= 1000 group by payload_digest)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when first_id is null or page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from p left join f using (payload_digest)
+"""
+ORACLES: dict[str, str] = {"op7_warc": _OP7}
