@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import chat, langid, packing, quality, secrets, toxicity, warc
+from colloquy.llm import chat, langid, packing, pii, quality, secrets, toxicity, warc
 from colloquy.llm.common import table
 
 
@@ -34,11 +34,15 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_chat, op6_toxicity, op7_warc, op8_secrets, op10_langid)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_packing, op5_chat, op6_toxicity, op7_warc, op8_secrets, op9_pii, op10_langid)}
 
 _OP7 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
