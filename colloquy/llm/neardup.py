@@ -41,7 +41,7 @@ from colloquy.llm import common as C
 WORDS = 5
 ROWS, BANDS = 5, 64
 LOG2_UNIVERSE = 22
-LAGS, WHOLE = 3, 9
+LAGS, WHOLE = 1, 4
 LOG2_BITS = 24
 _SIGMA = C.U(0xA0761D6478BD642F)
 
@@ -139,9 +139,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     found.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    first = sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    second = pairs.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "b", "shingles")
-    both = first.unionByName(second).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    wanted = pairs.select(F.col("a").alias("rep"), "a", F.lit(None).cast("long").alias("b")).distinct().unionByName(
+        pairs.select(F.col("b").alias("rep"), "a", "b"))
+    both = wanted.join(sets, "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -187,19 +187,24 @@ def buckets(reps: DataFrame) -> DataFrame:
             .where("p is not null or q is not null").select("key", "nxt", "rep"))
 
 
-def round_pairs(shared: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
+def still_open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The bucket rows with their components; buckets within one component are done for good."""
+    if labels is None:
+        return shared.withColumn("comp", F.col("rep")).withColumn("size", F.lit(0).cast("long"))
+    rows = shared.select("key", "nxt", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    w = Window.partitionBy("key")
+    return (rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
+            .where("lo <> hi").drop("lo", "hi"))
+
+
+def round_pairs(rows: DataFrame, number: int) -> DataFrame:
     """Pairs (a < b) of neighbours in this round's order that lie in different components."""
-    rows = shared.withColumn("comp", F.col("rep")) if labels is None else shared.join(labels, "rep", "left").withColumn(
-        "comp", F.coalesce("comp", "rep"))
     chance = F.xxhash64("rep", "key", F.lit(number))
-    if labels is not None:
-        several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        rows = rows.join(several.select("key", "size"), "key")
     order = ["nxt", chance] if number % 2 else [chance]
     w = Window.partitionBy("key").orderBy(*order, "rep")
-    lags = 1 if labels is None else WHOLE - 1
+    lags = range(1, 2 if number == 1 else WHOLE)
     ahead = [F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"),
-                      (F.lit(True) if j <= (1 if labels is None else LAGS) else F.col("size") <= WHOLE).alias("use")) for j in range(1, lags + 1)]
+                      (F.lit(True) if j <= LAGS else F.col("size") <= WHOLE).alias("use")) for j in lags]
     other = F.filter("ahead", lambda x: x["use"] & x["rep"].isNotNull() & (x["comp"] != F.col("comp")))
     pairs = rows.withColumn("ahead", F.array(*ahead)).select("rep", F.explode(other).alias("x"))
     return pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
@@ -221,7 +226,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels, tested, number = None, None, 0
     while True:
         number += 1
-        pairs = round_pairs(shared, labels, number)
+        if labels is not None or number == 1:
+            shared = C.stored(still_open(shared, labels), "open")
+        pairs = round_pairs(shared, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = C.stored(pairs, "pairs")
