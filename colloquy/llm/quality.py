@@ -11,7 +11,7 @@ megabyte at any corpus size, while the counts gathered from the tasks grow with
 
 Defined cases: a null text has no words, all counts 0, score 0 and fails the base rules; equal
 rows get equal results, a row each; an empty table gives an empty result; without trusted
-labels both multinomials are taken as equal, so only the base rules decide; other columns of
+labels both multinomials are equal, so only the base rules decide; other columns of
 the input are ignored.
 """
 
@@ -28,9 +28,10 @@ from colloquy.llm import common as C
 
 GRAM = 5                    #: bytes in an n-gram
 LOG2_BUCKETS = 16
-SMOOTHING = 0.5             #: added to every bucket's count
+SMOOTHING = 0.5             #: added to every bucket's raw count
+PRIOR = 32_768              #: n-grams by which the target leans on the raw corpus: little evidence, little verdict
 TARGET_DOCS = 50_000        #: bound on the trusted sample (lowest hashed ids)
-PRIOR_GRAMS = 32
+PRIOR_GRAMS = 64
 THRESHOLD = -0.1            #: nats an n-gram
 # --- fixed values: base rules ------------------------------------------------------------
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -97,13 +98,12 @@ def fit(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
 
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket int, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
-    raw, target = np.full(1 << LOG2_BUCKETS, SMOOTHING), np.full(1 << LOG2_BUCKETS, SMOOTHING)
+    raw, target = np.full(1 << LOG2_BUCKETS, SMOOTHING), np.zeros(1 << LOG2_BUCKETS)
     at = rows.column("bucket").to_numpy()
     raw[at] += rows.column("raw").to_numpy()
     target[at] += rows.column("target").to_numpy()
-    if target.sum() <= SMOOTHING * len(target):
-        return np.zeros(len(raw), np.float32)
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    raw /= raw.sum()
+    return np.log((target / raw + PRIOR) / (target.sum() + PRIOR)).astype(np.float32)
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
