@@ -24,6 +24,7 @@ from colloquy.operators.features import hash_rank
 K_NEIGHBOURS = 5          # fixed value: library default of both samplers
 SEED = 42
 BLOCK_ROWS = 2048
+LEFT_ROWS = 256           # rows of a block whose distances are held at once
 
 
 def _knn_block(k: int):
@@ -32,23 +33,27 @@ def _knn_block(k: int):
         right = pdf[pdf["_side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"_g": [], "id": [], "nid": [], "dist": []})
+        right = right.sort_values("id")
         a = np.stack(left["vec"].to_numpy()).astype(float)
         b = np.stack(right["vec"].to_numpy()).astype(float)
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
         lid = left["id"].to_numpy()
         rid = right["id"].to_numpy()
-        d2[lid[:, None] == rid[None, :]] = np.inf           # a row is not its own neighbour
-        # candidates by the fast expansion (a few spare), exact distances recomputed for them
-        kk = min(k + 3, d2.shape[1])
-        idx = (np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < d2.shape[1]
-               else np.tile(np.arange(d2.shape[1]), (len(a), 1)))
-        rows = np.repeat(np.arange(len(a)), idx.shape[1])
-        cols = idx.ravel()
-        dist = np.sqrt(((a[rows] - b[cols]) ** 2).sum(1))
-        dist[~np.isfinite(d2[rows, cols])] = np.inf
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"_g": left["_g"].iloc[0], "id": lid[rows][keep], "nid": rid[cols][keep],
-                             "dist": dist[keep]})
+        out = []
+        for at in range(0, len(a), LEFT_ROWS):
+            part = a[at:at + LEFT_ROWS]
+            d2 = np.zeros((len(part), len(b)))
+            for c in range(a.shape[1]):                     # exact differences, a column at a time
+                d2 += (part[:, c, None] - b[None, :, c]) ** 2
+            own = lid[at:at + LEFT_ROWS, None] == rid[None, :]
+            d2[own] = np.inf                                # a row is not its own neighbour
+            # right rows stand by id, so the stable sort breaks ties by the lowest id
+            idx = np.argsort(d2, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(part)), idx.shape[1])
+            cols = idx.ravel()
+            keep = ~own[rows, cols]
+            out.append(pd.DataFrame({"_g": left["_g"].iloc[0], "id": lid[at + rows][keep], "nid": rid[cols][keep],
+                                     "dist": np.sqrt(d2[rows, cols][keep])}))
+        return pd.concat(out)
     return fn
 
 
@@ -80,12 +85,16 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = K_NEIGHBOURS, group:
 
 def _interpolate(base: DataFrame, neighbours: DataFrame, id_col: str, vec_col: str, label: str,
                  minority, k: int, seed: int) -> DataFrame:
-    """Synthetic rows for ``base`` rows with a ``_quota`` column (shared by M5 and M6)."""
+    """Synthetic rows for ``base`` rows with a ``_quota`` column (shared by M5 and M6).
+
+    The neighbour is drawn among those a row has: fewer than ``k`` in a class of ``k`` rows or less.
+    """
     s = base.filter(F.col("_quota") > 0).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
         F.explode(F.sequence(F.lit(0), F.col("_quota") - 1)).alias("s"))
     key = F.concat_ws(":", F.col("id").cast("string"), F.col("s").cast("string"), F.lit(str(seed)))
-    s = s.withColumn("_nb_rank", (md5_int(F.concat(key, F.lit(":nb"))) % k).cast("long")) \
+    s = s.join(neighbours.groupBy("id").agg(F.count(F.lit(1)).alias("_n_nb")), "id")
+    s = s.withColumn("_nb_rank", (md5_int(F.concat(key, F.lit(":nb"))) % F.col("_n_nb")).cast("long")) \
          .withColumn("_gap", (md5_int(F.concat(key, F.lit(":gap")), 6) / F.lit(float(1 << 24))))
     nvec = neighbours.select("id", F.col("rank").alias("_nb_rank"), "nid")
     vecs = base.select(F.col(id_col).cast("long").alias("nid"), F.col(vec_col).cast("array<double>").alias("nvec"))
@@ -99,6 +108,8 @@ def _classes(df: DataFrame, label: str):
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], c))
     majority = max(counts, key=lambda c: (counts[c], -c if isinstance(c, (int, float)) else 0))
+    if counts[minority] < 2 <= counts[majority]:
+        raise ValueError(f"class {minority!r} has one row: it has no neighbour to interpolate with")
     return minority, counts[minority], counts[majority]
 
 

@@ -20,6 +20,32 @@ def test_knn_matches_brute_force(spark):
             assert got[(i, r)] == d[r][1]
 
 
+def test_knn_ties_and_offsets(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(300).tolist()
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "id long, vec array<double>")
+    for r in Sm.knn(same, "id", "vec", 5, block_rows=64).groupBy("id").agg({"nid": "collect_set"}).collect():
+        assert sorted(r[1]) == [j for j in range(7) if j != r["id"]][:5]
+    vec = {i: 1e8 + rng.normal(size=3) for i in range(80)}
+    far = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vec.items()], "id long, vec array<double>")
+    for r in Sm.knn(far, "id", "vec", 4, block_rows=32).collect():
+        best = sorted((float(((vec[r["id"]] - vec[j]) ** 2).sum()), j) for j in vec if j != r["id"])
+        assert best[r["rank"]][1] == r["nid"]
+
+
+def test_smote_reaches_the_majority_from_a_tiny_class(spark):
+    for n_min in (2, 4):
+        rows = [(i, int(i < n_min), [float(i), float(i * i % 7)]) for i in range(20 + n_min)]
+        out = Sm.smote(spark.createDataFrame(rows, "id long, cls int, vec array<double>"), "id", "vec", "cls", k=5)
+        assert out.filter("cls = 1").count() == 20
+    one = spark.createDataFrame([(i, int(i < 1), [float(i)]) for i in range(6)], "id long, cls int, vec array<double>")
+    try:
+        Sm.smote(one, "id", "vec", "cls")
+        raise AssertionError("a class of one row was interpolated")
+    except ValueError:
+        pass
+
+
 def test_smote_balances_and_interpolates(spark):
     df, rows = data(spark)
     out = Sm.smote(df, "id", "vec", "cls", k=3)
