@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import TOKEN_RE, md5_int, sentences
-from colloquy.operators.lexicon import small_side
 from colloquy.operators.sequence import dense_ordinal, prefix_sums, previous_values
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -135,7 +134,9 @@ def standin_notes(sents: DataFrame, annotator: int = 1) -> DataFrame:
     points past the transcript end so the unmatched-id report is exercised."""
     h = md5_int(F.concat_ws(":", F.col("conv_id"), F.lit(annotator), F.col("ordinal")))
     picked = sents.withColumn("_h", h).filter(F.col("_h") % 3 == 0)
-    source = F.when(F.col("_h") % 40 == 9, F.col("ordinal") + 100000).otherwise(F.col("ordinal"))
+    last = sents.groupBy("conv_id").agg((F.max("ordinal") + 1).alias("_past"))
+    picked = picked.join(last, "conv_id")
+    source = F.when(F.col("_h") % 40 == 9, F.col("_past") + F.col("ordinal")).otherwise(F.col("ordinal"))
     return picked.select(
         "conv_id", F.col("ordinal").alias("elem_id"),
         (F.col("_h") % 8).cast("int").alias("categoryId"),
@@ -231,7 +232,7 @@ def gloss(df: DataFrame, text_col: str, lexicon: DataFrame, out_col: str = "trad
     tokens joined by a blank in order. Works on the distinct texts, joined back."""
     texts = df.select(F.col(text_col).alias("_src")).distinct()
     toks = texts.select("_src", F.posexplode(F.regexp_extract_all("_src", F.lit(TOKEN_RE), 0)).alias("_p", "_tok"))
-    lex = small_side(lexicon.select(F.col("word").alias("_lw"), F.col("target").alias("_tgt")))
+    lex = lexicon.select(F.col("word").alias("_lw"), F.col("target").alias("_tgt"))
     toks = toks.join(lex, F.lower(toks["_tok"]) == lex["_lw"], "left")
     out = toks.groupBy("_src").agg(
         ordered_join(F.col("_p"), F.coalesce(F.col("_tgt"), F.col("_tok")), " ").alias(out_col))

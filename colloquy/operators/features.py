@@ -172,9 +172,15 @@ def join_vectors(left: DataFrame, right: DataFrame, key: str, a: str, b: str, ou
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair (a < b), long form, one pass."""
+    """Pearson correlation of every column pair (a < b), long form, one pass; null where a
+    column is constant."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(a, b):
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.covar_pop(a, b) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
                                   for i, (a, b) in enumerate(pairs)]))
     return row.select(stacked.alias("p")).select("p.*")

@@ -49,7 +49,7 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
     words = lexical.word_table(tok)                                  # aggregate 2: (doc, text, lemma)
     texts = lexical.text_table(words)
     emo = lexicon.first_wins(emotions, "word", "line_no", list(EMOTIONS))
-    texts = texts.withColumn("word", F.lower("text")).join(lexicon.small_side(emo), "word", "left")
+    texts = texts.withColumn("word", F.lower("text")).join(emo, "word", "left")
     emo_sums = [F.sum(F.when(F.col("freq") > 0, F.col("freq") * F.coalesce(F.col(e), F.lit(0))))
                 .cast("bigint").alias(e) for e in EMOTIONS]
     wm = lexical.word_measures(texts, emo_sums)

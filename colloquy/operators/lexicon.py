@@ -1,8 +1,7 @@
 """Lexicon look-ups and lexicon aggregates.
 
-Lexicons are joined, never scanned per word. A lexicon is broadcast only after a bounded
-row count proves it small (:func:`small_side`); beyond the bound the join stays a shuffle
-join and AQE may still switch it at run time from measured sizes.
+Lexicons are joined, never scanned per word. No side is forced: the join is planned as a
+shuffle join and adaptive execution turns it into a broadcast from the bytes it has measured.
 """
 
 from __future__ import annotations
@@ -13,16 +12,6 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import STOP_WORDS, blank_split
 from colloquy.sources.tables import EMOTIONS, UNIT_CATEGORIES
 
-BROADCAST_ROWS = 2_000_000      # a lexicon above this many rows is shuffled, not broadcast
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check: counts at most ``max_rows + 1`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 # --- deduplication of keyed lexicons ---------------------------------------------------
 
 def last_wins(lex: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
@@ -48,14 +37,14 @@ def first_wins_window(lex: DataFrame, key: str, order: str) -> DataFrame:
 def valence_lookup(words: DataFrame, lexicon: DataFrame, word_col: str = "word") -> DataFrame:
     """Adds ``value`` (0 when the word is absent); duplicates resolved last-wins."""
     lex = last_wins(lexicon, "word", "line_no", ["value"])
-    out = words.join(small_side(lex).withColumnRenamed("word", word_col), word_col, "left")
+    out = words.join(lex.withColumnRenamed("word", word_col), word_col, "left")
     return out.withColumn("value", F.coalesce(F.col("value"), F.lit(0)))
 
 
 def emotion_lookup(words: DataFrame, lexicon: DataFrame, word_col: str = "word") -> DataFrame:
     """Inner join with the emotion flags, duplicates resolved first-wins."""
     lex = first_wins(lexicon, "word", "line_no", list(EMOTIONS))
-    return words.join(small_side(lex).withColumnRenamed("word", word_col), word_col, "inner")
+    return words.join(lex.withColumnRenamed("word", word_col), word_col, "inner")
 
 
 def unit_set(*lexicons: DataFrame) -> DataFrame:
@@ -83,7 +72,7 @@ def unit_categories(dictionary: DataFrame) -> DataFrame:
 def unit_membership(tokens: DataFrame, units: DataFrame) -> DataFrame:
     """Tokens whose lower-cased lemma is a unit (left semi join)."""
     t = tokens.withColumn("unit", F.lower("lemma"))
-    return t.join(small_side(units.select("unit").distinct()), "unit", "left_semi")
+    return t.join(units.select("unit").distinct(), "unit", "left_semi")
 
 
 def stop_word_table(spark) -> DataFrame:
@@ -110,9 +99,10 @@ def emotion_sums(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def valence_scores(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Σ lexicon value over whitespace words of the lower-cased sentences."""
-    w = sentences.select("doc_id", F.explode(blank_split(F.lower("sentence"))).alias("word"))
-    hit = w.join(small_side(last_wins(lexicon, "word", "line_no", ["value"])), "word")
-    return hit.groupBy("doc_id").agg(F.sum("value").cast("bigint").alias("Score_AFINN"))
+    w = (sentences.select("doc_id", F.explode(blank_split(F.lower("sentence"))).alias("word"))
+         .groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")))
+    hit = w.join(last_wins(lexicon, "word", "line_no", ["value"]), "word")
+    return hit.groupBy("doc_id").agg(F.sum(F.col("value") * F.col("n")).cast("bigint").alias("Score_AFINN"))
 
 
 def unit_counts(tokens: DataFrame, dictionary: DataFrame | None = None,
@@ -124,10 +114,10 @@ def unit_counts(tokens: DataFrame, dictionary: DataFrame | None = None,
     """
     t = tokens.select("doc_id", F.lower("lemma").alias("unit"))
     if dictionary is not None:
-        cats = small_side(unit_categories(dictionary))
+        cats = unit_categories(dictionary)
         t = t.join(cats, "unit")
     else:
-        t = t.join(small_side(units.select("unit").distinct()), "unit") \
+        t = t.join(units.select("unit").distinct(), "unit") \
              .withColumn("category", F.lit(None).cast("string"))
     return t.groupBy("doc_id", "category", "unit").agg(F.count(F.lit(1)).alias("count"))
 
@@ -137,9 +127,9 @@ def unit_counts_from_words(words: DataFrame, dictionary: DataFrame | None = None
     """A16 from the ``(doc, text, lemma, n_all)`` word table (no second pass over tokens)."""
     w = words.select("doc_id", F.lower("lemma").alias("unit"), "n_all")
     if dictionary is not None:
-        w = w.join(small_side(unit_categories(dictionary)), "unit")
+        w = w.join(unit_categories(dictionary), "unit")
     else:
-        w = w.join(small_side(units.select("unit").distinct()), "unit") \
+        w = w.join(units.select("unit").distinct(), "unit") \
              .withColumn("category", F.lit(None).cast("string"))
     return w.groupBy("doc_id", "category", "unit").agg(F.sum("n_all").alias("count"))
 

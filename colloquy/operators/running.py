@@ -45,7 +45,7 @@ def phrase_counters(phr: DataFrame, emotions: DataFrame, units: DataFrame) -> Da
         F.sum((verb & F.col("verb_form").isNotNull() & (F.col("verb_form") != "Inf")).cast("long")).alias("n_vconj"))
     # units (flat set) on lower-cased lemmas
     u = (tok.select("conv_id", "phrase", F.lower("lemma").alias("unit"))
-            .join(X.small_side(units.select("unit").distinct()), "unit")
+            .join(units.select("unit").distinct(), "unit")
             .groupBy("conv_id", "phrase").agg(F.count(F.lit(1)).alias("n_units")))
     # emotions on lower-cased non-punct, non-stop tokens
     ew = (tok.filter(~F.col("is_punct") & ~F.col("is_stop"))

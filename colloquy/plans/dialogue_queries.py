@@ -17,8 +17,8 @@ SENTS_SQL = (TURNS_SQL + ", ts0 AS (SELECT conv_id, turn, speaker, CAST(generate
              "'[^.!?\\n]+[.!?]*'), 1) - 1 AS INTEGER) AS pos, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS sentence "
              "FROM turns), sents AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS ordinal FROM ts0)")
 NOTES_SQL = (SENTS_SQL + ", nh AS (SELECT *, " + md5_int_sql("CAST(conv_id AS VARCHAR) || ':1:' || CAST(ordinal AS VARCHAR)")
-             + " AS h FROM sents), notes AS (SELECT conv_id, ordinal AS elem_id, CAST(h % 8 AS INTEGER) AS categoryId, "
-             "'noted: ' || lower(trim(sentence)) AS formalText, CAST(CASE WHEN h % 40 = 9 THEN ordinal + 100000 ELSE ordinal END AS BIGINT) "
+             + " AS h, max(ordinal) OVER (PARTITION BY conv_id) + 1 AS past FROM sents), notes AS (SELECT conv_id, ordinal AS elem_id, CAST(h % 8 AS INTEGER) AS categoryId, "
+             "'noted: ' || lower(trim(sentence)) AS formalText, CAST(CASE WHEN h % 40 = 9 THEN past + ordinal ELSE ordinal END AS BIGINT) "
              "AS sourceId FROM nh WHERE h % 3 = 0), cats AS (SELECT * FROM (VALUES " +
              ", ".join(f"({i}, '{c}')" for i, c in enumerate(D.NOTE_CATEGORIES)) + ") v(categoryId, category)), "
              "elems AS (SELECT n.*, s.sentence AS source, c.category FROM notes n JOIN sents s ON n.conv_id = s.conv_id "

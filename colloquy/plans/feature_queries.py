@@ -17,7 +17,7 @@ WIDE = _tok_sql(_wide_sql(REFERENCE_BRUNET_A, True, False), lex=True)
 PART_SQL = (f"WITH wide AS ({WIDE}), part AS (SELECT w.*, w.doc_id AS participant_id, l.toxic AS phq_binary, l.quality, "
             "CAST(CASE WHEN w.doc_id % 10 <= 1 THEN 1 WHEN w.doc_id % 10 = 2 THEN 2 ELSE 3 END AS INTEGER) AS partof "
             "FROM wide w JOIN labels l USING (doc_id))")
-CORR_COLS = [c for c in NUMERIC if c != "conj_rate"]       # conj_rate is constant 0 under the default tags
+CORR_COLS = NUMERIC
 
 
 def _indicators(spark, sf, labelled_only: bool = True):

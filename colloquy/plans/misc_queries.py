@@ -95,16 +95,16 @@ def q_p23(spark, sf):
         F.sum((F.col("text").contains("\n") | F.col("is_space")).cast("long")).alias("n_space"))
 
 
-@register("f1", "SELECT conv_id, turn, lower(substr(text, 1, 12)) AS head, starts_with(trim(text), 'The') AS starts_the, "
+@register("f1", "SELECT conv_id, turn, lower(text) AS lowered, starts_with(trim(text), 'The') AS starts_the, "
                 "contains(text, chr(10)) AS multi_line, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_pieces, "
-                "array_to_string(string_split(trim(lower(substr(text, 1, 30))), ' '), '_') AS joined FROM conversations")
+                "array_to_string(string_split(trim(lower(text)), ' '), '_') AS joined FROM conversations")
 def q_f1(spark, sf):
     """String helpers: lower, strip, split, join, startswith, newline test."""
     c = S.read(spark, sf, "conversations", "conv_id", "turn", "text")
-    return c.select("conv_id", "turn", F.lower(F.substring("text", 1, 12)).alias("head"),
+    return c.select("conv_id", "turn", F.lower("text").alias("lowered"),
                     F.trim("text").startswith("The").alias("starts_the"), F.col("text").contains("\n").alias("multi_line"),
                     F.size(F.split("text", " ")).cast("int").alias("n_pieces"),
-                    F.array_join(F.split(F.trim(F.lower(F.substring("text", 1, 30))), " "), "_").alias("joined"))
+                    F.array_join(F.split(F.trim(F.lower("text")), " "), "_").alias("joined"))
 
 
 @register("f5", f"SELECT doc_id, {rsql('ln(n_chars)')} AS ln_chars, {rsql('pow(n_chars, -0.165)')} AS pow_chars, "

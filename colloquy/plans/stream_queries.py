@@ -93,10 +93,10 @@ def q_t4(spark, sf):
     return rounded(last.select("conv_id", "phrase", "turn", *R.RUNNING_SERIES))
 
 
-_T3_SRC = "SELECT conv_id * 1000000 + phrase AS doc_id, text FROM phrases"
+_T3_SRC = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(phrase AS VARCHAR) AS doc_id, text FROM phrases"
 _T3_SQL = ("WITH " + PHRASES_SQL + f", src AS ({_T3_SRC})," + tokens_cte("src") + "," + lexicon_ctes() + "\n"
            + _wide_sql(REFERENCE_BRUNET_A, True, False, sent_table="src").replace(
-               "SELECT src.doc_id,", "SELECT src.doc_id // 1000000 AS conv_id, src.doc_id % 1000000 AS phrase,", 1))
+               "SELECT src.doc_id,", "SELECT CAST(split_part(src.doc_id, ':', 1) AS BIGINT) AS conv_id, CAST(split_part(src.doc_id, ':', 2) AS BIGINT) AS phrase,", 1))
 
 
 @register("t3", _T3_SQL)
@@ -108,11 +108,11 @@ def q_t3(spark, sf):
     sink, ckpt = St.scratch(spark, "phrase-ind"), St.scratch(spark, "phrase-ind-ckpt")
 
     def per_batch(batch, batch_id):
-        docs = batch.select((F.col("conv_id") * 1000000 + F.col("phrase")).alias("doc_id"), "text")
+        docs = batch.select(F.concat_ws(":", "conv_id", "phrase").alias("doc_id"), "text")
         tok = annotate(docs).persist(StorageLevel.MEMORY_AND_DISK)       # released after the batch
         row = rounded(I.indicator_row(docs, val, emo, dictionary=dic, with_maps=False, tokens=tok))
-        row = row.select((F.col("doc_id") / 1000000).cast("long").alias("conv_id"),
-                         (F.col("doc_id") % 1000000).alias("phrase"), *I.INDICATOR_COLUMNS)
+        part = F.split("doc_id", ":")
+        row = row.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("phrase"), *I.INDICATOR_COLUMNS)
         row.write.mode("append").parquet(sink)
         tok.unpersist()
 

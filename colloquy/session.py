@@ -31,11 +31,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system); only when it
-    is unset (tests, local runs) a private folder under the system temp dir is chosen.
+    On a cluster the deployment sets it (a shared file system) and its absence is an error; only a
+    local master, where driver and executors are one process, gets a folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         current = tempfile.mkdtemp(prefix="colloquy-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

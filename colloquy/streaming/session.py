@@ -44,8 +44,8 @@ def token_events(phrases: DataFrame, emotions: DataFrame, units: DataFrame) -> D
     emo = X.first_wins(emotions, "word", "line_no", list(EMOTIONS))
     uset = units.select(F.col("unit").alias("_u")).distinct()
     t = (tok.withColumn("word", F.lower("text"))
-            .join(X.small_side(emo), "word", "left")
-            .join(X.small_side(uset), F.lower(F.col("lemma")) == F.col("_u"), "left"))
+            .join(emo, "word", "left")
+            .join(uset, F.lower(F.col("lemma")) == F.col("_u"), "left"))
     countable = word & ~F.col("is_stop")
     emo_ok = ~F.col("is_punct") & ~F.col("is_stop")
     tokens = t.select(
@@ -149,7 +149,7 @@ def session_stream(phrases: DataFrame, emotions: DataFrame, units: DataFrame,
     ev = token_events(phrases, emotions, units)
     return ev.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=SessionIndicators(ttl_ms), outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -186,9 +186,10 @@ def run_to_end(stream_df: DataFrame, sink: str, ckpt: str, mode: str = "append",
 
 
 def snapshot_writer(path: str):
-    """K6/T4: each micro-batch appends its emitted rows with the batch id."""
+    """K6/T4: each micro-batch writes its emitted rows into the folder of its batch id; a replayed
+    batch overwrites what it wrote before."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return fn
 
 
