@@ -121,6 +121,17 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted, "rep", "left_semi").where(F.octet_length("shingles") > 0)
 
 
+def passing(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets whose id passes the bitmap of ``wanted`` (rep): a round ships what it compares, not all sets."""
+    bits = C.bitmap(wanted, "rep", LOG2_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(C.in_bitmap(bits, b.column("rep").to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are alike. Each a's set comes first, then the sets of its partners."""
 
@@ -141,7 +152,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("rep"), "a", F.lit(None).cast("long").alias("b")).distinct().unionByName(
         pairs.select(F.col("b").alias("rep"), "a", "b"))
-    both = wanted.join(sets, "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    both = wanted.join(passing(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep"))), "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
