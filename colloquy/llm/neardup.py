@@ -174,21 +174,24 @@ def components(edges: DataFrame) -> DataFrame:
     with partial aggregation, and the joins' large sides can be split by adaptive execution.
     """
     edges = C.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not starred(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = C.stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if new == state:
-            break
-        state = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def starred(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (u > v, distinct) hangs on one root: no u has two edges or is the v of another."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    split = ends.groupBy("node").agg(F.sum("up").alias("edges"), F.min("up").alias("least")).where("edges > 1 or edges = 1 and least = 0")
+    return split.agg(F.count("*")).first()[0] == 0
+
+
 def buckets(reps: DataFrame) -> DataFrame:
     """(key, nxt, rep) of all bands that several documents share; ``nxt`` is of the next band."""
     rows = reps.select("rep", "bands", F.posexplode("bands").alias("i", "key")).select(
