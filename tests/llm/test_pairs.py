@@ -119,3 +119,13 @@ def test_signature_agrees_as_often_as_sets_do():
         other[:changed] = rng.integers(0, 2**63, changed, dtype=np.uint64)
         agree = (signer.bands_of(np.sort(base)) == signer.bands_of(np.sort(other))).mean()
         assert abs(agree - share) < 0.1
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    order = [7, 31, 2, 19, 11, 5, 23, 13, 29, 3, 17]
+    edges = list(zip(order, order[1:]))                                   # a chain
+    edges += [(101, 102), (102, 103), (103, 104), (104, 101)]             # a ring
+    edges += [(200, n) for n in range(201, 220)] + [(201, 200), (5, 5)]   # a star, an edge twice, a loop
+    found = {(r.node, r.root) for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == ({(n, 2) for n in order if n != 2} | {(n, 101) for n in (102, 103, 104)} | {(n, 200) for n in range(201, 220)})
+    assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0
