@@ -7,19 +7,21 @@ consecutive, all ``BANDS * ROWS`` coordinates of a shingle are one stretch of th
 signature is the minimum of such stretches. ``ROWS`` coordinates make a band; documents that agree
 on a band are candidates, and every link is confirmed on the full sets
 (``100 * intersection >= 75 * union``). At similarity 0.75 a pair shares no band with probability
-``(1 - 0.75**ROWS)**BANDS``, about 3e-8.
+``(1 - 0.75**ROWS)**BANDS``, about 1e-8.
 
 Equal sets form a class first, so exact copies are one node however many there are. Buckets never
-emit all their pairs. In each round a bucket's members are put in an order (of the next band's key, or random)
-and each is compared with its next ones, when these aren't in its component yet: at most ``LAGS``, and in
-buckets of up to ``WHOLE`` members all of them. Links join components (large-star and small-star
-steps over written tables); the next round works on buckets that still hold several
-components, with another order, until a round of random order finds no link. So the work is linear in the band
-rows; a pair of two components in a large bucket that the orders never brought together can be
+emit all their pairs. In each round a bucket's members are sorted by a stretch of their signatures that
+is drawn anew for each bucket, order and round, so that those alike come together, and each is
+compared with the next one (in buckets of up to ``WHOLE`` members with all others) when that isn't in
+its component yet. A pair's signatures are compared first, a byte a coordinate: of
+those that agree in less than ``LEAST`` of them (less than 1e-10 of the pairs at 0.75) the sets aren't shipped. Of the others,
+each document's most alike partner is confirmed first, then what still lies between components. Links
+join components (large-star and small-star steps over written tables); the next round works on buckets
+that still hold several components, until a round finds no link. So the work is linear in the
+band rows; a pair of two components in a large bucket that the orders never brought together can be
 missed, like one that shares no band.
 
-The full sets are made for candidates only: their ids pass a bitmap of fixed size on the scan,
-then a join.
+The full sets are made for candidates only: their ids pass a bitmap of fixed size on the scan.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer words than five
 are one shingle; rows without an id come out unlinked with a null component and kept; an id is one
@@ -39,9 +41,10 @@ from pyspark.sql import functions as F
 from colloquy.llm import common as C
 
 WORDS = 5
-ROWS, BANDS = 5, 64
+ROWS, BANDS = 4, 48
+LEAST = round(0.52 * ROWS * BANDS)
 LOG2_UNIVERSE = 22
-LAGS, WHOLE = 1, 4
+WHOLE, ORDERS, PREFIX = 4, 8, 8
 LOG2_BITS = 24
 _SIGMA = C.U(0xA0761D6478BD642F)
 
@@ -74,18 +77,26 @@ class Signer:
         n = rows * bands
         self.stretch = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi[-n:], pi]), n)
 
-    def bands_of(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit key a band."""
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """All coordinates: the least stretch of the set."""
         place = (C.mix(shingles ^ _SIGMA) >> C.U(64 - LOG2_UNIVERSE)).astype(np.int64)
         least = None
         for a in range(0, len(place), 2048):
             m = self.stretch[place[a:a + 2048]].min(axis=0)
             least = m if least is None else np.minimum(least, m)
+        return least.astype(np.uint64)
+
+    def bands_of(self, shingles: np.ndarray) -> np.ndarray:
+        """One 64-bit key a band."""
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for c in least.astype(np.uint64).reshape(self.bands, self.rows).T:
+        for c in self.signature(shingles).reshape(self.bands, self.rows).T:
             key = C.mix(key * C.U(0x9E3779B97F4A7C15) + c)
         return key.view(np.int64)
 
+    def sketch(self, shingles: np.ndarray) -> bytes:
+        """One byte a coordinate."""
+        return (C.mix(self.signature(shingles) + C.U(0x2545F4914F6CDD1D)) >> C.U(56)).astype(np.uint8).tobytes()
+
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, n, d1, d2, bands): size and digest of each set, and its band keys."""
@@ -107,29 +118,53 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents whose id is in ``wanted`` (rep), made on the scan."""
+    """(rep, shingles, sketch) of the documents whose id passes the bitmap of ``wanted`` (rep), made on the scan."""
     bits = C.bitmap(wanted, "rep", LOG2_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
         for b in batches:
             b = b.filter(pa.array(C.in_bitmap(bits, b.column("rep").to_numpy())))
             for s in C.slices(b):
                 sets = shingle_sets(s.column("text"))
-                yield pa.RecordBatch.from_arrays([s.column("rep"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
+                full = pa.array([len(x) > 0 for x in sets])
+                sets = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays([s.column("rep").filter(full), pa.array([x.tobytes() for x in sets], pa.binary()),
+                                                  pa.array([signer.sketch(x) for x in sets], pa.binary())], names=["rep", "shingles", "sketch"])
 
-    made = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("rep"), "text").mapInArrow(run, "rep long, shingles binary")
-    return made.join(wanted, "rep", "left_semi").where(F.octet_length("shingles") > 0)
+    return docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("rep"), "text").mapInArrow(run, "rep long, shingles binary, sketch binary")
 
 
-def passing(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets whose id passes the bitmap of ``wanted`` (rep): a round ships what it compares, not all sets."""
-    bits = C.bitmap(wanted, "rep", LOG2_BITS)
+def passing(rows: DataFrame, column: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` passes the bitmap of ``wanted``'s column of that name, or those that don't."""
+    bits = C.bitmap(wanted, column, LOG2_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(C.in_bitmap(bits, b.column("rep").to_numpy())))
+            yield b.filter(pa.array(C.in_bitmap(bits, b.column(column).to_numpy()) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, agree): the pairs whose signatures agree in ``LEAST`` coordinates or more."""
 
-    return sets.mapInArrow(run, sets.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            x, y = (C.utf8(rows.column(c))[0].reshape(-1, ROWS * BANDS) for c in ("x", "y"))
+            agree = (x == y).sum(axis=1)
+            made = pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(agree, pa.int64())], names=["a", "b", "agree"])
+            yield made.filter(pa.array(agree >= LEAST))
+
+    of = lambda c, name: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def most_alike(pairs: DataFrame) -> DataFrame:
+    """Of every document its pair (a, b) of most agreement."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("agree", "a", "b").alias("pair"))
+    return ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,14 +180,14 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if a[i] != at:
                     at, own = a[i], []
                 if b[i] is None:
-                    own.append(x)
+                    own += [] if any(np.array_equal(x, y) for y in own) else [x]
                 elif any(alike(x, y) for y in own):
                     found.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("rep"), "a", F.lit(None).cast("long").alias("b")).distinct().unionByName(
         pairs.select(F.col("b").alias("rep"), "a", "b"))
-    both = wanted.join(passing(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep"))), "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    both = wanted.join(passing(sets.select("rep", "shingles"), "rep", wanted), "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -192,68 +227,90 @@ def starred(edges: DataFrame) -> bool:
     return split.agg(F.count("*")).first()[0] == 0
 
 
+def representatives(valid: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, bands) of one document a class. The bands of a set that occurs once aren't shuffled for it."""
+    several = classes.where("many")
+    alone = passing(valid, "d1", several, inside=False).select(F.col("doc_id").alias("rep"), "bands")
+    first = passing(valid, "d1", several).join(classes.select("n", "d1", "d2", F.col("rep").alias("doc_id"), "rep"), ["doc_id", "n", "d1", "d2"])
+    return alone.unionByName(first.select("rep", "bands"))
+
+
 def buckets(reps: DataFrame) -> DataFrame:
-    """(key, nxt, rep) of all bands that several documents share; ``nxt`` is of the next band."""
-    rows = reps.select("rep", "bands", F.posexplode("bands").alias("i", "key")).select(
-        "key", F.expr(f"cast(bands[(i + 1) % {BANDS}] & 2147483647 as int)").alias("nxt"), "rep")
-    w = Window.partitionBy("key").orderBy("nxt", "rep")
+    """(key, rep) of all bands that several documents share."""
+    rows = reps.select(F.explode("bands").alias("key"), "rep")
+    w = Window.partitionBy("key").orderBy("rep")
     return (rows.withColumn("p", F.lag("rep").over(w)).withColumn("q", F.lead("rep").over(w))
-            .where("p is not null or q is not null").select("key", "nxt", "rep"))
+            .where("p is not null or q is not null").select("key", "rep"))
 
 
 def still_open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The bucket rows with their components; buckets within one component are done for good."""
     if labels is None:
         return shared.withColumn("comp", F.col("rep")).withColumn("size", F.lit(0).cast("long"))
-    rows = shared.select("key", "nxt", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rows = shared.select("key", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     w = Window.partitionBy("key")
     return (rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
             .where("lo <> hi").drop("lo", "hi"))
 
 
-def round_pairs(rows: DataFrame, number: int) -> DataFrame:
-    """Pairs (a < b) of neighbours in this round's order that lie in different components."""
-    chance = F.xxhash64("rep", "key", F.lit(number))
-    order = ["nxt", chance] if number % 2 else [chance]
-    w = Window.partitionBy("key").orderBy(*order, "rep")
-    lags = range(1, 2 if number == 1 else WHOLE)
-    ahead = [F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"),
-                      (F.lit(True) if j <= LAGS else F.col("size") <= WHOLE).alias("use")) for j in lags]
+def round_pairs(rows: DataFrame, sketches: DataFrame, number: int) -> DataFrame:
+    """Pairs (a < b) of neighbours in this round's orders that lie in different components.
+
+    The first round has few orders, as most of what it brings together is alike."""
+    orders = range(2 if number == 1 else ORDERS)
+    start = f"cast(1 + pmod(xxhash64(key, {number}, {{}}), {ROWS * BANDS - PREFIX}) as int)"
+    rows = rows.join(sketches, "rep").select("key", "rep", "comp", "size", *(
+        F.expr(f"substring(sketch, {start.format(i)}, {PREFIX})").alias(f"order_{i}") for i in orders))
+    ahead = []
+    for i in orders:
+        w = Window.partitionBy("key").orderBy(f"order_{i}", "rep")
+        ahead += [F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"),
+                           (F.lit(True) if j == 1 else F.col("size") <= WHOLE).alias("use")) for j in range(1, WHOLE if number > 1 and i == 0 else 2)]
     other = F.filter("ahead", lambda x: x["use"] & x["rep"].isNotNull() & (x["comp"] != F.col("comp")))
     pairs = rows.withColumn("ahead", F.array(*ahead)).select("rep", F.explode(other).alias("x"))
     return pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
 
 
+def crossing(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    if labels is None:
+        return pairs.select("a", "b")
+    at = lambda c: labels.select(F.col("rep").alias(c), F.col("comp").alias(f"{c}_comp"))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: its set's size, its component and whether it is the one that stays."""
     made = C.stored(features(docs), "features")
     valid = made.where("n > 0 and doc_id is not null")
-    classes = C.stored(valid.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = valid.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "n", "d1", "d2"]).select("rep", "bands")
-    shared = C.stored(buckets(reps), "buckets")
-    sets = C.stored(candidate_sets(docs, shared.select("rep").distinct()), "sets")
+    classes = C.stored(valid.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), (F.count("*") > 1).alias("many")), "classes")
+    shared = C.stored(buckets(representatives(valid, classes)), "buckets")
+    sets = C.stored(candidate_sets(docs, shared.select("rep")), "sets")
+    sketches = C.stored(sets.select("rep", "sketch").distinct(), "sketches")
     # an id with several texts ties their classes together
-    member = C.stored(valid.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "n", "d1", "d2", "rep").distinct(), "members")
+    member = C.stored(valid.select("doc_id", "n", "d1", "d2").join(classes.drop("many"), ["n", "d1", "d2"]).distinct(), "members")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     links = member.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a <> b")
 
-    labels, tested, number = None, None, 0
-    while True:
-        number += 1
-        if labels is not None or number == 1:
-            shared = C.stored(still_open(shared, labels), "open")
-        pairs = round_pairs(shared, number)
+    labels = tested = None
+    if not links.isEmpty():
+        labels = merged(labels, links)
+    number, found_any = 0, True
+    while found_any or number < 2:
+        number, found_any = number + 1, False
+        shared = C.stored(still_open(shared, labels), "open")
+        pairs = round_pairs(shared, sketches, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = C.stored(pairs, "pairs")
-        found = C.stored(linked(pairs, sets), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = found if labels is not None else found.unionByName(links)
-        if new.isEmpty():
-            if number > 1 and number % 2 == 0 or labels is None:
-                break
-            continue
-        labels = merged(labels, new)
+        pairs = C.stored(promising(pairs, sketches), "pairs")
+        for chosen in ([most_alike(pairs), pairs] if number == 1 else [pairs.select("a", "b")]):
+            if number == 1:
+                chosen = crossing(chosen, labels)
+                chosen = C.stored(chosen if tested is None else chosen.join(tested, ["a", "b"], "left_anti"), "chosen")
+            tested = chosen if tested is None else tested.unionByName(chosen)
+            found = C.stored(linked(chosen, sets), "links")
+            if not found.isEmpty():
+                labels, found_any = merged(labels, found), True
     if labels is None:
         placed = member.withColumn("comp", F.col("rep"))
     else:
