@@ -12,8 +12,8 @@ on a band are candidates, and every link is confirmed on the full sets
 Equal sets form a class first, so exact copies are one node however many there are. Buckets never
 emit all their pairs. In each round a bucket's members are sorted by a stretch of their signatures that
 is drawn anew for each bucket, order and round, so that those alike come together, and each is
-compared with the next one (in buckets of up to ``WHOLE`` members with all others) when that isn't in
-its component yet. A pair's signatures are compared first, a byte a coordinate: of
+compared with the next one that shares the stretch's first ``AGREE`` coordinates (in buckets of up to ``WHOLE``
+members, and in the first round, whatever they share) when that isn't in its component yet. A pair's signatures are compared first, a byte a coordinate: of
 those that agree in less than ``LEAST`` of them (less than 1e-10 of the pairs at 0.75) the sets aren't shipped. Of the others,
 each document's most alike partner is confirmed first, then what still lies between components. Links
 join components (large-star and small-star steps over written tables); the next round works on buckets
@@ -44,7 +44,7 @@ WORDS = 5
 ROWS, BANDS = 4, 48
 LEAST = round(0.52 * ROWS * BANDS)
 LOG2_UNIVERSE = 22
-WHOLE, ORDERS, PREFIX = 4, 8, 8
+WHOLE, ORDERS, PREFIX, AGREE = 4, 8, 8, 2
 LOG2_BITS = 24
 _SIGMA = C.U(0xA0761D6478BD642F)
 
@@ -265,7 +265,7 @@ def round_pairs(rows: DataFrame, sketches: DataFrame, number: int) -> DataFrame:
     for i in orders:
         w = Window.partitionBy("key").orderBy(f"order_{i}", "rep")
         ahead += [F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"),
-                           (F.lit(True) if j == 1 else F.col("size") <= WHOLE).alias("use")) for j in range(1, WHOLE if number > 1 and i == 0 else 2)]
+                           ((F.col("size") <= WHOLE) | F.lit(j == 1) & (F.substring(F.lag(f"order_{i}", j).over(w), 1, AGREE) == F.substring(f"order_{i}", 1, AGREE))).alias("use")) for j in range(1, WHOLE if number > 1 and i == 0 else 2)]
     other = F.filter("ahead", lambda x: x["use"] & x["rep"].isNotNull() & (x["comp"] != F.col("comp")))
     pairs = rows.withColumn("ahead", F.array(*ahead)).select("rep", F.explode(other).alias("x"))
     return pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
