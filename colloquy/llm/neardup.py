@@ -17,7 +17,7 @@ members, and in the first round, whatever they share) when that isn't in its com
 those that agree in less than ``LEAST`` of them (less than 1e-10 of the pairs at 0.75) the sets aren't shipped. Of the others,
 each document's most alike partner is confirmed first, then what still lies between components. Links
 join components (large-star and small-star steps over written tables); the next round works on buckets
-that still hold several components, until a round finds no link. So the work is linear in the
+that still hold several components, until two rounds running find no link. So the work is linear in the
 band rows; a pair of two components in a large bucket that the orders never brought together can be
 missed, like one that shares no band.
 
@@ -295,9 +295,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = tested = None
     if not links.isEmpty():
         labels = merged(labels, links)
-    number, found_any = 0, True
-    while found_any or number < 2:
-        number, found_any = number + 1, False
+    number = fruitless = 0
+    while fruitless < 2:
+        number, fruitless = number + 1, fruitless + 1
         shared = C.stored(still_open(shared, labels), "open")
         pairs = round_pairs(shared, sketches, number)
         if tested is not None:
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             tested = chosen if tested is None else tested.unionByName(chosen)
             found = C.stored(linked(chosen, sets), "links")
             if not found.isEmpty():
-                labels, found_any = merged(labels, found), True
+                labels, fruitless = merged(labels, found), 0
     if labels is None:
         placed = member.withColumn("comp", F.col("rep"))
     else:
