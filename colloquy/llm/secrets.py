@@ -7,9 +7,16 @@ compressor primed with a dictionary of identifiers; its marginal cost is
 
     bytes(context + candidate) - bytes(context)
 
-Identifiers, words, repeated characters and text that the context already holds cost next to
-nothing; random key material can't be compressed. It is reported when it costs
-``NOVEL_BITS`` bits a character or more.
+Identifiers, words and repeated characters cost next to nothing; random key material can't be
+compressed. Copies of the candidate are taken out of its context, so a secret that is written twice costs the
+same both times. It is reported when it costs ``NOVEL_BITS`` bits a character or more; of runs shorter than ``LONG`` and
+runs without a letter or without a digit, whose words cost more too, ``STRICT_BITS``. (Random lower-case letters
+cost about as much as rare words, so of such runs those that cost less aren't told apart.)
+
+Context is sensitive in the whole statement of a sensitive word, before and after it, in the
+``SENSITIVE_REACH`` characters after it, in a whole PEM block with a sensitive name, and in what adjoins a run
+in sensitive context with nothing but blanks, line ends, quotes and punctuation between (the next lines of a key, the
+next parts of a token).
 
 Defined cases: a null text counts as empty and has no spans; spans are in code points with
 the end exclusive; repeated rows and repeated ids give a row each; extra input columns are
@@ -18,6 +25,7 @@ ignored by :func:`scan` and passed through by :func:`redact`.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,10 +42,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 # --- parameters of the method ------------------------------------------------------------
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 SENSITIVE = re.compile(r"(?ai:pass|pwd|secret|token|key|auth|bearer|credential|private|signature|cookie|session|salt|cert)")
 CONTEXT_BEFORE, CONTEXT_AFTER, SENSITIVE_REACH = 256, 64, 48
-NOVEL_BITS = 4.5
+NOVEL_BITS, STRICT_BITS, LONG = 4.5, 6.75, 20
+STATEMENT_END = re.compile(r"[;\n]|[.!?](?=\s)")
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(.*?)(?:-----END |\Z)", re.S)
+BLOCK_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/=]+)[ \t]*\r?$", re.M)
+JOINT = re.compile(r"[\s\"'`\\.,:|&]*")
 #: Identifiers and phrases of code and configuration that are no secrets.
 IDENTIFIERS = """
 import from return function class public private protected static void const string number boolean
@@ -54,6 +66,11 @@ content-type application/json charset utf-8 timeout retries max_connections defa
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 your_token_here your-api-key-here
 xxxxxxxxxxxxxxxxxxxxxxxx changeme placeholder insert_your_key_here REPLACE_ME lorem ipsum
 """.encode()
+#: Stands before the context of strictly measured runs, so that a rare word costs what its letters cost in longer texts.
+PROSE = """It is a common question whether the following statement can be understood without knowledge of what happened before,
+and although most people would probably answer that they have never thought about it, everyone will agree that language
+is always learned from examples. Just because something has been written down, it does not have to be true; quickly
+checking several independent sources, with patience and judgement, makes the difference between an opinion and a fact. """
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,21 +94,70 @@ class Novelty:
         return 8.0 * grown / len(candidate)
 
 
+def blocks(text: str) -> list[tuple[int, int]]:
+    """The insides of PEM blocks with a sensitive name."""
+    return [m.span(2) for m in BLOCK.finditer(text) if SENSITIVE.search(m[1])] if "-----BEGIN " in text else []
+
+
+def sensitive_parts(text: str, inside: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint parts of the text, in order, that are sensitive by a word in the statement or by their block."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    ends = [m.end() for m in STATEMENT_END.finditer(text)]
+    parts = list(inside)
+    for a, b in words:
+        i, j = bisect.bisect_right(ends, a), bisect.bisect_left(ends, b)
+        parts.append((ends[i - 1] if i else 0, max(ends[j] if j < len(ends) else len(text), b + SENSITIVE_REACH)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], meter: Novelty) -> list[tuple[int, int, int]]:
     """Candidates outside all base spans, in sensitive context, that cost as much as random text."""
-    found = []
+    inside = blocks(text)
+    parts = sensitive_parts(text, inside)
+    if not parts:
+        return []
+    found, starts = [], [a for a, _ in parts]
+    reached = -1  # end of the last run in sensitive context
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         word = m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        if not SENSITIVE.search(text, max(0, s - SENSITIVE_REACH), s):
+        i = bisect.bisect_right(starts, s) - 1
+        if not (i >= 0 and s < parts[i][1] or i + 1 < len(parts) and starts[i + 1] < e
+                or reached >= 0 and JOINT.match(text, reached).end() >= s):
             continue
+        reached = e
         if any(a < e and s < b for a, _, b in base):
             continue
-        if meter.bits(text[max(0, s - CONTEXT_BEFORE):s], word, text[e:e + CONTEXT_AFTER]) >= NOVEL_BITS:
+        mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+        if len(set(word)) < 4 or not any(c.isalnum() for c in word):
+            continue
+        # a copy may lie across the window's border, so it is taken out before the window is cut
+        before = text[max(0, s - CONTEXT_BEFORE - len(word)):s].replace(word, " ")[-CONTEXT_BEFORE:]
+        after = text[e:e + CONTEXT_AFTER + len(word)].replace(word, " ")[:CONTEXT_AFTER]
+        strict = not mixed or len(word) < LONG
+        if meter.bits(PROSE + before if strict else before, word, after) >= (STRICT_BITS if strict else NOVEL_BITS):
             found.append((s, 3, e))
-    return found
+    return found + block_lines(text, inside, base, found)
+
+
+def block_lines(text: str, inside: list[tuple[int, int]], base, found) -> list[tuple[int, int, int]]:
+    """The lines of a block that holds a novel run and aren't found themselves: its short last line, lines of one class."""
+    out, known = [], sorted(s for s, _, _ in found)
+    taken = sorted([(s, e) for s, _, e in base] + [(s, e) for s, _, e in found])
+    for a, b in inside:
+        i = bisect.bisect_left(known, a)
+        if i < len(known) and known[i] < b:
+            out += [(m.start(1), 3, m.end(1)) for m in BLOCK_LINE.finditer(text, a, b)
+                    if not any(s < m.end(1) and m.start(1) < e for s, e in taken)]
+    return out
 
 
 def spans_of(text: str | None, meter: Novelty):
