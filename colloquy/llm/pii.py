@@ -1,7 +1,7 @@
 """Personal data: format-preserving pseudonyms by keyed Feistel permutations.
 
 Candidates of each kind are found by pattern and validated: card numbers by their check digit, IBANs
-by mod 97, IPv4 octets by range, dates by the calendar, social security numbers by their
+by mod 97 (both at every length that a start admits, the longest or the country's own first), IPv4 octets by range, dates by the calendar, social security numbers by their
 blocks, e-mail addresses and telephone numbers by shape. A valid value is numbered within the
 values of its format, the number is permuted by a Feistel network keyed with a secret, and the result
 is written back in the same format: a valid card number becomes another valid card number of equal
@@ -33,9 +33,15 @@ KEY = b"replace this key in production"
 ROUNDS = 8
 
 PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])")
-CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
+CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}")
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4} ?[A-Z0-9]{4})")
+#: Every number of groups an IBAN can have, with and without a shorter last one.
+IBANS = [re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])" % (n, rest)) for n in range(7, 1, -1) for rest in (" ?[A-Z0-9]{1,3}", "")]
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 DATE = re.compile(r"(?<![0-9])(?:((?:19|20)[0-9]{2})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6((?:19|20)[0-9]{2}))(?![0-9])")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
@@ -220,19 +226,46 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _cards(text: str):
+    """At each start the longest run of 13 to 19 digits whose check digit is right; the search goes on after it, or after the start."""
+    m = CARD.search(text)
+    while m:
+        ends = [i + 1 for i in range(m.start(), m.end()) if text[i].isdigit()]
+        digits = "".join(text[i - 1] for i in ends)
+        upto = m.start() + 1
+        for n in range(len(ends), 12, -1):
+            if (not text[ends[n - 1]:ends[n - 1] + 1].isdigit() and len(set(digits[:n])) > 1
+                    and luhn_digit(digits[:n - 1]) == digits[n - 1]):
+                upto = ends[n - 1]
+                yield m.start(), upto
+                break
+        m = CARD.search(text, upto)
+
+
+def _ibans(text: str):
+    """At each start the value of its country's length if it is right, or else the longest right one."""
+    m = IBAN.search(text)
+    while m:
+        ends = {x.end() for x in (p.match(text, m.start()) for p in IBANS) if x}
+        plain = {e: text[m.start():e].replace(" ", "") for e in ends}
+        usual = IBAN_LENGTHS.get(m[0][:2])
+        upto = m.start() + 1
+        for e in sorted(ends, key=lambda e: (len(plain[e]) != usual, -e)):
+            x = plain[e]
+            if 15 <= len(x) <= 34 and iban_check(x[:2], x[4:]) == x[2:4]:
+                upto = e
+                yield m.start(), e
+                break
+        m = IBAN.search(text, upto)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all valid values, overlaps included."""
     found = [(s, e, 0) for s, e in _emails(text)]
     found += [(m.start(), m.end(), 1) for m in PHONE.finditer(text)]
-    for m in CARD.finditer(text):
-        digits = "".join(c for c in m[0] if c.isdigit())
-        if luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1:
-            found.append((m.start(), m.end(), 2))
+    found += [(s, e, 2) for s, e in _cards(text)]
     found += [(m.start(), m.end(), 3) for m in IP.finditer(text) if all(int(x) < 256 for x in m[0].split("."))]
-    for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]:
-            found.append((m.start(), m.end(), 4))
+    found += [(s, e, 4) for s, e in _ibans(text)]
     found += [(m.start(), m.end(), 5) for m in SSN.finditer(text)
               if 0 < int(m[1]) < 900 and int(m[1]) != 666 and int(m[2]) and int(m[3])]
     found += [(m.start(), m.end(), 6) for m in DATE.finditer(text) if read_date(m[0])]

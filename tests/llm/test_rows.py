@@ -188,6 +188,16 @@ def test_pseudonyms_keep_format_and_links(make, odd_texts):
     assert pii.replace(make(texts, extra=True)).count() == len(texts) and pii.pseudonymize(make([])).count() == 0
 
 
+def test_values_followed_by_digits_and_words():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for t in (f"{card} 12/25", f"{card} 123", f"12 {card}", f"{card}-7", f"7-{card} 99 1", "4111111111111111 123"):
+        found = [t[s:e] for s, e, k in pii.spans(t) if pii.KINDS[k] == "card"]
+        assert [x.replace(" ", "") for x in found] == ["4111111111111111"], t
+    for t in (f"{iban} PAGO", f"{iban} EUR", f"{iban} A 12", iban, f"DE89 {iban} PAGO HOY", f"{iban.replace(' ', '')} PAGO"):
+        found = [t[s:e] for s, e, k in pii.spans(t) if pii.KINDS[k] == "iban"]
+        assert [x.replace(" ", "") for x in found] == [iban.replace(" ", "")], t
+
+
 # --- language ----------------------------------------------------------------------------
 def test_kneser_ney_sums_to_one_and_orders_by_count(spark):
     rows = spark.createDataFrame([("xx", "abab abc abd")], "lang string, text string")
