@@ -17,9 +17,13 @@ members, and in the first round, whatever they share) when that isn't in its com
 those that agree in less than ``LEAST`` of them (less than 1e-10 of the pairs at 0.75) the sets aren't shipped. Of the others,
 each document's most alike partner is confirmed first, then what still lies between components. Links
 join components (large-star and small-star steps over written tables); the next round works on buckets
-that still hold several components, until two rounds running find no link. So the work is linear in the
-band rows; a pair of two components in a large bucket that the orders never brought together can be
-missed, like one that shares no band.
+that still hold several components, until two rounds running find no link. The rounds are linear in the
+band rows and join what is plainly alike.
+
+What is left is finished exactly: in every bucket of more than ``WHOLE`` members that still holds several
+components, all signatures of different components are compared, block by block of ``BLOCK`` members so that
+no task holds a bucket, and the sets of all pairs that agree in ``LEAST`` coordinates are compared. Blocks of one large
+component never meet each other. This is quadratic in the members that stay apart while sharing bands, and only in those.
 
 The full sets are made for candidates only: their ids pass a bitmap of fixed size on the scan.
 
@@ -45,6 +49,7 @@ ROWS, BANDS = 4, 48
 LEAST = round(0.52 * ROWS * BANDS)
 LOG2_UNIVERSE = 22
 WHOLE, ORDERS, PREFIX, AGREE = 4, 8, 8, 2
+BLOCK = 256
 LOG2_BITS = 24
 _SIGMA = C.U(0xA0761D6478BD642F)
 
@@ -271,6 +276,77 @@ def round_pairs(rows: DataFrame, sketches: DataFrame, number: int) -> DataFrame:
     return pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
 
 
+def cells(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(cell, within, first, rep, comp, sketch): the large buckets' rows, dealt so that any two of a bucket that lie in
+    different components meet in one cell: within a block, or as the first and the other block of two.
+
+    A component of more than ``BLOCK`` rows of a bucket has blocks of its own, the others share theirs."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") > BLOCK, F.col("comp")))
+    split = (parts.groupBy("key", "own").agg(F.sum("n").alias("n")).groupBy("key")
+             .agg(F.sum("n").alias("size"), F.collect_list(F.struct("own", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("split"))
+             .where(F.col("size") > WHOLE))
+    dealt = rows.select("key", "rep", "comp").join(parts.select("key", "comp", "own"), ["key", "comp"]).join(split, "key")
+    blocks = "filter(split, x -> x.own <=> own)[0].blocks"
+    dealt = dealt.withColumn("me", F.expr(f"struct(own, cast(pmod(xxhash64(rep), {blocks}) as int) as block)"))
+    met = dealt.select("key", "rep", "comp", "me", F.explode(F.expr(
+        "flatten(transform(filter(split, x -> own is null or not x.own <=> own), x -> transform(sequence(0, x.blocks - 1), b -> struct(x.own as own, b as block))))")).alias("other"))
+    met = met.select("rep", "comp", F.expr("xxhash64(key, least(me, other).own, least(me, other).block, greatest(me, other).own, greatest(me, other).block)").alias("cell"),
+                     F.expr("me = other or (me.own <=> other.own and me.block = other.block)").alias("within"), F.expr("least(me, other) <=> me").alias("first"))
+    return met.join(sketches, "rep").select("cell", "within", "first", "rep", "comp", "sketch")
+
+
+def all_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, agree): all pairs of different components in large buckets whose signatures agree in ``LEAST`` coordinates or more."""
+
+    def compared(cell: pa.Table, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        rep, comp = cell.column("rep").to_numpy(), cell.column("comp").to_numpy()
+        if (comp == comp[0]).all():
+            return
+        signs = C.utf8(cell.column("sketch").combine_chunks())[0].reshape(-1, ROWS * BANDS)
+        within, first = cell.column("within")[0].as_py(), cell.column("first").to_numpy(zero_copy_only=False)
+        for i in range(len(rep)) if within else np.flatnonzero(first):
+            apart = comp != comp[i]
+            if within:
+                apart[:i] = False
+            else:
+                apart &= ~first
+            js = np.flatnonzero(apart)
+            agree = (signs[js] == signs[i]).sum(axis=1)
+            js, agree = js[agree >= LEAST], agree[agree >= LEAST]
+            if len(js):
+                out.append((np.minimum(rep[js], rep[i]), np.maximum(rep[js], rep[i]), agree))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def made(out):
+            cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "agree"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out: list = []
+            cell = b.column("cell").to_numpy()
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            if held and held[-1].column("cell")[0].as_py() != cell[0]:
+                compared(pa.Table.from_batches(held), out)
+                held = []
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                held.append(b.slice(a, e - a))
+                if e < b.num_rows:
+                    compared(pa.Table.from_batches(held), out)
+                    held = []
+            yield made(out)
+        out = []
+        if held:
+            compared(pa.Table.from_batches(held), out)
+        yield made(out)
+
+    dealt = cells(rows, sketches).repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
 def crossing(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The pairs (a, b) that lie in different components."""
     if labels is None:
@@ -311,6 +387,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = C.stored(linked(chosen, sets), "links")
             if not found.isEmpty():
                 labels, fruitless = merged(labels, found), 0
+    # after two fruitless rounds the components in ``shared`` are the ones that stand
+    pairs = C.stored(all_pairs(shared, sketches).join(tested, ["a", "b"], "left_anti"), "rest")
+    near = C.stored(most_alike(pairs), "chosen")
+    for chosen in (near, pairs.join(near, ["a", "b"], "left_anti")):
+        found = C.stored(linked(crossing(chosen, labels), sets), "links")
+        if not found.isEmpty():
+            labels = merged(labels, found)
     if labels is None:
         placed = member.withColumn("comp", F.col("rep"))
     else:

@@ -96,6 +96,24 @@ def test_groups_equal_brute_force(make, writer, odd_texts):
     assert got == dict(enumerate(brute_groups(texts)))
 
 
+def test_template_groups_equal_brute_force(make, writer, monkeypatch):
+    """All texts share a template and are 0.72 to 0.73 alike, ten pairs 0.75 to 0.76. The rounds find nothing."""
+    rng = random.Random(11)
+    template = writer(rng, 300)
+    rest = lambda n: " ".join(f"{rng.random():.9f}" for _ in range(n))
+    texts = [f"{template} {rest(56)}" for _ in range(200)]
+    for k in range(0, 20, 2):
+        more = rest(7)
+        texts[k], texts[199 - k] = f"{template} {more} {rest(49)}", f"{template} {more} {rest(49)}"
+    expected = brute_groups(texts)
+    assert sum(not x[2] for x in expected) == 10
+    rounds = N.round_pairs
+    monkeypatch.setattr(N, "round_pairs", lambda rows, *args: rounds(rows.limit(0), *args))
+    monkeypatch.setattr(N, "BLOCK", 16)
+    got = {r["doc_id"]: tuple(r)[1:] for r in N.near_duplicates(make(texts)).collect()}
+    assert got == dict(enumerate(expected))
+
+
 def test_groups_odd_tables(make):
     assert N.near_duplicates(make([])).count() == 0
     long = " ".join(f"w{i}" for i in range(40))
