@@ -151,8 +151,9 @@ def document_fingerprints(docs: DataFrame, bits: np.ndarray, lengths: list[int])
 
 
 def hash_of(text: str | None) -> int:
+    """Spark's ``xxhash64`` of the text, a null text counting as empty."""
     import xxhash
-    return xxhash.xxh64_intdigest(text or "") - (1 << 63)
+    return (xxhash.xxh64_intdigest(text or "", seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 _HIT = "doc_id long, text_key long, item_id long, hits array<struct<a:int,b:int>>"
@@ -215,7 +216,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any hit, with all their columns; rows without an id stay."""
+    """The documents without any hit, with all their columns. A decision holds for its id (or no id) and text."""
     _, found = hits(docs, items)
-    gone = found.select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct().alias("gone")
+    rows = docs.alias("rows")
+    return rows.join(gone, F.col("rows.doc_id").cast("long").eqNullSafe(F.col("gone.gone_id"))
+                     & (F.xxhash64(F.coalesce("rows.text", F.lit(""))) == F.col("gone.gone_key")), "left_anti").select(*docs.columns)

@@ -421,3 +421,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents less all but the first id of each group; rows without an id stay."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_row_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group, the others go; the nodes are the pairs of id (or no id) and text.
+
+    The row of the least id stays, one without an id only if none has one, and one of equal rows. Texts without shingles all stay."""
+    doc_id, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    node = F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0).cast("long")), key)
+    grouped = near_duplicates(docs.select(node.alias("doc_id"), docs["text"])).where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+    pairs = docs.select(doc_id.alias("id"), key.alias("key"), node.alias("node")).groupBy("id", "key", "node").agg(F.count("*").alias("copies"))
+    pairs = C.stored(pairs.join(grouped, "node").withColumn("rank", F.expr("struct(id is null as none, id, key)")), "pairs")
+    first = pairs.groupBy("component_id").agg(F.min("rank").alias("first"))
+    gone = C.stored(pairs.join(first, "component_id").where("not rank <=> first or copies > 1").select(
+        F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), F.expr("rank <=> first").alias("stays")), "gone")
+
+    def matched(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        return rows.alias("rows").join(pairs.alias("gone"), F.col("rows.doc_id").cast("long").eqNullSafe(F.col("gone.gone_id")) & (
+            F.xxhash64(F.coalesce("rows.text", F.lit(""))) == F.col("gone.gone_key")), how).select(*docs.columns)
+
+    kept = matched(docs, gone, "left_anti")
+    copies = gone.where("stays")
+    return kept if copies.isEmpty() else kept.unionByName(matched(docs, copies, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -5,9 +5,8 @@ the last return the columns of ``documents``: toxic documents go; of each near-d
 stays; documents that hold a benchmark window go; secrets are replaced in the text; what is left is
 tokenized and packed into sequences.
 
-Defined cases: null texts pass all stages and are packed as empty documents; rows without an id can't
-be named by a decision, so only the toxicity score can remove them; repeated rows (equal id) share
-their decisions; columns beside the known ones pass through to the packing; an empty table gives an
+Defined cases: null texts pass all stages and are packed as empty documents; the near-duplicate and benchmark
+decisions are taken for each pair of id (or no id) and text, and of equal rows in a group one stays; columns beside the known ones pass through to the packing; an empty table gives an
 empty result.
 """
 
@@ -24,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_row_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,21 @@ def test_groups_odd_tables(make):
     assert sorted(str(r["doc_id"]) for r in N.one_of_each(docs).collect()) == ["2", "None"]
 
 
+def test_decisions_hold_for_rows_without_or_with_repeated_ids(spark, make):
+    leak = "one two three four five six seven eight nine ten"
+    item = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    docs = make([f"x {leak} y", f"x {leak} z", "clean text of the same id", None, None, f"v {leak} w", "b"], ids=[None, 5, 5, None, 6, None, None], extra=True)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in D.clean(docs, item).collect()) == [
+        ("5", "clean text of the same id"), ("6", ""), ("None", ""), ("None", "b")]
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "uvw")
+    docs = make([a, a, a + " x", b, b, b, b + " y", c, c, None, None, ""], ids=[None, 3, 2, 3, 9, 9, None, None, None, None, None, 3], extra=True)
+    kept = N.one_row_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted(
+        [("2", a + " x"), ("3", b), ("None", c), ("None", ""), ("None", ""), ("3", "")])
+
+
 def test_signature_agrees_as_often_as_sets_do():
     import numpy as np
 
