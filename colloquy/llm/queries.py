@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import chat, decontaminate, langid, neardup, packing, pii, quality, secrets, toxicity, warc
+from colloquy.llm import chat, crosstoken, decontaminate, langid, mainpage, neardup, packing, pii, quality, runs, secrets, toxicity, warc
 from colloquy.llm.common import table
 
 
@@ -50,7 +50,20 @@ def op10_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_neardup, op4_packing, op5_chat, op6_toxicity, op7_warc, op8_secrets, op9_pii, op10_langid)}
+def op11_mainpage(spark, sf_dir):
+    return mainpage.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_crosstoken(spark, sf_dir):
+    return crosstoken.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark, sf_dir):
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_neardup, op4_packing, op5_chat, op6_toxicity, op7_warc, op8_secrets, op9_pii, op10_langid,
+                                op11_mainpage, op12_crosstoken, op13_runs)}
 
 _OP7 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
