@@ -1,8 +1,7 @@
 """The wide indicator row per document (A20) and the population run.
 
-One token table feeds every aggregate; each aggregate ends keyed by ``doc_id`` and the
-pieces are joined on that key (all sides are already hash-partitioned by ``doc_id`` after
-their aggregation, so the joins add no further exchange of the big inputs).
+A text's measures are computed on its own row; only its distinct words are looked up in the lexicons,
+all of them in one join, and one aggregation by ``doc_id`` brings the sums back.
 """
 
 from __future__ import annotations
@@ -11,8 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators import lexical, lexicon, syntax
-from colloquy.operators.tokens import annotate, sentence_rows
+from colloquy.operators import arrays, lexical, lexicon, syntax
+from colloquy.operators.tokens import sentence_rows
 from colloquy.sources.tables import EMOTIONS
 
 # fixed values: the indicator row, in order (34 numbers; the two maps follow)
@@ -34,17 +33,74 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
                   duration: Column | None = None, a: float = lexical.REFERENCE_BRUNET_A,
                   emotion_normalised: bool = True, with_maps: bool = True,
                   tokens: DataFrame | None = None, conj_tags: tuple[str, ...] = ("CONJ",)) -> DataFrame:
-    """``docs`` holds ``(doc_id, text[, duration column])``.
+    """``docs`` holds ``(doc_id, text[, duration column])``, one row a document.
 
-    ``dictionary`` (classified units) gives the by-category unit mode, ``units`` (a set)
-    the flat mode. ``duration`` is a column over ``docs`` (seconds); default 360.
-    ``tokens`` may be a real parse of the same documents (layout D9).
+    Exactly one of ``dictionary`` (units by category) and ``units`` (flat) is given. The measures of a text are array
+    expressions on its own row (:mod:`colloquy.operators.arrays`); only its distinct words leave the row, as look-ups
+    ``(kind, word, n)`` in one table of all lexicons, and come back in one aggregation by document. A caller that holds real parses passes
+    them as ``tokens``; these are aggregated as they are.
     """
-    duration = duration if duration is not None else F.lit(BATCH_DURATION_SECONDS)
-    base = docs.select("doc_id", duration.cast("double").alias("duration"))
-    # several aggregates read the token table: annotate once, keep it (memory, then disk)
-    tok = (tokens if tokens is not None else annotate(docs)).persist(StorageLevel.MEMORY_AND_DISK)
+    duration = duration if duration is not None else F.lit(float(BATCH_DURATION_SECONDS))
+    if tokens is not None:
+        return _row_of_tokens(docs, tokens, valence, emotions, dictionary, units, duration, a, emotion_normalised, with_maps, conj_tags)
+    st = arrays.with_statistics(docs.select("doc_id", duration.alias("duration"), F.coalesce("text", F.lit("")).alias("text")),
+                                conj_tags=conj_tags).select("doc_id", "duration", "st.*")
+    words = F.col("st.words")
+    amounts = F.transform(words, lambda x: x["n"])
+    scalars = {
+        "duration": F.col("duration"), **{c: F.col(f"st.counts.{c}") for c in ("n_punct", *[f"n_{t}" for t in syntax.RATE_TAGS])},
+        **{c: F.col(f"st.{c}") for c in ("n_doc", "n_vinf", "n_sentences", "n_sub", "n_obj", "n_subj", "n_aux", "repetition")},
+        "V": F.size(words).cast("bigint"), "v1": F.size(F.filter(amounts, lambda n: n == 1)).cast("bigint"),
+        "n_freq": F.aggregate(amounts, F.lit(0).cast("bigint"), lambda x, n: x + n),
+        "sq_freq": F.aggregate(amounts, F.lit(0).cast("bigint"), lambda x, n: x + n * n),
+        "range_freq_words": F.array_max(amounts) - F.array_min(amounts)}
+    rows = st.select("doc_id", *[c.alias(n) for n, c in scalars.items()], F.explode(F.concat(
+        F.array(F.struct(F.lit("row").alias("kind"), F.col("doc_id").cast("string").alias("word"), F.lit(0).cast("bigint").alias("n"))),
+        F.transform(words, lambda x: F.struct(F.lit("emotion").alias("kind"), F.lower(x["word"]).alias("word"), x["n"].alias("n"))),
+        arrays.repeated_words("st.lemmas", "unit"), arrays.repeated_words("blank_words", "valence"))).alias("w"))
+    rows = rows.select("doc_id", *[F.when(F.col("w.kind") == "row", F.col(c)).alias(c) for c in scalars], "w.*")
+    found = (rows.join(lexicon.lookup_table(valence, emotions, dictionary, units), ["kind", "word"], "left")
+             .filter((F.col("kind") == "row") | F.col("known")))
+    unit = F.col("kind") == "unit"
+    sums = [F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in (*EMOTIONS, "value")]
+    entries = [F.collect_list(F.when(unit, F.struct("categories", F.col("word").alias("unit"), F.col("n").alias("count")))).alias("entries")]
+    d = found.groupBy("doc_id").agg(
+        *[F.max(c).alias(c) for c in scalars], *sums, F.sum(F.when(unit, 1).otherwise(0)).alias("n_unique"),
+        F.sum(F.when(unit, F.col("n") * F.size("categories")).otherwise(0)).alias("n_total"), *(entries if with_maps else []))
+    return _finished(d, a, emotion_normalised, with_maps, dictionary is not None)
 
+
+def _finished(d: DataFrame, a: float, emotion_normalised: bool, with_maps: bool, by_category: bool) -> DataFrame:
+    """The indicator row from the counters of each document."""
+    total = F.col("n_doc") - F.col("n_punct")
+    some = F.nullif(total.cast("double"), F.lit(0.0))
+    sentences = F.nullif(F.col("n_sentences").cast("double"), F.lit(0.0))
+    verbs, v = F.col("n_VERB"), F.nullif(F.col("V").cast("double"), F.lit(0.0))
+    share = lambda n, den: F.when(den > 0, n / den).otherwise(F.lit(0.0))
+    out = d.select(
+        "doc_id", *[(F.col(f"n_{t}") / some).alias(name) for t, name in syntax.RATE_NAMES.items()],
+        (F.col("n_aux") / sentences).alias("verb_aux_rate"), (F.col("n_obj") / sentences).alias("verb_obj_rate"),
+        (F.col("n_subj") / sentences).alias("verb_subj_rate"), (F.col("n_sub") / sentences).alias("sub_prop_rate"),
+        F.when(F.col("n_doc") > 0, F.col("repetition")).alias("repetition_cons_rate"),
+        F.when(F.col("n_doc") > 0, share(verbs - F.col("n_vinf"), verbs)).alias("verb_conj_rate"),
+        F.when(F.col("n_doc") > 0, share(F.col("n_vinf"), verbs)).alias("verb_inf_rate"),
+        total.cast("bigint").alias("total_words"), (F.col("n_freq") / v).alias("mean_freq_words"), "range_freq_words",
+        # exact integers under the root
+        (F.sqrt((F.col("V") * F.col("sq_freq") - F.col("n_freq") * F.col("n_freq")).cast("double")) / v).alias("std_freq_words"),
+        *lexical.diversity(F.col("n_doc"), F.col("V"), F.col("v1"), a),
+        *[((F.col(e) / some) if emotion_normalised else F.col(e).cast("double")).alias(f"{e}_rate") for e in EMOTIONS],
+        F.col("value").alias("Score_AFINN"),
+        share(F.col("n_unique"), total).alias("unique_concept_density"), share(F.col("n_unique"), F.col("duration")).alias("unique_concept_efficiency"),
+        share(F.col("n_total"), total).alias("total_concept_density"), share(F.col("n_total"), F.col("duration")).alias("total_concept_efficiency"),
+        *(lexicon.entry_maps(F.col("entries"), total, by_category) if with_maps else []))
+    return out.select("doc_id", *INDICATOR_COLUMNS, *(MAP_COLUMNS if with_maps else []))
+
+
+def _row_of_tokens(docs, tokens, valence, emotions, dictionary, units, duration, a, emotion_normalised, with_maps, conj_tags) -> DataFrame:
+    """The indicator row from a token table (real parses)."""
+    base = docs.select("doc_id", duration.alias("duration"))
+    # several aggregates read the token table: keep it (memory, then disk)
+    tok = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     syn = syntax.syntax_rates(tok, conj_tags)                      # aggregate 1: (doc, sentence)
     words = lexical.word_table(tok)                                  # aggregate 2: (doc, text, lemma)
     texts = lexical.text_table(words)
@@ -76,15 +132,6 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
     return out.select(*cols)
 
 
-def _emotion_from_freqs(freqs: DataFrame, emotions: DataFrame) -> DataFrame:
-    """A13 from the shared ``(doc, text)`` frequencies: Σ over texts equals Σ over their
-    lower-cased words, so no second pass over the tokens is needed."""
-    f = freqs.withColumn("word", F.lower("text"))
-    hit = lexicon.emotion_lookup(f, emotions)
-    return hit.groupBy("doc_id").agg(*[
-        F.sum(F.col("freq") * F.col(e)).cast("bigint").alias(e) for e in EMOTIONS])
-
-
 def population_run(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
                    duration: Column | None = None, n_files: int | None = None) -> DataFrame:
     """Indicators over a corpus with the population settings (flat units from the

@@ -154,6 +154,37 @@ def unit_maps(counts: DataFrame, total_words: DataFrame, by_category: bool = Tru
     return has.join(ratio, "doc_id")
 
 
+def lookup_table(valence: DataFrame, emotions: DataFrame, dictionary: DataFrame | None = None,
+                 units: DataFrame | None = None) -> DataFrame:
+    """All lexicons as one table keyed by ``(kind, word)``: emotion flags, valence ``value`` and unit ``categories``
+    (one null entry in flat mode); ``known`` marks a hit of a left join."""
+    emo = first_wins(emotions, "word", "line_no", list(EMOTIONS)).select(F.lit("emotion").alias("kind"), "word", *EMOTIONS)
+    val = last_wins(valence, "word", "line_no", ["value"]).select(F.lit("valence").alias("kind"), "word", "value")
+    if dictionary is not None:
+        u = unit_categories(dictionary).groupBy("unit").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    else:
+        u = units.select("unit").distinct().withColumn("categories", F.array(F.lit(None).cast("string")))
+    u = u.select(F.lit("unit").alias("kind"), F.col("unit").alias("word"), "categories")
+    return emo.unionByName(val, allowMissingColumns=True).unionByName(u, allowMissingColumns=True).withColumn("known", F.lit(True))
+
+
+def entry_maps(entries: Column, total_words: Column, by_category: bool) -> list[Column]:
+    """A16/A17 from a document's unit entries ``(categories, unit, count)``: ``has_unit`` (nested or flat) and
+    ``ratio_unit`` = count / words; null without a unit."""
+    def pairs(e: Column) -> Column:
+        return F.map_from_entries(F.transform(e, lambda x: F.struct(x["unit"], x["count"])))
+
+    if by_category:
+        names = F.array_sort(F.array_distinct(F.flatten(F.transform(entries, lambda x: x["categories"]))))
+        has = F.map_from_entries(F.transform(names, lambda c: F.struct(
+            c, pairs(F.filter(entries, lambda x: F.array_contains(x["categories"], c))))))
+    else:
+        has = pairs(entries)
+    ratio = F.map_from_entries(F.transform(entries, lambda x: F.struct(x["unit"], x["count"] / total_words)))
+    some = F.size(entries) > 0
+    return [F.when(some, has).alias("has_unit"), F.when(some, ratio).alias("ratio_unit")]
+
+
 def concept_measures(counts: DataFrame, total_words: DataFrame, duration: Column) -> DataFrame:
     """Unique and total concept density (per word) and efficiency (per second).
 

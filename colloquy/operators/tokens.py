@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.operators import arrays
 
 TOKEN_COLUMNS = ["doc_id", "sent_id", "tok_id", "text", "lemma", "pos", "verb_form", "dep",
                  "head_id", "is_punct", "is_stop", "is_space"]
@@ -36,21 +37,16 @@ def sentence_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _annotated_array() -> Column:
     """Array of token structs for the column ``sentence`` with every rule applied."""
-    base = F.expr(f"""transform(regexp_extract_all(sentence, '{_q(T.TOKEN_RE)}', 0), (t, i) ->
+    base = F.expr(f"""transform(regexp_extract_all(sentence, '{arrays.literal(T.TOKEN_RE)}', 0), (t, i) ->
         named_struct('text', t, 'lw', lower(t), 'tok_id', i,
-                     'is_punct', NOT (t rlike '{_q(T.PUNCT_TEST_RE)}'),
-                     'is_num', t rlike '{_q(T.NUM_TEST_RE)}'))""")
+                     'is_punct', NOT (t rlike '{arrays.literal(T.PUNCT_TEST_RE)}'),
+                     'is_num', t rlike '{arrays.literal(T.NUM_TEST_RE)}'))""")
     tagged = F.transform(base, lambda a: F.struct(
         a["text"].alias("text"), a["lw"].alias("lw"), a["tok_id"].alias("tok_id"),
         a["is_punct"].alias("is_punct"), _pos(a).alias("pos")))
     return tagged
 
 
-def _q(pattern: str) -> str:
-    """Pattern as a Spark SQL string literal body (backslashes doubled, quotes escaped)."""
-    return pattern.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def _pos(a: Column) -> Column:
     """The shared POS rule, applied to the struct ``a`` of :func:`_annotated_array`."""
     lw, text, tok, punct, num = a["lw"], a["text"], a["tok_id"], a["is_punct"], a["is_num"]
@@ -83,17 +79,16 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = tuple(keep)
     sents = sentence_rows(df, id_col, text_col, keep)
     toks = sents.select("doc_id", *keep, "sent_id", _annotated_array().alias("toks"))
-    # verb positions of the sentence, ascending; first verb is the root
-    toks = toks.withColumn("verbs", F.expr(
-        "filter(transform(toks, a -> IF(a.pos = 'VERB', a.tok_id, NULL)), v -> v IS NOT NULL)"))
-    linked = F.expr("""transform(toks, (a, i) -> named_struct(
-        'tok', a,
-        'prev_verb', aggregate(verbs, CAST(NULL AS INT), (acc, v) -> IF(v < i, v, acc)),
-        'next_verb', aggregate(reverse(verbs), CAST(NULL AS INT), (acc, v) -> IF(v > i, v, acc)),
-        'first_verb', get(verbs, 0),
-        'prev_pos', IF(i > 0, get(toks, i - 1).pos, NULL),
-        'prev_lw', IF(i > 0, get(toks, i - 1).lw, NULL)))""")
-    rows = toks.select("doc_id", *keep, "sent_id", F.inline(linked))
+    # linear in the sentence: each verb is repeated over the stretch to its neighbour, and the token
+    # before is the array shifted by one
+    toks = toks.withColumn("verbs", F.expr(arrays.verb_places("toks")))
+    linked = toks.select(
+        "doc_id", *keep, "sent_id", F.get("verbs", F.lit(0)).alias("first_verb"), F.inline(F.arrays_zip(
+            F.col("toks").alias("tok"), F.expr(arrays.verb_before("verbs", "toks")).alias("prev_verb"),
+            F.expr(arrays.verb_after("verbs", "toks")).alias("next_verb"),
+            F.expr("IF(size(toks) = 0, toks, concat(array(NULL), slice(toks, 1, size(toks) - 1)))").alias("before"))))
+    rows = linked.select("doc_id", *keep, "sent_id", "tok", "prev_verb", "next_verb", "first_verb",
+                         F.col("before.pos").alias("prev_pos"), F.col("before.lw").alias("prev_lw"))
     head = (F.when(F.col("tok.pos") == "VERB",
                    F.when(F.col("tok.tok_id") == F.col("first_verb"), F.lit(None).cast("int"))
                    .otherwise(F.col("first_verb")))

@@ -198,9 +198,11 @@ def q_a12(spark, sf):
     return Y.syntax_rates(_tokens(spark, sf)).select("doc_id", "total_words", "n_sentences")
 
 
-@register("j9", _tok_sql("""SELECT c.doc_id, c.sent_id, c.tok_id AS child_id, c.head_id, c.dep AS child_dep,
-    c.pos AS child_pos, h.pos AS head_pos, h.is_punct AS head_is_punct
-  FROM tok c JOIN tok h ON c.doc_id = h.doc_id AND c.sent_id = h.sent_id AND c.head_id = h.tok_id"""))
+@register("j9", _tok_sql(""", sl AS (SELECT doc_id, sent_id, list(struct_pack(i := tok_id, h := head_id, d := dep, p := pos, u := is_punct) ORDER BY tok_id) AS ts
+      FROM tok GROUP BY 1, 2),
+  ch AS (SELECT doc_id, sent_id, ts, unnest(ts) AS c FROM sl)
+SELECT doc_id, sent_id, c.i AS child_id, c.h AS head_id, c.d AS child_dep, c.p AS child_pos, ts[c.h + 1].p AS head_pos, ts[c.h + 1].u AS head_is_punct
+  FROM ch WHERE c.h IS NOT NULL"""))
 def q_j9(spark, sf):
     """Every token with the POS of its head (children ⋈ heads)."""
     return Y.children_heads(_tokens(spark, sf))
@@ -389,7 +391,10 @@ def _wide_sql(a: float, emotion_normalised: bool, flat_units: bool, sent_table:
   fs AS (SELECT doc_id, avg(c) AS mean_f, max(c) - min(c) AS range_f, stddev_pop(c) AS std_f FROM
          (SELECT doc_id, text, count(*) AS c FROM tok WHERE {_COUNTABLE} AND pos <> 'DET' GROUP BY 1, 2) GROUP BY 1),
   uc AS (SELECT doc_id, {cat} AS category, lower(lemma) AS unit, count(*) AS count FROM tok {unit_join} GROUP BY 1, 2, 3),
-  cm AS (SELECT doc_id, count(DISTINCT unit) AS nu, sum(count) AS nt FROM uc GROUP BY 1)
+  cm AS (SELECT doc_id, count(DISTINCT unit) AS nu, sum(count) AS nt FROM uc GROUP BY 1),
+  hu AS (SELECT doc_id, string_agg(coalesce(category, '') || '/' || unit || '=' || count, ',' ORDER BY coalesce(category, '') || '/' || unit || '=' || count) AS h FROM uc GROUP BY 1),
+  ru AS (SELECT doc_id, string_agg(x, ',' ORDER BY x) AS u FROM (
+         SELECT DISTINCT uc.doc_id, unit || '=' || CAST(round(1000000 * count / total) AS BIGINT) AS x FROM uc JOIN syn USING (doc_id)) GROUP BY 1)
 SELECT src.doc_id, {rates},
   {rsql('syn.n_aux / nullif(syn.n_sent, 0)')} AS verb_aux_rate, {rsql('syn.n_obj / nullif(syn.n_sent, 0)')} AS verb_obj_rate,
   {rsql('syn.n_subj / nullif(syn.n_sent, 0)')} AS verb_subj_rate, {rsql('syn.n_sub / nullif(syn.n_sent, 0)')} AS sub_prop_rate,
@@ -404,22 +409,36 @@ SELECT src.doc_id, {rates},
   {rsql('CASE WHEN syn.total > 0 THEN coalesce(cm.nu, 0) / syn.total ELSE 0 END')} AS unique_concept_density,
   {rsql('coalesce(cm.nu, 0) / 360.0')} AS unique_concept_efficiency,
   {rsql('CASE WHEN syn.total > 0 THEN coalesce(cm.nt, 0) / syn.total ELSE 0 END')} AS total_concept_density,
-  {rsql('coalesce(cm.nt, 0) / 360.0')} AS total_concept_efficiency
-FROM src LEFT JOIN syn USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN es USING (doc_id)
+  {rsql('coalesce(cm.nt, 0) / 360.0')} AS total_concept_efficiency,
+  coalesce(hu.h, '') AS has_unit, coalesce(ru.u, '') AS ratio_unit
+FROM src LEFT JOIN hu USING (doc_id) LEFT JOIN ru USING (doc_id) LEFT JOIN syn USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN es USING (doc_id)
   LEFT JOIN vs USING (doc_id) LEFT JOIN fs USING (doc_id) LEFT JOIN cm USING (doc_id)""")
 
 
 @register("a20", _tok_sql(_wide_sql(L.REFERENCE_BRUNET_A, True, False), lex=True))
 def q_a20(spark, sf):
-    """Wide indicator row (34 numbers) of every document, by-category units, 360 s."""
+    """Wide indicator row (34 numbers, two maps) of every document, by-category units, 360 s."""
     val, emo, d = _lexicons(spark, sf)
-    row = I.indicator_row(_docs(spark, sf), val, emo, dictionary=d, with_maps=False)
-    return rounded(row)
+    return _told_maps(rounded(I.indicator_row(_docs(spark, sf), val, emo, dictionary=d)), nested=True)
+
+
+def _told_maps(row: DataFrame, nested: bool) -> DataFrame:
+    """The two maps as sorted text, which both engines compare alike: ``category/unit=count`` and ``unit=ratio`` in millionths."""
+    def told(m, value):
+        return F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries(m), value)), ","), F.lit(""))
+
+    if nested:
+        has = F.flatten(F.transform(F.map_entries("has_unit"), lambda c: F.transform(
+            F.map_entries(c["value"]), lambda u: F.concat(c["key"], F.lit("/"), u["key"], F.lit("="), u["value"].cast("string")))))
+        has = F.coalesce(F.array_join(F.array_sort(has), ","), F.lit(""))
+    else:
+        has = told(F.col("has_unit"), lambda u: F.concat(F.lit("/"), u["key"], F.lit("="), u["value"].cast("string")))
+    ratio = told(F.col("ratio_unit"), lambda u: F.concat(u["key"], F.lit("="), F.round(u["value"] * 1000000).cast("bigint").cast("string")))
+    return row.withColumn("has_unit", has).withColumn("ratio_unit", ratio)
 
 
 @register("a21", _tok_sql(_wide_sql(L.POPULATION_BRUNET_A, False, True), lex=True))
 def q_a21(spark, sf):
-    """Population run: flat unit set, Brunet a = 0.5, raw emotion sums, over all documents."""
+    """Population run: flat unit set, Brunet a = 0.5, raw emotion sums, both maps, over all documents."""
     val, emo, _ = _lexicons(spark, sf)
-    row = I.population_run(_docs(spark, sf), val, emo)
-    return rounded(row.drop(*I.MAP_COLUMNS))
+    return _told_maps(rounded(I.population_run(_docs(spark, sf), val, emo)), nested=False)
