@@ -147,25 +147,28 @@ def unit_maps(counts: DataFrame, total_words: DataFrame, by_category: bool = Tru
             F.collect_list(F.struct("unit", "count"))).alias("has_unit"))
     # a unit in two categories keeps the ratio of its last category (dict overwrite)
     ratio = (c.groupBy("doc_id", "unit")
-              .agg(F.max_by(F.col("count"), F.col("category")).alias("count"),
+              .agg(F.max_by(F.col("count"), F.coalesce("category", F.lit(""))).alias("count"),
                    F.first("total_words").alias("total_words"))
               .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
                   "unit", (F.col("count") / F.col("total_words")).alias("r")))).alias("ratio_unit")))
     return has.join(ratio, "doc_id")
 
 
-def lookup_table(valence: DataFrame, emotions: DataFrame, dictionary: DataFrame | None = None,
+def lookup_table(valence: DataFrame | None, emotions: DataFrame, dictionary: DataFrame | None = None,
                  units: DataFrame | None = None) -> DataFrame:
     """All lexicons as one table keyed by ``(kind, word)``: emotion flags, valence ``value`` and unit ``categories``
     (one null entry in flat mode); ``known`` marks a hit of a left join."""
     emo = first_wins(emotions, "word", "line_no", list(EMOTIONS)).select(F.lit("emotion").alias("kind"), "word", *EMOTIONS)
-    val = last_wins(valence, "word", "line_no", ["value"]).select(F.lit("valence").alias("kind"), "word", "value")
     if dictionary is not None:
         u = unit_categories(dictionary).groupBy("unit").agg(F.sort_array(F.collect_set("category")).alias("categories"))
     else:
         u = units.select("unit").distinct().withColumn("categories", F.array(F.lit(None).cast("string")))
     u = u.select(F.lit("unit").alias("kind"), F.col("unit").alias("word"), "categories")
-    return emo.unionByName(val, allowMissingColumns=True).unionByName(u, allowMissingColumns=True).withColumn("known", F.lit(True))
+    out = emo.unionByName(u, allowMissingColumns=True)
+    if valence is not None:
+        val = last_wins(valence, "word", "line_no", ["value"]).select(F.lit("valence").alias("kind"), "word", "value")
+        out = out.unionByName(val, allowMissingColumns=True)
+    return out.withColumn("known", F.lit(True))
 
 
 def entry_maps(entries: Column, total_words: Column, by_category: bool) -> list[Column]:

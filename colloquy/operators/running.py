@@ -10,13 +10,17 @@ occurrence and −1 at its second. Each phrase is annotated on its own, as it ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as T
 from colloquy.functions.text import sentences
+from colloquy.operators import arrays
 from colloquy.operators import lexicon as X
-from colloquy.operators.sequence import dense_ordinal, first_difference, prefix_sums, previous_values
-from colloquy.operators.tokens import annotate
+from colloquy.operators.sequence import DEFAULT_BLOCK, dense_ordinal, first_difference, previous_values
+from colloquy.session import write_stage
 from colloquy.sources.tables import EMOTIONS
 
 # fixed values: the series the live client plots
@@ -33,64 +37,93 @@ def phrases(turns: DataFrame) -> DataFrame:
     return dense_ordinal(s, ["conv_id"], ["turn", "pos"], out="phrase").select("conv_id", "phrase", "turn", "text")
 
 
-def phrase_counters(phr: DataFrame, emotions: DataFrame, units: DataFrame) -> DataFrame:
-    """Per ``(conv_id, phrase)`` the additive counters of every running indicator."""
-    tok = annotate(phr, id_col="conv_id", keep=("phrase",)).withColumnRenamed("doc_id", "conv_id")
-    word = ~F.col("is_punct") & ~F.col("text").contains("\n")
-    verb = word & (F.col("pos") == "VERB")
-    base = tok.groupBy("conv_id", "phrase").agg(
-        F.count(F.lit(1)).alias("n_doc"), F.sum(word.cast("long")).alias("total"),
-        F.sum((word & (F.col("pos") == "ADV")).cast("long")).alias("n_adv"),
-        F.sum(verb.cast("long")).alias("n_verb"),
-        F.sum((verb & F.col("verb_form").isNotNull() & (F.col("verb_form") != "Inf")).cast("long")).alias("n_vconj"))
-    # units (flat set) on lower-cased lemmas
-    u = (tok.select("conv_id", "phrase", F.lower("lemma").alias("unit"))
-            .join(units.select("unit").distinct(), "unit")
-            .groupBy("conv_id", "phrase").agg(F.count(F.lit(1)).alias("n_units")))
-    # emotions on lower-cased non-punct, non-stop tokens
-    ew = (tok.filter(~F.col("is_punct") & ~F.col("is_stop"))
-             .groupBy("conv_id", "phrase", F.lower("text").alias("word")).agg(F.count(F.lit(1)).alias("c")))
-    em = (X.emotion_lookup(ew, emotions).groupBy("conv_id", "phrase")
-            .agg(*[F.sum(F.col("c") * F.col(e)).alias(e) for e in EMOTIONS]))
-    # hapax: +1 at the first occurrence of a word in the session, −1 at its second
-    countable = tok.filter(~F.col("is_punct") & ~F.col("is_stop") & ~F.col("text").contains("\n"))
-    occ = countable.groupBy("conv_id", "text", "phrase").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("conv_id", "text").orderBy("phrase")
-    first2 = occ.withColumn("_rk", F.row_number().over(w)).filter("_rk <= 2")
-    delta = (F.when(F.col("_rk") == 1, F.when(F.col("c") >= 2, F.lit(0)).otherwise(F.lit(1)))
-              .otherwise(F.lit(-1)))
-    # a word already repeated inside its first phrase is not a hapax from then on: its second
-    # occurrence (row 2, if any) must then not subtract again
-    first2 = first2.withColumn("_c1", F.first("c").over(w))
-    contrib = first2.filter((F.col("_rk") == 1) | (F.col("_c1") < 2))
-    hap = contrib.groupBy("conv_id", "phrase").agg(F.sum(delta).alias("hapax"))
-    out = (phr.select("conv_id", "phrase", "turn")
-              .join(base, ["conv_id", "phrase"], "left").join(u, ["conv_id", "phrase"], "left")
-              .join(em, ["conv_id", "phrase"], "left").join(hap, ["conv_id", "phrase"], "left"))
-    return out.fillna(0, COUNTERS)
-
-
-def running_indicators(counters: DataFrame) -> DataFrame:
-    """Level of each series after every phrase."""
-    cum = prefix_sums(counters, ["conv_id"], "phrase", COUNTERS, suffix="_cum")
-    total = F.col("total_cum").cast("double")
+def _phrase_statistics(phr: DataFrame) -> DataFrame:
+    """Counters of each phrase ``(…, text)`` on its own row, and the run lengths of its words and lemmas."""
+    infinitive = " OR ".join(f"endswith(a.lw, '{x}')" for x in T.VERB_INF_SUFFIXES)
+
+    def count(t: str, condition: str) -> str:
+        return f"CAST(size(filter({t}, a -> {condition})) AS BIGINT)"
+
+    st = arrays.let(arrays.tagged_tokens("array(text)"), lambda t: (
+        f"""named_struct('n_doc', CAST(size({t}) AS BIGINT), 'total', {count(t, "a.pos <> 'PUNCT'")}, 'n_adv', {count(t, "a.pos = 'ADV'")}, """
+        f"""'n_verb', {count(t, "a.pos = 'VERB'")}, 'n_vconj', {count(t, f"a.pos = 'VERB' AND NOT ({infinitive})")}, """
+        f"""'words', {arrays.run_lengths(f"transform(filter({t}, a -> a.pos <> 'PUNCT' AND NOT {T.is_stop_sql('a.lw')}), a -> a.text)")}, """
+        f"""'lemmas', {arrays.run_lengths(f"transform({t}, a -> a.lw)")})"""))
+    return phr.withColumn("st", F.expr(st)).select(*[c for c in phr.columns if c != "text"], "st.*")
 
-    def per_word(c: str) -> Column:
-        return F.when(total > 0, F.col(f"{c}_cum") / total)
 
-    return cum.select(
-        "conv_id", "phrase", "turn",
-        (F.col("hapax_cum") / F.nullif(F.col("n_doc_cum").cast("double"), F.lit(0.0))).alias("TTR"),
-        per_word("n_adv").alias("adv_rates"),
-        F.when(F.col("n_verb_cum") > 0, F.col("n_vconj_cum") / F.col("n_verb_cum")).otherwise(F.lit(0.0))
-         .alias("verb_conj_rate"),
-        F.when(total > 0, F.col("n_units_cum") / total).otherwise(F.lit(0.0)).alias("total_concept_density"),
-        *[per_word(e).alias(f"{e}_rate") for e in ("anger", "disgust", "fear", "joy", "sadness", "surprise")],
-    )
+def session_counters(turns: DataFrame, emotions: DataFrame, units: DataFrame) -> DataFrame:
+    """One row of additive counters per phrase: ``(conv_id, turn, pos, *COUNTERS)``.
+
+    The turns are read once; the phrases' own counters and distinct words are written to the shared folder. From there the words are looked up, and
+    the first two phrases of a word in its session give the hapax steps (ranked per word, cut to two rows before the
+    shuffle). All contributions are added up in one aggregation.
+    """
+    keys = ["conv_id", "turn", "pos"]
+    phr = turns.filter(F.col("speaker") == 2).select(
+        "conv_id", "turn", F.posexplode(sentences(F.col("text"))).alias("pos", "text"))
+    st = write_stage(_phrase_statistics(phr), "phrases")
+    zero = F.lit(0).cast("bigint")
+
+    def part(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select(*keys, *[F.coalesce(given.get(c, zero), zero).cast("bigint").alias(c) for c in COUNTERS])
+
+    own = part(st, **{c: F.col(c) for c in ("n_doc", "total", "n_adv", "n_verb", "n_vconj")})
+    asked = st.select(*keys, F.explode(F.concat(
+        F.transform("words", lambda x: F.struct(F.lit("emotion").alias("kind"), F.lower(x["word"]).alias("word"), x["n"].alias("n"))),
+        arrays.repeated_words("lemmas", "unit"))).alias("w")).select(*keys, "w.*")
+    found = asked.join(X.lookup_table(None, emotions, units=units), ["kind", "word"])
+    looked_up = part(found, n_units=F.when(F.col("kind") == "unit", F.col("n")), **{e: F.col("n") * F.col(e) for e in EMOTIONS})
+    # hapax: +1 at a word's first phrase if it occurs once there; −1 at its second phrase if it was one until then
+    w = Window.partitionBy("conv_id", "word").orderBy("turn", "pos")
+    seen = st.select(*keys, F.explode("words").alias("w")).select(*keys, "w.*").withColumn("_rank", F.row_number().over(w)).filter("_rank <= 2")
+    seen = seen.withColumn("_before", F.lag("n").over(w))
+    step = F.when(F.col("_rank") == 1, F.when(F.col("n") == 1, 1).otherwise(0)).otherwise(F.when(F.col("_before") == 1, -1).otherwise(0))
+    rows = own.unionByName(looked_up).unionByName(part(seen, hapax=step))
+    return write_stage(rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS]), "phrase-counters")
+
+
+def _levels(counter: Callable[[str], Column]) -> dict[str, Column]:
+    """Level of each series from its cumulated counters."""
+    total = counter("total").cast("double")
+
+    def per_word(c: str) -> Column:
+        return F.when(total > 0, counter(c) / total)
+
+    return {
+        "TTR": counter("hapax") / F.nullif(counter("n_doc").cast("double"), F.lit(0.0)),
+        "adv_rates": per_word("n_adv"),
+        "verb_conj_rate": F.when(counter("n_verb") > 0, counter("n_vconj") / counter("n_verb")).otherwise(F.lit(0.0)),
+        "total_concept_density": F.when(total > 0, counter("n_units") / total).otherwise(F.lit(0.0)),
+        **{f"{e}_rate": per_word(e) for e in ("anger", "disgust", "fear", "joy", "sadness", "surprise")}}
+
+
+def running_levels(counters: DataFrame, with_differences: bool = False, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Level of each series after every phrase; W4 as well on demand.
+
+    A fused scan over blocks of turns: block totals give each block's offset (one row a block), and one window inside
+    the blocks adds up. A phrase's counters are its cumulated ones less those before it, so the previous
+    level comes from the same row and no lag has to reach over a block's border.
+    """
+    b = counters.withColumn("_blk", F.floor(F.col("turn") / F.lit(block)).cast("long")).withColumn("_one", F.lit(1).cast("bigint"))
+    names = [*COUNTERS, "_one"]
+    earlier = Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = b.groupBy("conv_id", "_blk").agg(*[F.sum(c).alias(c) for c in names]).select(
+        "conv_id", "_blk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off_{c}") for c in names])
+    inside = Window.partitionBy("conv_id", "_blk").orderBy("turn", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = b.join(offsets, ["conv_id", "_blk"]).select(
+        "conv_id", "turn", *names, *[(F.col(f"_off_{c}") + F.sum(c).over(inside)).alias(f"{c}_cum") for c in names])
+    now = _levels(lambda x: F.col(f"{x}_cum"))
+    out = [*[v.alias(k) for k, v in now.items()]]
+    if with_differences:
+        before = _levels(lambda x: F.col(f"{x}_cum") - F.col(x))
+        first = F.col("_one_cum") == 1
+        out += [F.when(first | before[s].isNull(), now[s]).otherwise(now[s] - before[s]).alias(f"delta_{s}") for s in RUNNING_SERIES]
+    return c.select("conv_id", (F.col("_one_cum") - 1).alias("phrase"), "turn", *out)
 
 
 def differences(levels: DataFrame, series: list[str] = RUNNING_SERIES) -> DataFrame:
-    """First difference of each series (the first phrase keeps its level)."""
+    """W4 on a table of levels: first difference of each series (the first phrase keeps its level)."""
     p = previous_values(levels, ["conv_id"], "phrase", series, prefix="_prev_")
     return p.select("conv_id", "phrase", "turn", *series, *[
         first_difference(F.col(s), F.col(f"_prev_{s}")).alias(f"delta_{s}") for s in series])

@@ -19,9 +19,9 @@ PHRASES_SQL = (TURNS_SQL + ", ph0 AS (SELECT conv_id, turn, CAST(generate_subscr
                "ORDER BY turn, pos) - 1 AS BIGINT) AS phrase, turn, text FROM ph0)")
 _W = "NOT is_punct AND NOT contains(text, chr(10))"
 _COUNTERS_SQL = (
-    "WITH " + PHRASES_SQL + ", src AS (SELECT conv_id * 1000000 + phrase AS doc_id, text FROM phrases), "
+    "WITH " + PHRASES_SQL + ", src AS (SELECT struct_pack(c := conv_id, p := phrase) AS doc_id, text FROM phrases), "
     + tokens_cte("src").lstrip() + "," + lexicon_ctes() + f""",
-  tk AS (SELECT doc_id // 1000000 AS conv_id, doc_id % 1000000 AS phrase, * EXCLUDE (doc_id) FROM tok),
+  tk AS (SELECT doc_id.c AS conv_id, doc_id.p AS phrase, * EXCLUDE (doc_id) FROM tok),
   base AS (SELECT conv_id, phrase, count(*) AS n_doc, sum(CASE WHEN {_W} THEN 1 ELSE 0 END) AS total,
       sum(CASE WHEN {_W} AND pos = 'ADV' THEN 1 ELSE 0 END) AS n_adv,
       sum(CASE WHEN {_W} AND pos = 'VERB' THEN 1 ELSE 0 END) AS n_verb,
@@ -53,11 +53,10 @@ def _turns(spark, sf):
     return S.spread(S.turns(spark, sf))
 
 
-def _levels(spark, sf):
+def _levels(spark, sf, with_differences=False):
     vocab = S.vocabulary(spark, sf)
     val, emo = S.valence_lexicon(vocab), S.emotion_lexicon(vocab)
-    phr = R.phrases(_turns(spark, sf))
-    return R.running_indicators(R.phrase_counters(phr, emo, X.unit_set(val, emo)))
+    return R.running_levels(R.session_counters(_turns(spark, sf), emo, X.unit_set(val, emo)), with_differences)
 
 
 @register("w3", _COUNTERS_SQL + "\nSELECT conv_id, phrase, turn, " + ", ".join(f"{rsql(s)} AS {s}" for s in R.RUNNING_SERIES) + " FROM lvl")
@@ -72,7 +71,7 @@ def q_w3(spark, sf):
                       for s in R.RUNNING_SERIES) + " FROM lvl")
 def q_w4(spark, sf):
     """First differences of the running indicators (first phrase keeps its level)."""
-    return rounded(R.differences(_levels(spark, sf)))
+    return rounded(_levels(spark, sf, with_differences=True))
 
 
 @register("w2", "WITH " + PHRASES_SQL + " SELECT conv_id, phrase, array_to_string(list(text) OVER (PARTITION BY conv_id "

@@ -8,7 +8,7 @@ is a ``transformWithStateInPandas`` processor holding
 * a MapState word → count (only what the hapax count needs, never the text itself).
 
 Each phrase emits one row with the levels and first differences; the result equals the
-batch :func:`colloquy.operators.running.running_indicators` / ``differences``. State of idle
+batch :func:`colloquy.operators.running.running_levels`. State of idle
 sessions can be expired with a TTL. T7 is a watermarked windowed aggregation.
 """
 

@@ -65,3 +65,49 @@ def test_annotator_links_tokens_to_verbs(spark):
     assert t[(0, "Il")]["dep"] == "nsubj" and t[(0, "Il")]["head_id"] == 1
     assert t[(0, "maison")]["dep"] == "obj" and t[(0, "maison")]["head_id"] == 1
     assert t[(0, ".")]["is_punct"] and t[(1, "!")]["pos"] == "PUNCT"
+
+
+def test_array_row_equals_token_table_row(spark):
+    """The array path against the token-table aggregates, both unit modes, maps included."""
+    import random
+
+    rng = random.Random(11)
+    pool = ("Le la chien maison dort mangeons rapidement not that qui who because The Dog runs is gehen haus wichtig 12 3 x1 zu é ß "
+            "nation nations marchait marcher , ; ! . ? \n").split(" ")
+    texts = ["", "...", "x", "dort dort dort", None] + [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 120))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    val, emo = lexicons(spark, [("dort", 2, 1), ("dort", 3, 2), ("dog", -1, 3), (".", 4, 4)], [("chien", 1, 0, 0, 1, 0, 0, 1), ("dog", 0, 1, 0, 0, 0, 0, 2)])
+    dic = spark.createDataFrame([("chien", "chien", None, "chien", None, "v", 0), ("Dog", None, "Dog", None, None, "v", 1), ("!", None, None, None, "!", "v", 2)],
+                                "mot string, ACTEURS string, OBJETS string, LIEUX string, ACTIONS string, provenance string, _line long")
+    for mode in ({"dictionary": dic}, {"units": X.unit_set(val, emo)}):
+        a = {r["doc_id"]: r.asDict(recursive=True) for r in I.indicator_row(docs, val, emo, **mode).collect()}
+        b = {r["doc_id"]: r.asDict(recursive=True) for r in I.indicator_row(docs, val, emo, tokens=annotate(docs), **mode).collect()}
+        assert sorted(a) == sorted(b)
+        for i, row in a.items():
+            for c, x in row.items():
+                y = b[i][c]
+                assert x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 1e-9), (i, texts[i], c, x, y)
+
+
+def test_verb_links_are_linear_in_the_sentence(spark):
+    """Four times the words of one sentence cost about four times, not sixteen times."""
+    import time
+
+    def seconds(n):
+        docs = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(" ".join(["marchait", "maison", "the", "dog"] * (n // 4))).alias("text"))
+        best = 1e9
+        for _ in range(3):
+            t = time.time()
+            annotate(docs).agg(F.sum("head_id")).collect()
+            best = min(best, time.time() - t)
+        return best
+
+    small, large = seconds(20_000), seconds(80_000)
+    assert large < 8 * small
+
+
+def test_no_window_or_token_shuffle_in_the_indicator_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    val, emo = lexicons(spark)
+    p = I.indicator_row(docs, val, emo, units=X.unit_set(val, emo))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in p and "InMemory" not in p and p.count("Scan parquet") + p.count("FileScan parquet") <= 2

@@ -1,5 +1,7 @@
 """Blocked windows equal plain windows; runs and running indicators (FIXTURES D)."""
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,12 +37,11 @@ def test_speaker_runs(spark):
 def test_running_hapax_and_difference(spark):
     t = spark.createDataFrame([(1, 0, 2, "k m."), (1, 1, 2, "m n."), (1, 2, 2, "k.")],
                               "conv_id long, turn long, speaker int, text string")
-    phr = R.phrases(t)
     emo = spark.createDataFrame([("qqq", 0, 0, 0, 0, 0, 0, 0)],
                                 "word string, joy int, fear int, sadness int, anger int, surprise int, disgust int, line_no long")
     units = spark.createDataFrame([("qqq",)], "unit string")
-    c = R.phrase_counters(phr, emo, units)
-    cum = prefix_sums(c, ["conv_id"], "phrase", ["hapax", "n_doc"]).orderBy("phrase").collect()
+    c = R.session_counters(t, emo, units)
+    cum = prefix_sums(c, ["conv_id"], "turn", ["hapax", "n_doc"]).orderBy("turn").collect()
     assert [r["hapax_cum"] for r in cum] == [2, 2, 1]
     # N counts punctuation too: "k m ." → 3, "m n ." → 6, "k ." → 8
     assert [r["n_doc_cum"] for r in cum] == [3, 6, 8]
@@ -49,6 +50,43 @@ def test_running_hapax_and_difference(spark):
     assert [round(r["delta_TTR"], 10) for r in d] == [0.5, 0.2, -0.3]
 
 
+def test_fused_scan_equals_the_whole_text_of_each_prefix(spark):
+    """Levels and differences, over small blocks, against counting on every prefix of the session."""
+    rnd = random.Random(5)
+    words = "k m n the not marchait gehen dog".split()
+    said = {c: [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) + rnd.choice([".", "! ", "? more."]) for _ in range(23)] for c in (1, 2)}
+    said[3] = ["dog."]
+    rows = [(c, 2 * i, 2, t) for c, ts in said.items() for i, t in enumerate(ts)] + [(1, 1, 1, "ignored clinician words.")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, speaker int, text string")
+    emo = spark.createDataFrame([("k", 1, 0, 0, 0, 0, 0, 0), ("dog", 0, 1, 1, 0, 0, 0, 1), ("k", 0, 1, 0, 0, 0, 0, 2)],
+                                "word string, joy int, fear int, sadness int, anger int, surprise int, disgust int, line_no long")
+    units = spark.createDataFrame([("m",), ("not",)], "unit string")
+    got = {(r["conv_id"], r["phrase"]): r for r in
+           R.running_levels(R.session_counters(turns, emo, units), with_differences=True, block=3).collect()}
+    phr = {(r["conv_id"], r["phrase"]): r["text"] for r in R.phrases(turns).collect()}
+    assert sorted(got) == sorted(phr)
+    before = {}
+    for (c, p), text in sorted(phr.items()):
+        seen = " ".join(phr[(c, q)] for q in range(p + 1))
+        tokens = re.findall(r"\w+|[^\w\s]", seen)
+        plain = [t for t in tokens if t.isalnum()]
+        count = Counter(t for t in plain if t not in ("the", "not"))
+        verbs = [t for t in plain if t in ("marchait", "gehen")]
+        level = {"TTR": sum(n == 1 for n in count.values()) / len(tokens), "adv_rates": plain.count("not") / len(plain),
+                 "verb_conj_rate": float(any(t == "marchait" for t in verbs)), "total_concept_density": sum(t in ("m", "not") for t in plain) / len(plain),
+                 "joy_rate": plain.count("k") / len(plain), "fear_rate": plain.count("dog") / len(plain), "anger_rate": 0.0}
+        for s, x in level.items():
+            assert abs(got[(c, p)][s] - x) < 1e-9, (c, p, s)
+            assert abs(got[(c, p)][f"delta_{s}"] - (x - before[s] if p else x)) < 1e-9, (c, p, s)
+        before = level
+
+
+def test_fused_scan_has_few_exchanges(spark):
+    c = spark.createDataFrame([(1, 0, 0, *[1] * len(R.COUNTERS))], "conv_id long, turn long, pos int, " + ", ".join(f"{x} long" for x in R.COUNTERS))
+    p = R.running_levels(c, with_differences=True)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange hashpartitioning") < 6
+
+
 def test_casenote_layout(spark):
     sents = spark.createDataFrame([(1, 0, "Hello there."), (1, 1, "I sleep badly.")], "conv_id long, ordinal long, sentence string")
     notes = spark.createDataFrame([(1, 0, 1, "sleep issue", 1), (1, 1, 0, "greets", 0), (1, 2, 1, "x", 99)],

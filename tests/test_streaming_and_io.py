@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark, tmp_path):
     St.run_to_end(St.session_stream(stream, emo, units), sink, str(tmp_path / "ckpt"))
     got = rounded(spark.read.parquet(sink).select("conv_id", "phrase", *R.RUNNING_SERIES,
                                                   *[f"delta_{s}" for s in R.RUNNING_SERIES]))
-    batch = R.differences(R.running_indicators(R.phrase_counters(R.phrases(turns), emo, units)))
+    batch = R.running_levels(R.session_counters(turns, emo, units), with_differences=True)
     want = rounded(batch.drop("turn"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
