@@ -69,15 +69,15 @@ def tagged_tokens(sentences: str) -> str:
     """
     closed = {"DET": T.DET_WORDS, "AUX": T.AUX_WORDS, "PRON": T.PRON_WORDS, "ADP": T.ADP_WORDS, "CCONJ": T.CCONJ_WORDS,
               "SCONJ": T.SCONJ_WORDS, "ADV": T.ADV_WORDS}
-    classes = " ".join(f"WHEN lw IN {T.sql_list(w)} THEN '{c}'" for c, w in closed.items())
-    ends = lambda suffixes: "(" + " OR ".join(f"endswith(lw, '{x}')" for x in suffixes) + ")"
-    pos = (f"CASE WHEN lw IN {T.sql_list(dict.fromkeys(w for ws in closed.values() for w in ws))} THEN CASE {classes} END "
-           f"WHEN NOT (t rlike '{literal(T.PUNCT_TEST_RE)}') THEN 'PUNCT' WHEN t rlike '{literal(T.NUM_TEST_RE)}' THEN 'NUM' "
-           f"WHEN i > 0 AND left(t, 1) <> lower(left(t, 1)) THEN 'PROPN' WHEN {ends(T.ADV_SUFFIXES)} THEN 'ADV' "
+    classes = " ".join(f"WHEN x.lw IN {T.sql_list(w)} THEN '{c}'" for c, w in closed.items())
+    ends = lambda suffixes: "(" + " OR ".join(f"endswith(x.lw, '{end}')" for end in suffixes) + ")"
+    pos = (f"CASE WHEN x.lw IN {T.sql_list(dict.fromkeys(w for ws in closed.values() for w in ws))} THEN CASE {classes} END "
+           f"WHEN NOT (x.text rlike '{literal(T.PUNCT_TEST_RE)}') THEN 'PUNCT' WHEN x.text rlike '{literal(T.NUM_TEST_RE)}' THEN 'NUM' "
+           f"WHEN i > 0 AND left(x.text, 1) <> lower(left(x.text, 1)) THEN 'PROPN' WHEN {ends(T.ADV_SUFFIXES)} THEN 'ADV' "
            f"WHEN {ends(T.NOUN_SUFFIXES)} THEN 'NOUN' WHEN {ends(T.VERB_INF_SUFFIXES + T.VERB_FIN_SUFFIXES)} THEN 'VERB' "
-           f"WHEN {ends(T.ADJ_SUFFIXES)} THEN 'ADJ' ELSE 'NOUN' END").replace("lw", "lower(t)")
-    return (f"flatten(transform({sentences}, (s, k) -> transform(regexp_extract_all(s, '{literal(T.TOKEN_RE)}', 0), (t, i) -> "
-            f"named_struct('sent', k, 'text', t, 'lw', lower(t), 'pos', {pos}))))")
+           f"WHEN {ends(T.ADJ_SUFFIXES)} THEN 'ADJ' ELSE 'NOUN' END")
+    return (f"flatten(transform({sentences}, (s, k) -> transform(transform(regexp_extract_all(s, '{literal(T.TOKEN_RE)}', 0), "
+            f"t -> named_struct('text', t, 'lw', lower(t))), (x, i) -> named_struct('sent', k, 'text', x.text, 'lw', x.lw, 'pos', {pos}))))")
 
 
 #: What the sentence measures ask of a token: numbers of :func:`token_roles`.

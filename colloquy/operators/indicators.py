@@ -54,20 +54,22 @@ def indicator_row(docs: DataFrame, valence: DataFrame, emotions: DataFrame,
         "n_freq": F.aggregate(amounts, F.lit(0).cast("bigint"), lambda x, n: x + n),
         "sq_freq": F.aggregate(amounts, F.lit(0).cast("bigint"), lambda x, n: x + n * n),
         "range_freq_words": F.array_max(amounts) - F.array_min(amounts)}
-    rows = st.select("doc_id", *[c.alias(n) for n, c in scalars.items()], F.explode(F.concat(
+    # the counters travel once, on the row of kind "row"; the look-up rows stay narrow
+    rows = st.select("doc_id", F.named_struct(*[x for n, c in scalars.items() for x in (F.lit(n), c)]).alias("counters"), F.explode(F.concat(
         F.array(F.struct(F.lit("row").alias("kind"), F.col("doc_id").cast("string").alias("word"), F.lit(0).cast("bigint").alias("n"))),
         F.transform(words, lambda x: F.struct(F.lit("emotion").alias("kind"), F.lower(x["word"]).alias("word"), x["n"].alias("n"))),
         arrays.repeated_words("st.lemmas", "unit"), arrays.repeated_words("blank_words", "valence"))).alias("w"))
-    rows = rows.select("doc_id", *[F.when(F.col("w.kind") == "row", F.col(c)).alias(c) for c in scalars], "w.*")
-    found = (rows.join(lexicon.lookup_table(valence, emotions, dictionary, units), ["kind", "word"], "left")
+    rows = rows.select("doc_id", F.when(F.col("w.kind") == "row", F.col("counters")).alias("counters"), "w.*")
+    # a lexicon has each key once, so its hashed partitions are even: no need to sort the look-ups
+    found = (rows.join(lexicon.lookup_table(valence, emotions, dictionary, units).hint("shuffle_hash"), ["kind", "word"], "left")
              .filter((F.col("kind") == "row") | F.col("known")))
     unit = F.col("kind") == "unit"
     sums = [F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in (*EMOTIONS, "value")]
     entries = [F.collect_list(F.when(unit, F.struct("categories", F.col("word").alias("unit"), F.col("n").alias("count")))).alias("entries")]
     d = found.groupBy("doc_id").agg(
-        *[F.max(c).alias(c) for c in scalars], *sums, F.sum(F.when(unit, 1).otherwise(0)).alias("n_unique"),
+        F.get(F.collect_list("counters"), F.lit(0)).alias("counters"), *sums, F.sum(F.when(unit, 1).otherwise(0)).alias("n_unique"),
         F.sum(F.when(unit, F.col("n") * F.size("categories")).otherwise(0)).alias("n_total"), *(entries if with_maps else []))
-    return _finished(d, a, emotion_normalised, with_maps, dictionary is not None)
+    return _finished(d.select("*", "counters.*"), a, emotion_normalised, with_maps, dictionary is not None)
 
 
 def _finished(d: DataFrame, a: float, emotion_normalised: bool, with_maps: bool, by_category: bool) -> DataFrame:

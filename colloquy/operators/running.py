@@ -72,7 +72,7 @@ def session_counters(turns: DataFrame, emotions: DataFrame, units: DataFrame) ->
     asked = st.select(*keys, F.explode(F.concat(
         F.transform("words", lambda x: F.struct(F.lit("emotion").alias("kind"), F.lower(x["word"]).alias("word"), x["n"].alias("n"))),
         arrays.repeated_words("lemmas", "unit"))).alias("w")).select(*keys, "w.*")
-    found = asked.join(X.lookup_table(None, emotions, units=units), ["kind", "word"])
+    found = asked.join(X.lookup_table(None, emotions, units=units).hint("shuffle_hash"), ["kind", "word"])
     looked_up = part(found, n_units=F.when(F.col("kind") == "unit", F.col("n")), **{e: F.col("n") * F.col(e) for e in EMOTIONS})
     # hapax: +1 at a word's first phrase if it occurs once there; −1 at its second phrase if it was one until then
     w = Window.partitionBy("conv_id", "word").orderBy("turn", "pos")
