@@ -4,38 +4,36 @@ A document's set are the hashes of its distinct five-word shingles. One permutat
 them over a universe of ``2**LOG2_UNIVERSE`` places; a second one (pi), circularly shifted by k, gives
 coordinate k of the signature: the least pi(place - k) over the set. As the shifts are
 consecutive, all ``BANDS * ROWS`` coordinates of a shingle are one stretch of the table of pi, so a
-signature is the minimum of such stretches. ``ROWS`` coordinates make a band; documents that agree
-on a band are candidates, and every link is confirmed on the full sets
+signature is the minimum of such stretches. It is kept as a sketch, a hashed byte a coordinate. ``ROWS`` coordinates make a band;
+documents that agree on a band are candidates, and every link is confirmed on the full sets
 (``100 * intersection >= 75 * union``). At similarity 0.75 a pair shares no band with probability
-``(1 - 0.75**ROWS)**BANDS``, about 1e-8.
+``(1 - 0.75**ROWS)**BANDS``, about 4e-6; at 0.5 it shares one with 0.63, at 0.33 with 0.08.
 
 Equal sets form a class first, so exact copies are one node however many there are. Buckets never
-emit all their pairs. In each round a bucket's members are sorted by a stretch of their signatures that
-is drawn anew for each bucket, order and round, so that those alike come together, and each is
-compared with the next one that shares the stretch's first ``AGREE`` coordinates (in buckets of up to ``WHOLE``
-members, and in the first round, whatever they share) when that isn't in its component yet. A pair's signatures are compared first, a byte a coordinate: of
-those that agree in less than ``LEAST`` of them (less than 1e-10 of the pairs at 0.75) the sets aren't shipped. Of the others,
-each document's most alike partner is confirmed first, then what still lies between components. Links
-join components (large-star and small-star steps over written tables); the next round works on buckets
-that still hold several components, until two rounds running find no link. The rounds are linear in the
-band rows and join what is plainly alike.
+emit all their pairs. A round takes the bands up to its bound in ``ROUNDS``: the members of a bucket are sorted by a stretch of their
+sketches that is drawn for the bucket, so that those alike come together, and each is compared with the next one, in
+buckets of up to ``WHOLE`` members with all, unless they are in one component by then. Sketches are compared first: of pairs that
+agree in less than ``LEAST`` coordinates (five deviations below 0.75) the sets aren't shipped. Links join components (large-star and
+small-star steps over written tables) before the next round's bands are read, so what is plainly alike is joined by the first rounds and every band row
+is read once.
 
 What is left is finished exactly: in every bucket of more than ``WHOLE`` members that still holds several
-components, all signatures of different components are compared, block by block of ``BLOCK`` members so that
-no task holds a bucket, and the sets of all pairs that agree in ``LEAST`` coordinates are compared. Blocks of one large
-component never meet each other. This is quadratic in the members that stay apart while sharing bands, and only in those.
+components, all sketches of different components are compared, block by block of ``BLOCK`` members so that
+no task holds a bucket, and a pair that agrees in ``LEAST`` coordinates is named by the first band it shares and compared on the
+sets. Blocks of one large component never meet each other. This is quadratic in the members that stay apart while sharing bands, and only in those.
 
 The full sets are made for candidates only: their ids pass a bitmap of fixed size on the scan.
 
-Defined cases: null and empty texts have no shingles and are linked with nothing; fewer words than five
+Defined cases: null and empty texts have no shingles and are linked with nothing; very long texts are one set like any other; fewer words than five
 are one shingle; rows without an id come out unlinked with a null component and kept; an id is one
 node: an id with several texts has a row for each and their links count for it; repeated rows
-give one row; an empty table gives an empty result; other columns are ignored.
+give one row; of tied ids the least names the component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +43,11 @@ from pyspark.sql import functions as F
 from colloquy.llm import common as C
 
 WORDS = 5
-ROWS, BANDS = 4, 48
-LEAST = round(0.52 * ROWS * BANDS)
+ROWS, BANDS = 6, 64
+LEAST = round(0.64 * ROWS * BANDS)
+ROUNDS = (2, 8, 24, BANDS)  #: bands from the last bound to this one are a round's; the first are few, as they join most
 LOG2_UNIVERSE = 22
-WHOLE, ORDERS, PREFIX, AGREE = 4, 8, 8, 2
+WHOLE, PREFIX = 4, 8
 BLOCK = 256
 LOG2_BITS = 24
 _SIGMA = C.U(0xA0761D6478BD642F)
@@ -78,7 +77,8 @@ class Signer:
 
     def __init__(self, rows: int = ROWS, bands: int = BANDS):
         self.rows, self.bands = rows, bands
-        pi = np.random.default_rng(7).permutation(1 << LOG2_UNIVERSE).astype(np.int32)
+        pi = np.arange(1 << LOG2_UNIVERSE, dtype=np.int32)
+        np.random.default_rng(7).shuffle(pi)
         n = rows * bands
         self.stretch = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi[-n:], pi]), n)
 
@@ -103,41 +103,43 @@ class Signer:
         return (C.mix(self.signature(shingles) + C.U(0x2545F4914F6CDD1D)) >> C.U(56)).astype(np.uint8).tobytes()
 
 
+@cache
+def signer_of_worker() -> Signer:
+    """One table a Python worker, however many tasks it runs."""
+    return Signer()
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2, bands): size and digest of each set, and its band keys."""
+    """(doc_id, n, d1, d2, sketch): size, digest and sketch of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer = signer_of_worker()
         for b in batches:
             for s in C.slices(b):
                 sets = shingle_sets(s.column("text"))
                 d = [digests(x) for x in sets]
-                bands = [signer.bands_of(x) for x in sets if len(x)]
-                filled = np.cumsum([0, *(len(x) > 0 for x in sets)]) * BANDS
+                sketches = [signer.sketch(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [s.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()),
-                     pa.array([x[1] for x in d], pa.int64()), C.ragged(np.concatenate(bands or [np.zeros(0, np.int64)]), filled, pa.int64())],
-                    names=["doc_id", "n", "d1", "d2", "bands"])
+                     pa.array([x[1] for x in d], pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles, sketch) of the documents whose id passes the bitmap of ``wanted`` (rep), made on the scan."""
+    """(rep, shingles) of the documents whose id passes the bitmap of ``wanted`` (rep), made on the scan."""
     bits = C.bitmap(wanted, "rep", LOG2_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
         for b in batches:
             b = b.filter(pa.array(C.in_bitmap(bits, b.column("rep").to_numpy())))
             for s in C.slices(b):
                 sets = shingle_sets(s.column("text"))
                 full = pa.array([len(x) > 0 for x in sets])
                 sets = [x for x in sets if len(x)]
-                yield pa.RecordBatch.from_arrays([s.column("rep").filter(full), pa.array([x.tobytes() for x in sets], pa.binary()),
-                                                  pa.array([signer.sketch(x) for x in sets], pa.binary())], names=["rep", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([s.column("rep").filter(full), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
 
-    return docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("rep"), "text").mapInArrow(run, "rep long, shingles binary, sketch binary")
+    return docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("rep"), "text").mapInArrow(run, "rep long, shingles binary")
 
 
 def passing(rows: DataFrame, column: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
@@ -152,7 +154,7 @@ def passing(rows: DataFrame, column: str, wanted: DataFrame, inside: bool = True
 
 
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, agree): the pairs whose signatures agree in ``LEAST`` coordinates or more."""
+    """(a, b, agree): the pairs whose sketches agree in ``LEAST`` coordinates or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -161,7 +163,8 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             made = pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(agree, pa.int64())], names=["a", "b", "agree"])
             yield made.filter(pa.array(agree >= LEAST))
 
-    of = lambda c, name: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(name))
+    few = passing(sketches, "rep", pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    of = lambda c, name: few.select(F.col("rep").alias(c), F.col("sketch").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -192,7 +195,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("rep"), "a", F.lit(None).cast("long").alias("b")).distinct().unionByName(
         pairs.select(F.col("b").alias("rep"), "a", "b"))
-    both = wanted.join(passing(sets.select("rep", "shingles"), "rep", wanted), "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    both = wanted.join(passing(sets, "rep", wanted), "rep").select("a", "b", "shingles").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -233,51 +236,45 @@ def starred(edges: DataFrame) -> bool:
 
 
 def representatives(valid: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, bands) of one document a class. The bands of a set that occurs once aren't shuffled for it."""
+    """(rep, sketch) of one document a class. The sketch of a set that occurs once isn't shuffled for it."""
     several = classes.where("many")
-    alone = passing(valid, "d1", several, inside=False).select(F.col("doc_id").alias("rep"), "bands")
+    alone = passing(valid, "d1", several, inside=False).select(F.col("doc_id").alias("rep"), "sketch")
     first = passing(valid, "d1", several).join(classes.select("n", "d1", "d2", F.col("rep").alias("doc_id"), "rep"), ["doc_id", "n", "d1", "d2"])
-    return alone.unionByName(first.select("rep", "bands"))
+    return alone.unionByName(first.select("rep", "sketch")).dropDuplicates(["rep", "sketch"])
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(key, rep) of all bands that several documents share."""
-    rows = reps.select(F.explode("bands").alias("key"), "rep")
+    """(key, band, rep, near) of all bands that several documents share; ``near`` orders a bucket's members."""
+    rows = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
+        "rep", "sketch", F.col("band").cast("byte").alias("band"), F.expr(f"xxhash64(band, substring(sketch, {ROWS} * band + 1, {ROWS}))").alias("key"))
+    rows = rows.select("key", "band", "rep", F.expr(
+        f"substring(sketch, cast(1 + pmod(xxhash64(key, 1), {ROWS * BANDS - PREFIX}) as int), {PREFIX})").alias("near"))
     w = Window.partitionBy("key").orderBy("rep")
     return (rows.withColumn("p", F.lag("rep").over(w)).withColumn("q", F.lead("rep").over(w))
-            .where("p is not null or q is not null").select("key", "rep"))
+            .where("p is not null or q is not null").select("key", "band", "rep", "near"))
 
 
 def still_open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The bucket rows with their components; buckets within one component are done for good."""
-    if labels is None:
-        return shared.withColumn("comp", F.col("rep")).withColumn("size", F.lit(0).cast("long"))
-    rows = shared.select("key", "rep").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    """The bucket rows with their components and bucket sizes; buckets within one component are done for good."""
+    rows = shared.withColumn("comp", F.col("rep")) if labels is None else (
+        shared.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
     w = Window.partitionBy("key")
     return (rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
             .where("lo <> hi").drop("lo", "hi"))
 
 
-def round_pairs(rows: DataFrame, sketches: DataFrame, number: int) -> DataFrame:
-    """Pairs (a < b) of neighbours in this round's orders that lie in different components.
-
-    The first round has few orders, as most of what it brings together is alike."""
-    orders = range(2 if number == 1 else ORDERS)
-    start = f"cast(1 + pmod(xxhash64(key, {number}, {{}}), {ROWS * BANDS - PREFIX}) as int)"
-    rows = rows.join(sketches, "rep").select("key", "rep", "comp", "size", *(
-        F.expr(f"substring(sketch, {start.format(i)}, {PREFIX})").alias(f"order_{i}") for i in orders))
-    ahead = []
-    for i in orders:
-        w = Window.partitionBy("key").orderBy(f"order_{i}", "rep")
-        ahead += [F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"),
-                           ((F.col("size") <= WHOLE) | F.lit(j == 1) & (F.substring(F.lag(f"order_{i}", j).over(w), 1, AGREE) == F.substring(f"order_{i}", 1, AGREE))).alias("use")) for j in range(1, WHOLE if number > 1 and i == 0 else 2)]
+def round_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of neighbours in their bucket's order that lie in different components; all pairs of small buckets."""
+    w = Window.partitionBy("key").orderBy("near", "rep")
+    ahead = F.array(*[F.struct(F.lag("rep", j).over(w).alias("rep"), F.lag("comp", j).over(w).alias("comp"), (F.lit(j == 1) | (F.col("size") <= WHOLE)).alias("use"))
+                      for j in range(1, WHOLE)])
     other = F.filter("ahead", lambda x: x["use"] & x["rep"].isNotNull() & (x["comp"] != F.col("comp")))
-    pairs = rows.withColumn("ahead", F.array(*ahead)).select("rep", F.explode(other).alias("x"))
+    pairs = rows.withColumn("ahead", ahead).select("rep", F.explode(other).alias("x"))
     return pairs.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
 
 
 def cells(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(cell, within, first, rep, comp, sketch): the large buckets' rows, dealt so that any two of a bucket that lie in
+    """(cell, band, within, first, rep, comp, sketch): the large buckets' rows, dealt so that any two of a bucket that lie in
     different components meet in one cell: within a block, or as the first and the other block of two.
 
     A component of more than ``BLOCK`` rows of a bucket has blocks of its own, the others share theirs."""
@@ -285,24 +282,26 @@ def cells(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     split = (parts.groupBy("key", "own").agg(F.sum("n").alias("n")).groupBy("key")
              .agg(F.sum("n").alias("size"), F.collect_list(F.struct("own", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))).alias("split"))
              .where(F.col("size") > WHOLE))
-    dealt = rows.select("key", "rep", "comp").join(parts.select("key", "comp", "own"), ["key", "comp"]).join(split, "key")
+    dealt = rows.select("key", "band", "rep", "comp").join(parts.select("key", "comp", "own"), ["key", "comp"]).join(split, "key")
     blocks = "filter(split, x -> x.own <=> own)[0].blocks"
     dealt = dealt.withColumn("me", F.expr(f"struct(own, cast(pmod(xxhash64(rep), {blocks}) as int) as block)"))
-    met = dealt.select("key", "rep", "comp", "me", F.explode(F.expr(
+    met = dealt.select("key", "band", "rep", "comp", "me", F.explode(F.expr(
         "flatten(transform(filter(split, x -> own is null or not x.own <=> own), x -> transform(sequence(0, x.blocks - 1), b -> struct(x.own as own, b as block))))")).alias("other"))
-    met = met.select("rep", "comp", F.expr("xxhash64(key, least(me, other).own, least(me, other).block, greatest(me, other).own, greatest(me, other).block)").alias("cell"),
+    met = met.select("rep", "band", "comp", F.expr("xxhash64(key, least(me, other).own, least(me, other).block, greatest(me, other).own, greatest(me, other).block)").alias("cell"),
                      F.expr("me = other or (me.own <=> other.own and me.block = other.block)").alias("within"), F.expr("least(me, other) <=> me").alias("first"))
-    return met.join(sketches, "rep").select("cell", "within", "first", "rep", "comp", "sketch")
+    return met.join(sketches, "rep").select("cell", "band", "within", "first", "rep", "comp", "sketch")
 
 
 def all_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, agree): all pairs of different components in large buckets whose signatures agree in ``LEAST`` coordinates or more."""
+    """(a, b, agree): all pairs of different components in large buckets whose sketches agree in ``LEAST`` coordinates or
+    more, each in the first band that it shares (an earlier one's bucket is compared as well, or was whole)."""
 
     def compared(cell: pa.Table, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         rep, comp = cell.column("rep").to_numpy(), cell.column("comp").to_numpy()
         if (comp == comp[0]).all():
             return
         signs = C.utf8(cell.column("sketch").combine_chunks())[0].reshape(-1, ROWS * BANDS)
+        band = cell.column("band")[0].as_py()
         within, first = cell.column("within")[0].as_py(), cell.column("first").to_numpy(zero_copy_only=False)
         for i in range(len(rep)) if within else np.flatnonzero(first):
             apart = comp != comp[i]
@@ -311,8 +310,11 @@ def all_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             else:
                 apart &= ~first
             js = np.flatnonzero(apart)
-            agree = (signs[js] == signs[i]).sum(axis=1)
-            js, agree = js[agree >= LEAST], agree[agree >= LEAST]
+            same = signs[js] == signs[i]
+            agree = same.sum(axis=1)
+            js, same, agree = js[agree >= LEAST], same[agree >= LEAST], agree[agree >= LEAST]
+            here = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            js, agree = js[here], agree[here]
             if len(js):
                 out.append((np.minimum(rep[js], rep[i]), np.maximum(rep[js], rep[i]), agree))
 
@@ -360,40 +362,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = C.stored(features(docs), "features")
     valid = made.where("n > 0 and doc_id is not null")
     classes = C.stored(valid.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), (F.count("*") > 1).alias("many")), "classes")
-    shared = C.stored(buckets(representatives(valid, classes)), "buckets")
+    sketches = C.stored(representatives(valid, classes), "sketches")
+    shared = C.stored(buckets(sketches), "buckets")
     sets = C.stored(candidate_sets(docs, shared.select("rep")), "sets")
-    sketches = C.stored(sets.select("rep", "sketch").distinct(), "sketches")
     # an id with several texts ties their classes together
     member = C.stored(valid.select("doc_id", "n", "d1", "d2").join(classes.drop("many"), ["n", "d1", "d2"]).distinct(), "members")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     links = member.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a <> b")
 
-    labels = tested = None
-    if not links.isEmpty():
-        labels = merged(labels, links)
-    number = fruitless = 0
-    while fruitless < 2:
-        number, fruitless = number + 1, fruitless + 1
-        shared = C.stored(still_open(shared, labels), "open")
-        pairs = round_pairs(shared, sketches, number)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = C.stored(promising(pairs, sketches), "pairs")
-        for chosen in ([most_alike(pairs), pairs] if number == 1 else [pairs.select("a", "b")]):
-            if number == 1:
-                chosen = crossing(chosen, labels)
-                chosen = C.stored(chosen if tested is None else chosen.join(tested, ["a", "b"], "left_anti"), "chosen")
-            tested = chosen if tested is None else tested.unionByName(chosen)
-            found = C.stored(linked(chosen, sets), "links")
-            if not found.isEmpty():
-                labels, fruitless = merged(labels, found), 0
-    # after two fruitless rounds the components in ``shared`` are the ones that stand
-    pairs = C.stored(all_pairs(shared, sketches).join(tested, ["a", "b"], "left_anti"), "rest")
-    near = C.stored(most_alike(pairs), "chosen")
-    for chosen in (near, pairs.join(near, ["a", "b"], "left_anti")):
-        found = C.stored(linked(crossing(chosen, labels), sets), "links")
+    labels, tested = None, sketches.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+
+    def confirmed(pairs: DataFrame) -> None:
+        """Compares the pairs on their sets and joins the components of those alike."""
+        nonlocal labels, tested
+        chosen = C.stored(crossing(pairs, labels), "chosen")
+        tested = tested.unionByName(chosen)
+        found = C.stored(linked(chosen, sets), "links")
         if not found.isEmpty():
             labels = merged(labels, found)
+        C.discard(found)
+
+    if not links.isEmpty():
+        labels = merged(labels, links)
+    for first, end in zip((0, *ROUNDS), ROUNDS):  # noqa: B905
+        met = C.stored(round_pairs(still_open(shared.where(F.col("band").between(first, end - 1)), labels)).join(tested, ["a", "b"], "left_anti"), "met")
+        pairs = C.stored(promising(met, sketches), "pairs")
+        if first == 0:  # one pair a document joins most of what is alike; the rest only where it still lies apart
+            confirmed(most_alike(pairs))
+        confirmed(pairs.join(tested, ["a", "b"], "left_anti"))
+        C.discard(met, pairs)
+    rows = C.stored(still_open(shared, labels).where(F.col("size") > WHOLE), "open")
+    pairs = C.stored(all_pairs(rows, sketches).join(tested, ["a", "b"], "left_anti"), "rest")
+    near = C.stored(most_alike(pairs), "near")
+    confirmed(near)
+    confirmed(pairs.join(near, ["a", "b"], "left_anti"))
+    C.discard(shared, sets, rows, pairs, near, sketches)
     if labels is None:
         placed = member.withColumn("comp", F.col("rep"))
     else:
@@ -417,12 +420,6 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return C.stored(moved.unionByName(fresh), "labels")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents less all but the first id of each group; rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def one_row_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group, the others go; the nodes are the pairs of id (or no id) and text.
 
