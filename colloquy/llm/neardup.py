@@ -19,8 +19,8 @@ is read once.
 
 What is left is finished exactly: in every bucket of more than ``WHOLE`` members that still holds several
 components, all sketches of different components are compared, block by block of ``BLOCK`` members so that
-no task holds a bucket, and a pair that agrees in ``LEAST`` coordinates is named by the first band it shares and compared on the
-sets. Blocks of one large component never meet each other. This is quadratic in the members that stay apart while sharing bands, and only in those.
+no task holds a bucket; a pair that agrees in ``LEAST`` coordinates is compared on the sets in the first band it shares, where its two blocks
+meet, and only links leave it. Blocks of one large component never meet each other. This is quadratic in the members that stay apart while sharing bands, and only in those.
 
 The full sets are made for candidates only: their ids pass a bitmap of fixed size on the scan.
 
@@ -32,7 +32,7 @@ give one row; of tied ids the least names the component; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -292,61 +292,93 @@ def cells(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return met.join(sketches, "rep").select("cell", "band", "within", "first", "rep", "comp", "sketch")
 
 
-def all_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, agree): all pairs of different components in large buckets whose sketches agree in ``LEAST`` coordinates or
-    more, each in the first band that it shares (an earlier one's bucket is compared as well, or was whole)."""
-
-    def compared(cell: pa.Table, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        rep, comp = cell.column("rep").to_numpy(), cell.column("comp").to_numpy()
-        if (comp == comp[0]).all():
-            return
-        signs = C.utf8(cell.column("sketch").combine_chunks())[0].reshape(-1, ROWS * BANDS)
-        band = cell.column("band")[0].as_py()
-        within, first = cell.column("within")[0].as_py(), cell.column("first").to_numpy(zero_copy_only=False)
-        for i in range(len(rep)) if within else np.flatnonzero(first):
-            apart = comp != comp[i]
-            if within:
-                apart[:i] = False
-            else:
-                apart &= ~first
-            js = np.flatnonzero(apart)
-            same = signs[js] == signs[i]
-            agree = same.sum(axis=1)
-            js, same, agree = js[agree >= LEAST], same[agree >= LEAST], agree[agree >= LEAST]
-            here = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            js, agree = js[here], agree[here]
-            if len(js):
-                out.append((np.minimum(rep[js], rep[i]), np.maximum(rep[js], rep[i]), agree))
+def hopeful(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a cell each row with the later rows (or, between two blocks, the other block's) of other components whose sketch agrees
+    in ``LEAST`` coordinates or more, where the cell's band is the first that the two share: an earlier one's bucket
+    is compared as well, or was whole."""
+    comp = cell.column("comp").to_numpy()
+    if (comp == comp[0]).all():
+        return
+    band, within = cell.column("band")[0].as_py(), cell.column("within")[0].as_py()
+    first = cell.column("first").to_numpy(zero_copy_only=False)
+    signs = C.utf8(cell.column("sketch").combine_chunks())[0].reshape(-1, ROWS * BANDS)
+    for i in range(len(comp)) if within else np.flatnonzero(first).tolist():
+        apart = comp != comp[i]
+        if within:
+            apart[:i] = False
+        else:
+            apart &= ~first
+        js = np.flatnonzero(apart)
+        same = signs[js] == signs[i]
+        enough = same.sum(axis=1) >= LEAST
+        js, same = js[enough], same[enough]
+        js = js[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(js):
+            yield i, js
+
+
+def hopeful_rows(cell: pa.Table) -> pa.Table:
+    """The rows of a cell that have a partner to be compared with."""
+    kept = np.zeros(cell.num_rows, bool)
+    for i, js in hopeful(cell):
+        kept[i] = kept[js] = True
+    return cell.filter(pa.array(kept))
+
+
+def cell_links(cell: pa.Table) -> pa.Table:
+    """Links (a, b) of a cell on the full sets; components that a link has joined aren't compared again."""
+    rep, comp, shingles = cell.column("rep").to_pylist(), cell.column("comp").to_pylist(), cell.column("shingles")
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in shingles]
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    found = []
+    for i, js in hopeful(cell):
+        for j in js.tolist():
+            x, y = find(comp[i]), find(comp[j])
+            if x != y and alike(sets[i], sets[j]):
+                root[max(x, y)] = min(x, y)
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def by_cell(dealt: DataFrame, compared: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Applies a function to each cell's rows, cell after cell, one held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def made(out):
-            cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "agree"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            out: list = []
             cell = b.column("cell").to_numpy()
-            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             if held and held[-1].column("cell")[0].as_py() != cell[0]:
-                compared(pa.Table.from_batches(held), out)
+                yield from compared(pa.Table.from_batches(held)).to_batches()
                 held = []
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
                 held.append(b.slice(a, e - a))
                 if e < b.num_rows:
-                    compared(pa.Table.from_batches(held), out)
+                    yield from compared(pa.Table.from_batches(held)).to_batches()
                     held = []
-            yield made(out)
-        out = []
         if held:
-            compared(pa.Table.from_batches(held), out)
-        yield made(out)
+            yield from compared(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+
 
-    dealt = cells(rows, sketches).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+def rest_links(rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components within large buckets, all pairs considered: first the rows are kept that have a partner by their
+    sketches, then only their sets are shipped and compared where they meet. No pair leaves a cell but the links."""
+    kind = "cell long, band byte, within boolean, first boolean, rep long, comp long, sketch binary"
+    kept = C.stored(by_cell(cells(rows, sketches), hopeful_rows, kind), "hopeful")
+    full = kept.join(passing(sets, "rep", kept), "rep").select("cell", "band", "within", "first", "rep", "comp", "sketch", "shingles")
+    found = C.stored(by_cell(full, cell_links, "a long, b long").distinct(), "links")
+    C.discard(kept)
+    return found
 
 
 def crossing(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -392,11 +424,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         confirmed(pairs.join(tested, ["a", "b"], "left_anti"))
         C.discard(met, pairs)
     rows = C.stored(still_open(shared, labels).where(F.col("size") > WHOLE), "open")
-    pairs = C.stored(all_pairs(rows, sketches).join(tested, ["a", "b"], "left_anti"), "rest")
-    near = C.stored(most_alike(pairs), "near")
-    confirmed(near)
-    confirmed(pairs.join(near, ["a", "b"], "left_anti"))
-    C.discard(shared, sets, rows, pairs, near, sketches)
+    found = rest_links(rows, sketches, sets)
+    if not found.isEmpty():
+        labels = merged(labels, found)
+    C.discard(found, shared, sets, rows, sketches)
     if labels is None:
         placed = member.withColumn("comp", F.col("rep"))
     else:
