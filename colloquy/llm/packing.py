@@ -1,19 +1,19 @@
 """Packing of tokenized documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 Each task tokenizes the documents of its own splits; whole windows are cut off long documents at
-once. What is left over of each document gathers in a bounded group. A full group is divided into
-k windows by differencing: partial partitions (lists of window contents) wait in a heap ordered by
+once. What is left over of each document is cut into pieces of at most ``PIECE`` ids and gathers in a bounded group. A full group is
+divided into k windows by differencing: partial partitions (lists of window contents) wait in a heap ordered by
 their imbalance, and the two most imbalanced are merged with opposing orders, the fullest windows
 of one with the emptiest of the other, until one partition is left. The windows come out nearly
 equal. The window count k is the smallest whose capacity holds the group and rises by
-one whenever capacity is exceeded. Documents may be cut freely, so what stands over in a window is cut
-off its last piece and fills the gaps of the others; all windows but one of a group are then full.
-That one goes on into the next group, so a task pads its very last window only.
+one while a window exceeds capacity; the windows are emitted as they come out, each some ids short of capacity
+(about one window of padding in a group of ``GROUP_WINDOWS``).
 
 No shuffle and no state outside the task: tokens stay where they are made, and a lost task is
 made anew with equal results, for sequence numbers are built from the partition's number.
 
-Defined cases: a null text counts as empty and is the single end token; rows without an id and
+Defined cases: a null text counts as empty and is the single end token; very long texts are packed whole; of equal imbalances the older partition
+comes first; the special token's string in a text is its id, as in the tokenizer file; rows without an id and
 repeated rows are packed like any other; the order of documents within windows follows the input; an
 empty table gives no piece; columns other than ``doc_id`` and ``text`` are ignored.
 """
@@ -34,7 +34,9 @@ from colloquy.llm import common as C
 
 CAPACITY = 2048
 END = 1
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 GROUP_WINDOWS = 128         #: left-over tokens of a group, in windows
+PIECE = 256                 #: ids of a left-over piece at most
 CACHED_PIECES = 200_000     #: bound on the words whose ids a worker keeps
 
 
@@ -52,21 +54,29 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, all below 2**16."""
+        parts = text.split(SPECIAL)
+        out = [self.ordinary(parts[0])]
+        for p in parts[1:]:
+            out += [np.array([SPECIAL_ID], "<u2").tobytes(), self.ordinary(p)]
+        return np.frombuffer(b"".join(out), "<u2")
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without special tokens, two bytes each."""
         known, ids = self.known, []
         for piece in pieces(text):
             got = known.get(piece)
             if got is None:
-                got = tuple(self.model.encode_ordinary(piece))
+                got = np.array(self.model.encode_ordinary(piece), "<u2").tobytes()
                 if len(known) >= CACHED_PIECES:
                     known.clear()
                 if len(piece) <= 32:
                     known[piece] = got
-            ids += got
-        return ids
+            ids.append(got)
+        return b"".join(ids)
 
 
 def pieces(text: str) -> list[str]:
@@ -115,43 +125,15 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (item, start, length): near-equal by differencing, then levelled by cuts."""
+def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Numbers of the items in each window: near-equal windows by differencing, as few as hold every one within
+    capacity (no item may be larger)."""
     k = max(1, -(-sum(sizes) // capacity))
-    while k * capacity < sum(sizes):
+    while True:
+        windows = differencing(sizes, k)
+        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+            return [sorted(w) for w in windows if w]
         k += 1
-    parts = [[(i, 0, sizes[i]) for i in w] for w in differencing(sizes, k)]
-    load = [sum(p[2] for p in w) for w in parts]
-    over: list[tuple[int, int, int]] = []
-    for w, part in enumerate(parts):
-        while load[w] > capacity:
-            i, start, n = part.pop()
-            cut = min(n, load[w] - capacity)
-            if n > cut:
-                part.append((i, start, n - cut))
-            over.append((i, start + n - cut, cut))
-            load[w] -= cut
-    # gaps are filled from the fullest window on, so one window at most stays short
-    order = sorted(range(len(parts)), key=lambda w: (-load[w], w))
-    for at, w in enumerate(order):
-        while load[w] < capacity:
-            if not over:
-                giver = next((g for g in reversed(order[at + 1:]) if parts[g]), None)
-                if giver is None:
-                    break
-                i, start, n = parts[giver].pop()
-                load[giver] -= n
-                over.append((i, start, n))
-            i, start, n = over.pop()
-            take = min(n, capacity - load[w])
-            parts[w].append((i, start, take))
-            load[w] += take
-            if n > take:
-                over.append((i, start + take, n - take))
-    while over:  # what the last short window gave beyond its need goes back to it
-        i, start, n = over.pop()
-        parts[order[-1]].append((i, start, n))
-    return [w for w in parts if w]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -172,22 +154,28 @@ class Packer:
         whole = len(ids) // self.capacity * self.capacity
         for at in range(0, whole, self.capacity):
             self.emit([(doc_id, at, ids[at:at + self.capacity], len(ids))])
-        if whole < len(ids):
-            self.left.append((doc_id, whole, ids[whole:], len(ids)))
-            self.waiting += len(ids) - whole
+        step = min(PIECE, self.capacity)
+        for at in range(whole, len(ids), step):
+            self.left.append((doc_id, at, ids[at:at + step], len(ids)))
+        self.waiting += len(ids) - whole
         if self.waiting >= GROUP_WINDOWS * self.capacity:
-            self.flush(last=False)
+            self.flush()
 
-    def flush(self, last: bool) -> None:
-        """Packs the group. Unless it is the last one, a short window's pieces wait for the next group."""
+    def flush(self) -> None:
+        """Packs the group. Pieces that follow one another in a document and in a window become one."""
         items, self.left, self.waiting = self.left, [], 0
         for window in windows_of([len(x[2]) for x in items], self.capacity) if items else []:
-            contents = [(items[i][0], items[i][1] + s, items[i][2][s:s + n], items[i][3]) for i, s, n in window]
-            if not last and sum(len(c[2]) for c in contents) < self.capacity:
-                self.left += contents
-                self.waiting += sum(len(c[2]) for c in contents)
-            else:
-                self.emit(contents)
+            contents: list[tuple] = []
+            last = -2
+            for i in window:
+                doc_id, start, ids, total = items[i]
+                if i == last + 1 and start and items[last][1] + len(items[last][2]) == start and items[last][0] == doc_id:
+                    _, begun, before, _ = contents[-1]
+                    contents[-1] = (doc_id, begun, np.concatenate([before, ids]), total)
+                else:
+                    contents.append(items[i])
+                last = i
+            self.emit(contents)
 
     def emit(self, contents: list[tuple]) -> None:
         offset = 0
@@ -212,12 +200,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> D
         for b in batches:
             for s in C.slices(b):
                 for doc_id, text in zip(s.column("doc_id").to_pylist(), s.column("text"), strict=True):
-                    ids = encoder.encode(text.as_py() or "")
-                    ids.append(END)
-                    packer.add(doc_id, np.array(ids, "<u4"))
+                    packer.add(doc_id, np.append(encoder.encode(text.as_py() or ""), END).astype("<u4"))
                 if len(packer.rows) >= 4096:
                     yield packer.batch()
-        packer.flush(last=True)
+        packer.flush()
         yield packer.batch()
 
     schema = SCHEMA + ", ids array<int>" * with_ids
