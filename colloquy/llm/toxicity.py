@@ -1,17 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are read as classes and clauses (between punctuation marks and line ends) as strings of
-classes. Four small transducers are composed into one weighted automaton that reads a clause
-once, left to right:
+classes. Five small weighted transducers, each a table from (state, class) to (next state, weight), are
+composed by product construction into one table that reads a clause once, left to right:
 
 * insult - arcs are word stems; their weights are learned from labelled rows;
-* threat - a verb of harm with a first-person or future marker before it (fixed words);
-* target - a person addressed raises what the clause's insults and threats weigh;
-* negation and reported speech - a negator or a verb of saying (or an opening quotation mark)
-  before the insult lowers it.
+* threat - a verb of harm after a first-person or future marker (fixed words);
+* target - a person addressed, anywhere in the clause, raises what its insults and threats weigh;
+* negation - a negator before a match lowers it;
+* reported speech - a verb of saying or a quotation mark, before or after, lowers the clause's matches.
 
-The composed state is (negated, reported, targeted); reading a word gives the next state and a
-weight. A clause's weight is the sum over its path, never below zero, and a document's score is
+A composed state is a tuple of the parts' states; an arc's weight is the product of theirs, and a final state has the product
+of the parts' final weights, by which the clause's sum is multiplied. A document's score is
 a logistic function of its matched clauses: total weight, matches, matches that stand reported or
 negated. The logistic weights are learned from the same labelled rows.
 
@@ -19,8 +19,8 @@ Learning uses only rows of ``labels`` outside fold 0 (see :func:`common.fold_of`
 ``SAMPLE_DOCS`` of each label (lowest hashed ids first). ``labels``, ``lang``, ``source`` and ``doc_id``
 are never inputs of a score.
 
-Defined cases: null and empty texts get the score of a text without matches; equal rows get
-equal results, a row each; with no usable labels no insult is known and only threats count; an
+Defined cases: null and empty texts get the score of a text without matches; very long texts and clauses are read whole, once; equal rows get
+equal results, a row each; of arcs of equal evidence whole words and longer units come first; with no usable labels no insult is known and only threats count; an
 empty table gives an empty result; other columns are ignored by :func:`score` and passed
 through by :func:`clean`.
 """
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +44,6 @@ STEM = (3, 8)               #: lengths of stems that may become insult arcs, bes
 MIN_DOCS = 5                #: toxic sample documents that an arc must occur in
 MIN_LOG_ODDS = 3.0          #: of the two classes' document rates
 MIN_EVIDENCE = 35.0         #: likelihood-ratio statistic; chance arcs among millions of units stay below
-MAX_ARCS = 4_000            #: bound on candidate arcs (those with the most evidence stay)
 EXPLAINED = 0.45
 
 # --- fixed values: closed-class words of the grammar (four languages) --------------------
@@ -61,11 +60,56 @@ THREAT = frozenset("kill hurt destroy murder stab shoot strangle tuer frapper d
 INTENT = frozenset("will gonna shall i'll we'll vais allons vas werde werden voy vamos".split())
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.,;:!?\n\r]+")
-QUOTES = "\"“«„‘"
+QUOTES = "\"“”«»„‘"
 
 NEGATED_FACTOR, REPORTED_FACTOR, TARGET_FACTOR, THREAT_WEIGHT = 0.25, 0.25, 1.5, 4.0
 
 
+# --- transducers -------------------------------------------------------------------------
+#: Word classes that the transducers read: INSULT is any word with a learned arc, OTHER any word without a class.
+OTHER, NEGATOR, SAYING, QUOTE, ADDRESS, MARKER, HARM, INSULT = range(8)
+CLASSES = range(8)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state][class]`` is (next state, weight of a match read there); ``final[state]`` multiplies the clause's sum."""
+
+    arcs: tuple[tuple[tuple[int, float], ...], ...]
+    final: tuple[float, ...]
+
+    def run(self, classes: list[int]) -> tuple[list[float], float]:
+        """Weight of every word read, and the final weight."""
+        state, weights = 0, []
+        for c in classes:
+            state, w = self.arcs[state][c]
+            weights.append(w)
+        return weights, self.final[state]
+
+
+def _two_states(opens: tuple[int, ...], weight: Callable[[int, int], float], final: tuple[float, float] = (1.0, 1.0)) -> Transducer:
+    """State 1 once a class of ``opens`` was read; ``weight(state, class)`` of the arcs."""
+    return Transducer(tuple(tuple((1 if s or c in opens else 0, weight(s, c)) for c in CLASSES) for s in (0, 1)), final)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Product construction: both read the same word, weights multiply; state (i, j) is number i * |b| + j."""
+    n = len(b.final)
+    arcs = tuple(tuple((a.arcs[i][c][0] * n + b.arcs[j][c][0], a.arcs[i][c][1] * b.arcs[j][c][1]) for c in CLASSES)
+                 for i in range(len(a.final)) for j in range(n))
+    return Transducer(arcs, tuple(x * y for x in a.final for y in b.final))
+
+
+#: 1 for a match of its kind: an insult anywhere, a verb of harm after a marker of intent.
+MATCHES = _two_states((MARKER,), lambda s, c: float(c == INSULT) or (THREAT_WEIGHT if s and c == HARM else 0.0))
+NEGATION_PART = _two_states((NEGATOR,), lambda s, c: NEGATED_FACTOR if s else 1.0)
+TARGET_PART = _two_states((ADDRESS,), lambda s, c: 1.0, (1.0, TARGET_FACTOR))
+REPORTED_PART = _two_states((SAYING, QUOTE), lambda s, c: 1.0, (1.0, REPORTED_FACTOR))
+CLAUSE = compose(compose(compose(MATCHES, NEGATION_PART), TARGET_PART), REPORTED_PART)
+_OF_WORD = {**dict.fromkeys(THREAT, HARM), **dict.fromkeys(INTENT, MARKER), **dict.fromkeys(TARGET, ADDRESS),
+            **dict.fromkeys(REPORTED, SAYING), **dict.fromkeys(NEGATION, NEGATOR)}
+
+
 @dataclass
 class Grammar:
     """Learned arcs (stem or whole word to weight) and the weights of the document score."""
@@ -93,30 +137,24 @@ class Grammar:
 
     def clause(self, text: str) -> tuple[float, int, int, int]:
         """Path of one clause: weight, plain matches, lowered matches, threats."""
-        negated = targeted = intent = False
-        reported = False
-        raw = [(m[0], m.start()) for m in WORD.finditer(text)]
-        weight, plain, lowered, threats, at = 0.0, 0, 0, 0, 0
-        for word, start in raw:
-            reported = reported or any(q in text[at:start] for q in QUOTES)
-            at = start
-            if word in NEGATION:
-                negated = True
-            elif word in REPORTED:
-                reported = True
-            elif word in TARGET:
-                targeted = True
-            elif word in INTENT:
-                intent = True
+        classes, weights, at = [], [], 0
+        for m in WORD.finditer(text):
+            if any(q in text[at:m.start()] for q in QUOTES):
+                classes.append(QUOTE)
+                weights.append(0.0)
+            at, word = m.end(), m[0]
             w = self.weight(word)
-            if not w and word in THREAT and intent:
-                w, threats = THREAT_WEIGHT, threats + 1
-            if w:
-                low = negated or reported
-                weight += w * (NEGATED_FACTOR if negated else 1) * (REPORTED_FACTOR if reported else 1)
-                lowered += low
-                plain += not low
-        return weight * (TARGET_FACTOR if targeted and weight else 1), plain, lowered, threats
+            classes.append(INSULT if w else _OF_WORD.get(word, OTHER))
+            weights.append(w or 1.0)
+        if any(q in text[at:] for q in QUOTES):
+            classes.append(QUOTE)
+            weights.append(0.0)
+        read, final = CLAUSE.run(classes)
+        negated = NEGATION_PART.run(classes)[0]
+        reported = any(c in (SAYING, QUOTE) for c in classes)
+        matched = [i for i, w in enumerate(read) if w]
+        lowered = sum(reported or negated[i] < 1 for i in matched)
+        return (final * sum(read[i] * weights[i] for i in matched), len(matched) - lowered, lowered, sum(classes[i] == HARM for i in matched))
 
     def features(self, text: str | None, finder: re.Pattern) -> np.ndarray:
         """Intercept, log of the matched clauses' weight, lowered matches, matched clauses, two or more matches."""
@@ -125,15 +163,14 @@ class Grammar:
             return out
         text = text.lower()
         done, weight, plain, lowered, clauses = -1, 0.0, 0, 0, 0
+        ends, start = CLAUSE_END.finditer(text), 0
+        end = next(ends, None)
         for m in finder.finditer(text):
             if m.start() < done:
                 continue
-            start = 0
-            for end in CLAUSE_END.finditer(text, max(0, m.start() - 2_000), m.start()):
-                start = end.end()
-            start = max(start, m.start() - 2_000, done, 0)
-            stop = CLAUSE_END.search(text, m.end())
-            done = stop.start() if stop else len(text)
+            while end is not None and end.start() < m.start():  # the clause's start moves along with the text
+                start, end = end.end(), next(ends, None)
+            done = end.start() if end is not None else len(text)
             w, p, low, threats = self.clause(text[start:done])
             weight, plain, lowered, clauses = weight + w, plain + p + threats, lowered + low, clauses + bool(w)
         out[1:] = np.log1p(weight), np.log1p(lowered), np.log1p(clauses), plain + lowered >= 2
@@ -250,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     counts = (_document_counts(sampled).where(F.col("toxic") >= MIN_DOCS).withColumn("w", odds)
               .withColumn("evidence", F.round(_evidence_column(n[1] / (n[0] + n[1])), 6))
               .where((F.col("w") >= MIN_LOG_ODDS) & (F.col("evidence") >= MIN_EVIDENCE))
-              .orderBy(F.desc("evidence"), F.desc(F.length("unit")), "unit").limit(MAX_ARCS).collect())
+              .orderBy(F.desc("evidence"), F.desc(F.length("unit")), "unit").collect())  # bounded by the sample
     held = [np.array(r["held"]) for r in _holding(sampled.where("toxic = 1"), [r["unit"] for r in counts]).collect()]
     _choose(grammar, counts, held, n[1] / (n[0] + n[1]))
     rows = _featured(sampled.select(F.col("toxic").cast("long").alias("doc_id"), "text"), grammar).toArrow()

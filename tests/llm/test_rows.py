@@ -68,6 +68,25 @@ def test_grammar_weighs_clauses():
     assert weight("vequarant") == 4.0 and weight("nothing here") == 0
     assert g.clause("i will kill you")[3] == 1 and g.clause("kill the process")[3] == 0
     assert g.clause("not nice, idiot")[2] == 1  # within one clause the negation stands before
+    assert g.clause("an idiot is what he said")[1:3] == (0, 1) and g.clause("idiot and not that")[1:3] == (1, 0)  # speech on either side, negation before
+
+
+def test_composed_transducer_equals_its_parts_on_all_paths():
+    from itertools import product
+
+    parts = (toxicity.MATCHES, toxicity.NEGATION_PART, toxicity.TARGET_PART, toxicity.REPORTED_PART)
+    for path in product(toxicity.CLASSES, repeat=4):
+        runs = [p.run(list(path)) for p in parts]
+        weights, final = toxicity.CLAUSE.run(list(path))
+        assert weights == [math.prod(w) for w in zip(*(r[0] for r in runs))] and final == math.prod(r[1] for r in runs)
+
+
+def test_long_clauses_are_read_whole():
+    g = toxicity.Grammar(words={"idiot": 4.0})
+    f = g.finder()
+    for n in (3, 500, 50_000):
+        quoted, plain = (g.features(f"first, clause. {begin} {'word ' * n}idiot. end", f) for begin in ("he said", "she ran"))
+        assert quoted[2] > 0 and plain[2] == 0 and quoted[1] < plain[1], n
 
 
 def test_toxicity_held_out_and_odd_inputs(spark, make, writer, odd_texts):
