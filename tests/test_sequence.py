@@ -71,9 +71,9 @@ def test_fused_scan_equals_the_whole_text_of_each_prefix(spark):
         tokens = re.findall(r"\w+|[^\w\s]", seen)
         plain = [t for t in tokens if t.isalnum()]
         count = Counter(t for t in plain if t not in ("the", "not"))
-        verbs = [t for t in plain if t in ("marchait", "gehen")]
+        verbs = [t for t in plain if t in ("marchait", "more")]  # a finite form, and one that reads as an infinitive
         level = {"TTR": sum(n == 1 for n in count.values()) / len(tokens), "adv_rates": plain.count("not") / len(plain),
-                 "verb_conj_rate": float(any(t == "marchait" for t in verbs)), "total_concept_density": sum(t in ("m", "not") for t in plain) / len(plain),
+                 "verb_conj_rate": verbs.count("marchait") / len(verbs) if verbs else 0.0, "total_concept_density": sum(t in ("m", "not") for t in plain) / len(plain),
                  "joy_rate": plain.count("k") / len(plain), "fear_rate": plain.count("dog") / len(plain), "anger_rate": 0.0}
         for s, x in level.items():
             assert abs(got[(c, p)][s] - x) < 1e-9, (c, p, s)
