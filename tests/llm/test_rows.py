@@ -218,21 +218,77 @@ def test_values_followed_by_digits_and_words():
 
 
 # --- language ----------------------------------------------------------------------------
-def test_kneser_ney_sums_to_one_and_orders_by_count(spark):
-    rows = spark.createDataFrame([("xx", "abab abc abd")], "lang string, text string")
-    m = langid.estimate(["xx"], langid.count(rows, ["xx"]))
-    code, off = langid.characters(["abab abc abd"])
-    g = langid.slots(code, off)
-    c = langid.contexts(g, off)
-    logp = langid.log_probabilities(m, m.rows(m.slots), m.rows(m.contexts), g, c)
-    assert logp.shape == (13, 1) and (logp < 0).all()
-    # after " ab" come a, c and d once each: (1 - D) / 3 plus the back-off share of the lower order
-    total = 0.0
-    for x in "acd b":
-        code, off = langid.characters([f"ab{x}"]) if x != " " else langid.characters(["ab"])
-        g = langid.slots(code, off)
-        total += math.exp(langid.log_probabilities(m, m.rows(m.slots), m.rows(m.contexts), g, langid.contexts(g, off))[2, 0])
-    assert 0.95 < total < 1.0001
+def brute_kneser_ney(texts):
+    """Probability of a character after three others, from plain dictionaries of n-grams."""
+    n = Counter()
+    for t in texts:
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        s = "   " + "".join(w + " " for w in words)
+        n.update(s[i - 3:i + 1] for i in range(3, len(s)))
+    levels = {4: n}
+    for k in (4, 3, 2):
+        levels[k - 1] = Counter(g[1:] for g in levels[k])
+
+    def p(g):
+        if len(g) == 1:
+            return (levels[1][g] + 0.5) / (sum(levels[1].values()) + 0.5 * (len(levels[1]) + 1))
+        same = [x for x in levels[len(g)] if x[:-1] == g[:-1]]
+        mass = sum(levels[len(g)][x] for x in same)
+        if not mass:
+            return p(g[1:])
+        return max(levels[len(g)][g] - langid.DISCOUNT, 0) / mass + langid.DISCOUNT * len(same) / mass * p(g[1:])
+
+    return p, levels
+
+
+def gram_arrays(found):
+    x = np.array([[ord(c) for c in g] for g in found], np.int64)
+    return x[:, 0] << 21 | x[:, 1], x[:, 2] << 21 | x[:, 3]
+
+
+def test_kneser_ney_equals_brute_force_and_sums_to_one(spark):
+    texts = ["abab abc abd", "Bad cab, dab!", "", "d"]
+    rows = spark.createDataFrame([("xx", t) for t in texts], "lang string, text string")
+    counted = langid.count(rows.repartition(3), ["xx"])
+    [m] = langid.estimate(["xx"], counted)
+    p, levels = brute_kneser_ney(texts)
+    assert {chr(r["high"] >> 21) + chr(r["high"] & 0x1FFFFF) + chr(r["low"] >> 21) + chr(r["low"] & 0x1FFFFF): r["n"] for r in counted.collect()} == levels[4]
+    asked = [a + b + c + d for a in " ax" for b in "ab" for c in " bd" for d in "abcd "]
+    got = np.exp(m.log_probabilities(*gram_arrays(asked)))
+    assert np.allclose(got, [p(g) for g in asked], rtol=1e-5)
+    # with the unseen letter, the probabilities after any context sum to one, also when rare n-grams aren't stored
+    [few] = langid.estimate(["xx"], counted, bound=12)
+    assert 3 < few.size < m.size
+    for model in (m, few):
+        letters = [c for c in sorted(levels[1]) if langid.hashed(np.array([0]), np.array([ord(c)]))[0] in model.keys[0]]
+        for before in (" ab", "aba", "xyz", "cab"):
+            logp = model.log_probabilities(*gram_arrays([before + c for c in [*letters, "\u00fc"]]))
+            assert abs(np.exp(logp).sum() - 1) < 1e-5
+
+
+def test_forty_languages_blocks_and_partitions(make, monkeypatch):
+    rng = random.Random(3)
+    syllables = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiou"]
+    texts, langs = [], []
+    for i in range(40):
+        own = rng.sample(syllables, 9)
+        for _ in range(20):
+            texts.append(" ".join("".join(rng.choices(own, k=3)) for _ in range(25)))
+            langs.append(f"l{i:02}")
+    docs = make(texts, langs=langs)
+    models = langid.fit(docs)
+    columns = ["doc_id", "lang_pred", "rejected"]
+
+    def result(models, docs=docs):
+        return sorted((*(r[c] for c in columns), round(r["score"], 5)) for r in langid.predict(docs, models).collect())
+
+    want = result(models)
+    assert [m.lang for m in models] == sorted(set(langs)) and len({r[1] for r in want}) == 40
+    held = [r for r in want if C.fold_number(r[0]) == 0]
+    assert np.mean([r[1] == langs[r[0]] for r in held]) > 0.95
+    assert result(langid.fit(make(texts, langs=langs, partitions=1))) == want
+    monkeypatch.setattr(langid, "BLOCK_GRAMS", 12 * models[0].size)
+    assert 3 <= len(langid.blocks(models)) < 40 and result(models) == want
 
 
 def test_language_held_out_and_odd_inputs(spark, make, odd_texts):
