@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.text import md5_int
 from colloquy.operators.indicators import INDICATOR_COLUMNS
-from colloquy.operators.sequence import dense_ordinal
+from colloquy.operators.sequence import dense_ordinal, prefix_sums, quantile_blocks
 
 DROP_PREFIXES = ("has_unit.", "ratio_unit.")
 SPLIT_SEED = 42
@@ -186,14 +186,32 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     return row.select(stacked.alias("p")).select("p.*")
 
 
-def distribution_by_class(df: DataFrame, label: str, cols: list[str], accuracy: int = 100000) -> DataFrame:
-    """Quartiles (bounded-memory sketch), min and max of each column per class."""
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``value`` per ``keys``, linear between neighbouring ranks (nulls don't count).
+
+    Rows are reduced to counts of distinct values; running counts over quantile blocks give each value its
+    last rank, and the values at the two ranks around a quantile are conditional minima. No task sorts a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(quantile_blocks(counts, keys, "_v", "_block"), keys, "_v", ["_c"], block_col="_block")
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    totals = totals.select(F.struct(*keys).alias("_t"), "_n", "min", "max")
+    r = ranked.join(totals, [F.col(f"_t.{k}").eqNullSafe(F.col(k)) for k in keys])
+    found, shown = [], []
+    for i, (name, p) in enumerate(probabilities.items()):
+        at = F.lit(p) * (F.col("_n") - 1)
+        found += [F.min(F.when(F.col("_c_cum") > F.floor(at), F.col("_v"))).alias(f"_lo{i}"),
+                  F.min(F.when(F.col("_c_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi{i}")]
+        shown.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(name))
+    out = r.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("min").alias("min"), F.first("max").alias("max"), *found)
+    return out.select(*keys, "min", *shown, "max")
+
+
+def distribution_by_class(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
+    """Exact quartiles, min and max of each column per class."""
     long = df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [label], cols, "indicator", "value")
-    q = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
-    return long.groupBy(label, "indicator").agg(
-        F.min("value").alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
-        F.max("value").alias("max"))
+    return exact_quantiles(long, [label, "indicator"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def vector_column(cols: list[str]) -> Column:

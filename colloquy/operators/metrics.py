@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators.sequence import prefix_sums
+from colloquy.operators.sequence import prefix_sums, quantile_blocks
 
 AUC_BLOCKS = 1024
 
@@ -99,8 +99,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: lis
     """Mann–Whitney AUC with averaged ties = Σ_s pos(s)·(neg(<s) + ½·neg(s)) / (P·N).
 
     Rows are first reduced to one row per distinct score; the "negatives below" running
-    sum is blocked on score ranges (:data:`AUC_BLOCKS` blocks between min and max) so no
-    single task ranks all scores. A group with one class only gives null.
+    sum is blocked on score quantiles (:data:`AUC_BLOCKS` blocks a group), so no single task ranks
+    all scores, also when they lie close together. A group with one class only gives null.
     """
     keys = keys or []
     key_cols = keys or ["_all"]
@@ -108,11 +108,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: lis
     if not keys:
         d = d.withColumn("_all", F.lit(0))
     per = d.groupBy(*key_cols, "s").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
-    rng = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
-    lo, hi = (rng["lo"] or 0.0), (rng["hi"] or 0.0)
-    width = (hi - lo) / AUC_BLOCKS if hi > lo else 1.0
-    per = per.withColumn("_o", F.col("s") - F.lit(lo))
-    cum = prefix_sums(per, key_cols, "_o", ["n"], block=width, suffix="_cum")
+    cum = prefix_sums(quantile_blocks(per, key_cols, "s", "_block", AUC_BLOCKS), key_cols, "s", ["n"], suffix="_cum", block_col="_block")
     contrib = cum.withColumn("_c", F.col("p") * (F.col("n_cum") - F.col("n") + F.col("n") * 0.5))
     out = contrib.groupBy(*key_cols).agg(
         (F.sum("_c") / (F.sum("p") * F.sum("n"))).alias("roc_auc"), F.sum("p").alias("_P"), F.sum("n").alias("_N"))

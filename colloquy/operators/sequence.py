@@ -24,15 +24,37 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("long"))
 
 
+def quantile_blocks(df: DataFrame, keys: list[str], order: str, out: str, blocks: int = 1024) -> DataFrame:
+    """Adds a block number that rises with ``order`` and cuts each group into about equal parts, however its
+    values cluster: the place of the value among approximate quantiles of its group (equal values share a block).
+
+    The cuts are one row per group. A value is placed in two steps, among every 32nd cut and then between two of them.
+    """
+    step = 32
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 8 * blocks).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % step == step - 1))
+    on = [F.col(f"_q.{k}").eqNullSafe(F.col(k)) for k in keys]
+    cuts = cuts.select(F.struct(*keys).alias("_q"), "_cuts", "_coarse")
+
+    def below(a):
+        return F.size(F.filter(a, lambda c: c < F.col(order)))
+
+    first = below("_coarse") * step
+    placed = df.join(cuts, on).withColumn("_first", first)
+    return placed.withColumn(out, (F.col("_first") + below(F.slice("_cuts", F.col("_first") + 1, F.lit(step)))).cast("long")).drop(
+        "_q", "_cuts", "_coarse", "_first")
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
                 block: int = DEFAULT_BLOCK, suffix: str = "_cum",
-                tiebreak: list[str] | None = None) -> DataFrame:
+                tiebreak: list[str] | None = None, block_col: str | None = None) -> DataFrame:
     """Running sums (current row included) of ``values`` per ``keys`` in ``order``.
 
-    ``order`` must be numeric; ``tiebreak`` columns complete the order inside equal values.
+    ``order`` must be numeric; ``tiebreak`` columns complete the order inside equal values. ``block_col`` names a
+    block number that rises with ``order`` (:func:`quantile_blocks`) in place of blocks of equal width.
     """
     tiebreak = tiebreak or []
-    b = _blocked(df, order, block)
+    b = df.withColumn("_blk", F.col(block_col)) if block_col else _blocked(df, order, block)
     inner_w = (Window.partitionBy(*keys, "_blk").orderBy(order, *tiebreak)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for v in values:
@@ -40,9 +62,9 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     blk = b.groupBy(*keys, "_blk").agg(*[F.sum(v).alias(f"_bs_{v}") for v in values])
     outer_w = (Window.partitionBy(*keys).orderBy("_blk")
                .rowsBetween(Window.unboundedPreceding, -1))
-    blk = blk.select(*keys, "_blk", *[
+    blk = blk.select(F.struct(*keys, "_blk").alias("_of"), *[
         F.coalesce(F.sum(f"_bs_{v}").over(outer_w), F.lit(0)).alias(f"_off_{v}") for v in values])
-    out = b.join(blk, [*keys, "_blk"])
+    out = b.join(blk, [F.col(f"_of.{k}").eqNullSafe(F.col(k)) for k in [*keys, "_blk"]]).drop("_of")  # a null key is a group
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_off_{v}") + F.col(f"_in_{v}"))
     return out.drop("_blk", *[f"_in_{v}" for v in values], *[f"_off_{v}" for v in values])

@@ -304,7 +304,11 @@ def q_a32(spark, sf):
     return rounded(c.withColumn("corr", F.when(F.isnan("corr"), None).otherwise(F.col("corr"))))
 
 
-@register("a33")
+# quartiles of values with six digits have eight
+@register("a33", f"{PART_SQL} " + " UNION ALL ".join(
+    f"SELECT phq_binary, '{c}' AS indicator, {rsql(f'min({c})', 8)} AS min, {rsql(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 8)} AS q1, "
+    f"{rsql(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 8)} AS median, {rsql(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 8)} AS q3, "
+    f"{rsql(f'max({c})', 8)} AS max FROM part GROUP BY phq_binary HAVING count({c}) > 0" for c in NUMERIC))
 def q_a33(spark, sf):
-    """Quartiles, min and max of every indicator per class (sketch quantiles; no SQL oracle)."""
-    return Fe.distribution_by_class(_features(spark, sf), "phq_binary", NUMERIC)
+    """Exact quartiles, min and max of every indicator per class."""
+    return rounded(Fe.distribution_by_class(_features(spark, sf), "phq_binary", NUMERIC), 8)

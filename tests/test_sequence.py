@@ -104,3 +104,26 @@ def test_running_text_blocked(spark):
     got = {(r["conv_id"], r["phrase"]): r["texte"] for r in R.running_text(phr, block=3).collect()}
     assert got[(1, 0)] == "p0." and got[(1, 6)] == " ".join(f"p{i}." for i in range(7))
     assert got[(1, 4)] == "p0. p1. p2. p3. p4." and got[(2, 0)] == "q0."
+
+
+def test_quantile_blocks_split_clusters_and_quantiles_are_exact(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from colloquy.operators.features import exact_quantiles
+    from colloquy.operators.sequence import quantile_blocks
+
+    rng = np.random.default_rng(4)
+    near = (0.5 + rng.random(900) * 1e-6).tolist()      # nine values in ten within 1e-6
+    rows = [("a", v) for v in near + rng.random(100).tolist()] + [("b", float(v)) for v in rng.integers(0, 3, 50)] + [(None, 1.5), ("c", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    b = quantile_blocks(df.where("k = 'a' and v is not null"), ["k"], "v", "blk", blocks=64)
+    sizes = [r["count"] for r in b.groupBy("blk").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 60 and max(sizes) <= 2 * 1000 / 64
+    spans = sorted((r["lo"], r["hi"]) for r in b.groupBy("blk").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"q1": 0.25, "m": 0.5, "q3": 0.75}).collect()}
+    assert set(got) == {"a", "b", None}
+    for k in got:
+        values = [v for x, v in rows if x == k and v is not None]
+        assert np.allclose([got[k][c] for c in ("min", "q1", "m", "q3", "max")], np.quantile(values, [0, 0.25, 0.5, 0.75, 1]), rtol=0, atol=1e-12)
