@@ -1,20 +1,22 @@
-"""Classifiers and model utilities on Spark ML.
+"""Classifiers and model utilities on Spark ML.
 
 Built-in estimators cover random forest, decision tree, gradient boosting, logistic
-regression and the grid search. Two estimators are written on the public ``Estimator`` /
-``Model`` extension points:
+regression and the grid search (the shared-scan search is in ``search.py``). Three estimators are written on the
+public ``Estimator`` / ``Model`` extension points; their models are saved and loaded like Spark's own, alone or as stages of a ``PipelineModel``:
 
 * :class:`AdaBoostClassifier` — SAMME (Zhu et al. 2009) over weighted Spark decision
   trees; the sample weights are a column, the lineage is cut each round with a reliable
   checkpoint into the shared checkpoint folder;
 * :class:`SigmoidSVC` — a sigmoid-kernel SVM approximated with landmark features
   tanh(γ·x·l + c) (Nyström-style; Williams & Seeger 2001), a ``LinearSVC`` on them and
-  Platt calibration (a logistic regression on the margin) for probabilities.
+  Platt calibration (a logistic regression on the margin) for probabilities;
+* :class:`SoftVote` — the weighted mean of the class probabilities of its members.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +73,69 @@ def logistic(c: float = 1.0, n_rows: int | None = None, total_weight: float | No
                               maxIter=max_iter)
 
 
+# --- saving of models that hold models ---------------------------------------------------------------------
+
+def each(fns: list, threads: int = 8) -> list:
+    """Runs independent Spark work as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(fns)))) as pool:
+        return [f.result() for f in [pool.submit(fn) for fn in fns]]
+
+
+class _CompositeWriter(MLWriter):
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        parts = self.model.parts()
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession,
+                                         extraMetadata={"values": self.model.values(), "parts": len(parts)})
+        each([lambda i=i, p=p: p.write().save(f"{path}/parts/{i}") for i, p in enumerate(parts)])
+
+
+class _CompositeReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        spark = self.sparkSession
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        parts = each([lambda i=i: DefaultParamsReader.loadParamsInstance(f"{path}/parts/{i}", spark) for i in range(metadata["parts"])])
+        model = self.cls.restore(metadata["values"], parts)
+        model._resetUid(metadata["uid"])
+        return model
+
+
+class CompositeModel(Model, MLWritable, MLReadable):
+    """A model made of plain values (``values``, in its metadata) and nested models (``parts``, saved beneath)."""
+
+    def write(self) -> MLWriter:
+        return _CompositeWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CompositeReader(cls)
+
+
 # --- AdaBoost (SAMME) ------------------------------------------------------------------------------------
 
-class AdaBoostModel(Model):
+class AdaBoostModel(CompositeModel):
     def __init__(self, trees, alphas, n_classes, featuresCol="features", predictionCol="prediction"):
         super().__init__()
         self.trees, self.alphas, self.n_classes = trees, alphas, n_classes
         self.featuresCol, self.predictionCol = featuresCol, predictionCol
 
+    def values(self) -> dict:
+        return {"alphas": self.alphas, "n_classes": self.n_classes, "featuresCol": self.featuresCol, "predictionCol": self.predictionCol}
+
+    def parts(self) -> list:
+        return list(self.trees)
+
+    @classmethod
+    def restore(cls, values: dict, parts: list) -> "AdaBoostModel":
+        return cls(parts, **values)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         k = self.n_classes
         df = dataset.withColumn("_score", F.array(*[F.lit(0.0)] * k))
@@ -96,27 +154,36 @@ class AdaBoostModel(Model):
 
 
 class AdaBoostClassifier(Estimator):
-    """SAMME boosting of weighted decision trees (50 rounds, rate 0.01 by default)."""
+    """SAMME boosting of weighted decision trees (50 rounds, rate 0.01 by default).
+
+    Trees grow to ``max_depth`` (30 is Spark's bound for unbounded ones). ``balanced_trees`` multiplies the weights that a
+    tree learns from by n / (classes * n_c); the boosting error keeps the plain ones.
+    """
 
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 0.01, max_depth: int = 3,
+    def __init__(self, n_estimators: int = 50, learning_rate: float = 0.01, max_depth: int = 30,
                  featuresCol: str = "features", labelCol: str = "label", weightCol: str | None = None,
-                 checkpoint_every: int = 1):
+                 checkpoint_every: int = 5, balanced_trees: bool = False):
         super().__init__()
         self.n_estimators, self.learning_rate, self.max_depth = n_estimators, learning_rate, max_depth
-        self.checkpoint_every = max(1, checkpoint_every)
+        self.checkpoint_every, self.balanced_trees = max(1, checkpoint_every), balanced_trees
         self.featuresCol, self.labelCol, self.weightCol = featuresCol, labelCol, weightCol
 
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
         lab = self.labelCol
-        k = dataset.select(lab).distinct().count()
+        counts = {r[lab]: r["count"] for r in dataset.groupBy(lab).count().collect()}
+        k = len(counts)
+        factor = F.lit(1.0)
+        if self.balanced_trees:
+            for y, n in counts.items():
+                factor = F.when(F.col(lab) == y, sum(counts.values()) / (k * n)).otherwise(factor)
         w0 = F.col(self.weightCol) if self.weightCol else F.lit(1.0)
         df = dataset.select(self.featuresCol, lab, w0.cast("double").alias("_w"))
         total = df.agg(F.sum("_w")).first()[0]
         df = cut_lineage(df.withColumn("_w", F.col("_w") / F.lit(total)))
         trees, alphas = [], []
         for t in range(self.n_estimators):
-            tree = DecisionTreeClassifier(featuresCol=self.featuresCol, labelCol=lab, weightCol="_w",
-                                          maxDepth=self.max_depth, seed=SEED + t).fit(df)
+            tree = DecisionTreeClassifier(featuresCol=self.featuresCol, labelCol=lab, weightCol="_tw",
+                                          maxDepth=self.max_depth, seed=SEED + t).fit(df.withColumn("_tw", F.col("_w") * factor))
             pred = tree.transform(df).select(self.featuresCol, lab, "_w",
                                              (F.col("prediction") != F.col(lab)).cast("double").alias("_miss"))
             err = pred.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("e")).first()["e"]
@@ -144,12 +211,22 @@ class AdaBoostClassifier(Estimator):
 
 # --- sigmoid-kernel SVM --------------------------------------------------------------------------------------
 
-class SigmoidSVCModel(Model):
+class SigmoidSVCModel(CompositeModel):
     def __init__(self, landmarks, gamma, coef0, svm, platt, featuresCol="features"):
         super().__init__()
         self.landmarks, self.gamma, self.coef0 = landmarks, gamma, coef0
         self.svm, self.platt, self.featuresCol = svm, platt, featuresCol
 
+    def values(self) -> dict:
+        return {"landmarks": self.landmarks.tolist(), "gamma": self.gamma, "coef0": self.coef0, "featuresCol": self.featuresCol}
+
+    def parts(self) -> list:
+        return [self.svm, self.platt]
+
+    @classmethod
+    def restore(cls, values: dict, parts: list) -> "SigmoidSVCModel":
+        return cls(np.array(values["landmarks"]), values["gamma"], values["coef0"], *parts, values["featuresCol"])
+
     def kernel_features(self, df: DataFrame) -> DataFrame:
         lm, g, c0 = self.landmarks, self.gamma, self.coef0
 
@@ -194,6 +271,49 @@ class SigmoidSVC(Estimator):
         return SigmoidSVCModel(lm, self.gamma, self.coef0, svm, platt, self.featuresCol)
 
 
+# --- soft voting -------------------------------------------------------------------------------------------
+
+class SoftVoteModel(CompositeModel):
+    def __init__(self, models: list, weights: list[float]):
+        super().__init__()
+        self.models, self.weights = models, weights
+
+    def values(self) -> dict:
+        return {"weights": self.weights}
+
+    def parts(self) -> list:
+        return list(self.models)
+
+    @classmethod
+    def restore(cls, values: dict, parts: list) -> "SoftVoteModel":
+        return cls(parts, values["weights"])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        df, kept = dataset, dataset.columns
+        for i, m in enumerate(self.models):
+            out = m.transform(df)
+            proba = vector_to_array("probability") if "probability" in out.columns else F.col("probability_array")
+            weight = F.lit(self.weights[i])
+            df = out.withColumn(f"_vote{i}", F.transform(proba, lambda x: x * weight)).select(*kept, *[f"_vote{j}" for j in range(i + 1)])
+        total = F.col("_vote0")
+        for i in range(1, len(self.models)):
+            total = F.zip_with(total, F.col(f"_vote{i}"), lambda a, b: a + b)
+        df = df.withColumn("probability_array", F.transform(total, lambda x: x / F.lit(float(sum(self.weights)))))
+        best = F.array_position("probability_array", F.array_max("probability_array")) - 1
+        return df.withColumn("prediction", best.cast("double")).drop(*[f"_vote{i}" for i in range(len(self.models))])
+
+
+class SoftVote(Estimator):
+    """Fits its members side by side and averages their class probabilities (first class on ties)."""
+
+    def __init__(self, estimators: list, weights: list[float] | None = None):
+        super().__init__()
+        self.estimators, self.weights = estimators, [float(w) for w in weights or [1.0] * len(estimators)]
+
+    def _fit(self, dataset: DataFrame) -> SoftVoteModel:
+        return SoftVoteModel(each([lambda e=e: e.fit(dataset) for e in self.estimators]), self.weights)
+
+
 # --- search, comparison, selection, persistence ----------------------------------------------------------
 
 def grid_search(estimator, grid: dict, evaluator, folds: int = 5, parallelism: int = 4) -> CrossValidator:

@@ -231,5 +231,5 @@ def q_s18(spark, sf):
     from colloquy.operators import models as Mo
     from colloquy.plans.model_queries import frames
     train, test = frames(spark, sf)
-    path = Mo.save_model(Mo.fit_pipeline([Mo.gradient_boosting(max_iter=20)], train), "s18_boosting", spark)
+    path = Mo.save_model(Mo.fit_pipeline([Mo.gradient_boosting()], train), "s18_boosting", spark)
     return Mo.load_model(path).transform(test).select("participant_id", "label", "prediction")

@@ -8,6 +8,8 @@ folder because every fit runs many jobs over it.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +18,13 @@ from colloquy.operators import features as Fe
 from colloquy.operators import metrics as M
 from colloquy.operators import models as Mo
 from colloquy.operators import sampling as Sm
+from colloquy.operators import search as Se
 from colloquy.operators.indicators import INDICATOR_COLUMNS
 from colloquy.plans.feature_queries import _features
 from colloquy.plans.registry import register, rounded
 from colloquy.session import cut_lineage
 
 
-def _in_parallel(fns):
-    """Runs independent fits as concurrent Spark jobs (as CrossValidator's parallelism does)."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=len(fns)) as pool:
-        return [f.result() for f in [pool.submit(fn) for fn in fns]]
-
-
 NUMERIC = INDICATOR_COLUMNS
 
 
@@ -47,6 +43,54 @@ def frames(spark, sf, train_split: int = 3, test_split: int = 1):
     return prep(train_f), prep(test_f)
 
 
+def indicator_stages(train: DataFrame) -> list:
+    """Pipeline stages from raw indicators to ``features``: means and population deviations of the training rows are
+    part of the first stage, so a saved pipeline scores any rows as it would the training rows."""
+    means = Fe.column_stats(train, NUMERIC)
+    scale = Fe.column_stats(Fe.fill_means(train, means), NUMERIC)
+
+    def z(c: str) -> str:
+        (fill, _), (mean, std) = means[c], scale[c]
+        if fill is None or not std:
+            return f"0D AS z_{c}"
+        return f"(coalesce(CAST({c} AS DOUBLE), {fill!r}D) - ({mean!r}D)) / {std!r}D AS z_{c}"
+
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(z(c) for c in NUMERIC)} FROM __THIS__"), Fe.assemble([f"z_{c}" for c in NUMERIC])]
+
+
+def session_models(spark, sf, prefix: str):
+    """The five classifiers of a session (AdaBoost, boosting, logistic regression, SVM, vote), fitted on the training
+    split at full size, saved as pipelines with their scaling and loaded back: ``({name: model}, raw test rows)``."""
+    f = cut_lineage(_features(spark, sf))
+    train = f.filter(F.col("partof") == 3)
+    stages = indicator_stages(train)
+    ready = cut_lineage(PipelineModel(stages).transform(train).select("participant_id", F.col("phq_binary").cast("double").alias("label"), "features"))
+    n = ready.count()
+    weighted = Fe.balanced_weights(ready, "label")
+    makers = {
+        "adaboost": (Mo.AdaBoostClassifier(balanced_trees=True), ready),
+        "boosting": (Mo.gradient_boosting(), ready),
+        "logistic": (Mo.logistic(1.0, n_rows=n), ready),
+        "svm": (Mo.SigmoidSVC(), ready),
+        "voting": (Mo.SoftVote([Mo.sampled_boosting(max_iter=5, max_depth=3, weight_col="weight"),
+                                Mo.random_forest(max_depth=1, weight_col="weight")]), weighted)}
+
+    def stored(name: str):
+        est, rows = makers[name]
+        return Mo.load_model(Mo.save_model(PipelineModel([*stages, est.fit(rows)]), f"{prefix}_{name}", spark))
+
+    return dict(zip(makers, Mo.each([lambda name=name: stored(name) for name in makers]))), f.filter(F.col("partof") == 1)
+
+
+def long_predictions(models: dict, rows: DataFrame, key: str) -> DataFrame:
+    """One row for each model and scored row."""
+    out = None
+    for name, model in models.items():
+        scored = model.transform(rows).select(F.lit(name).alias("model"), key, F.col("prediction").cast("double").alias("prediction"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def _scored(model, test: DataFrame, name: str | None = None) -> DataFrame:
     out = Mo.positive_probability(model.transform(test))
     cols = ["participant_id", "label", "prediction", F.round("p1", 6).alias("p1")]
@@ -82,26 +126,23 @@ def q_m12(spark, sf):
     """Gradient boosting 100 × depth 3, plain and with balanced sample weights."""
     train, test = frames(spark, sf)
     wtrain = Fe.balanced_weights(train, "label")
-    plain_m, weighted_m = _in_parallel([lambda: Mo.gradient_boosting().fit(train),
+    plain_m, weighted_m = Mo.each([lambda: Mo.gradient_boosting().fit(train),
                                         lambda: Mo.gradient_boosting(weight_col="weight").fit(wtrain)])
     return _scored(plain_m, test, "plain").unionByName(_scored(weighted_m, test, "weighted"))
 
 
 @register("m13")
 def q_m13(spark, sf):
-    """AdaBoost (SAMME, 50 rounds, rate 0.01) over weighted trees."""
+    """AdaBoost (SAMME, 50 rounds, rate 0.01) over full trees: raw data with balanced trees, SMOTE and ADASYN data."""
     train, test = frames(spark, sf)
-    model = Mo.AdaBoostClassifier().fit(train)
-    out = model.transform(test)
-    return out.select("participant_id", "label", "prediction",
-                      F.round(F.col("probability_array")[1], 6).alias("p1"))
+    return _variants(train, test, lambda v: Mo.AdaBoostClassifier(balanced_trees=v == "raw"))
 
 
 @register("m14")
 def q_m14(spark, sf):
-    """Sigmoid-kernel SVM (C = 7, γ = 0.3) with calibrated probabilities."""
+    """Sigmoid-kernel SVM (C = 7, γ = 0.3) with calibrated probabilities on raw, SMOTE and ADASYN data."""
     train, test = frames(spark, sf)
-    return _scored(Mo.SigmoidSVC().fit(train), test)
+    return _variants(train, test, lambda v: Mo.SigmoidSVC())
 
 
 @register("m15")
@@ -120,15 +161,21 @@ def q_m16(spark, sf):
     return _scored(est.fit(wtrain), test)
 
 
+# fixed values: the searched axes that change the optimum
+PENALTIES = [0.001, 0.01, 0.1, 1, 2, 5, 10, 100]
+ITERATIONS = [10, 100, 200, 500, 1000]
+
+
 @register("m18")
 def q_m18(spark, sf):
-    """Grid search of the logistic penalty, 3 folds, macro-F1 score."""
-    train, _ = frames(spark, sf)
-    est = Mo.logistic(1.0, n_rows=train.count())
-    grid = {"regParam": [0.001, 0.01, 0.1, 1.0]}
-    cvm = Mo.grid_search(est, grid, M.MacroF1Evaluator(), folds=3).fit(train)
-    rows = [(float(list(pm.values())[0]), float(m)) for pm, m in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
-    return rounded(spark.createDataFrame(rows, "regParam double, f1_macro double"))
+    """Logistic search: 160 points (C, class weights, intercept, iterations) x 5 stratified folds in shared scans."""
+    train = cut_lineage(frames(spark, sf)[0])
+    points = [Se.Point(float(c), balanced, intercept, n) for c in PENALTIES for balanced in (True, False)
+              for intercept in (True, False) for n in ITERATIONS]
+    found = Se.logistic_search(train, points, "participant_id")
+    best = max(found, key=lambda f: f.accuracy)
+    rows = [(f.point.c, f.point.balanced, f.point.intercept, f.point.max_iter, f.accuracy, f.f1_macro, f is best) for f in found]
+    return rounded(spark.createDataFrame(rows, "c double, balanced boolean, fit_intercept boolean, max_iter int, accuracy double, f1_macro double, best boolean"))
 
 
 def _resampled(train: DataFrame, how: str) -> DataFrame:
@@ -140,13 +187,25 @@ def _resampled(train: DataFrame, how: str) -> DataFrame:
     return out.select(F.col("participant_id"), "label", array_to_vector("vec").alias("features"))
 
 
+def _variants(train: DataFrame, test: DataFrame, make) -> DataFrame:
+    """Scores of the test rows by a model of each resampled training set."""
+    variants = ("raw", "smote", "adasyn")
+    sets = {v: cut_lineage(_resampled(train, v)) for v in variants}
+    models = Mo.each([lambda v=v: make(v).fit(sets[v]) for v in variants])
+    out = None
+    for v, model in zip(variants, models):
+        scored = _scored(model, test).withColumn("variant", F.lit(v))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 @register("m24")
 def q_m24(spark, sf):
     """Gradient boosting on raw, SMOTE and ADASYN training data, one report table."""
     train, test = frames(spark, sf)
     variants = ("raw", "smote", "adasyn")
     sets = {v: cut_lineage(_resampled(train, v)) for v in variants}
-    models = _in_parallel([lambda v=v: Mo.gradient_boosting().fit(sets[v]) for v in variants])
+    models = Mo.each([lambda v=v: Mo.gradient_boosting().fit(sets[v]) for v in variants])
     tables = []
     for variant, model in zip(variants, models):
         scored = Mo.positive_probability(model.transform(test)).withColumn("variant", F.lit(variant))
@@ -162,26 +221,17 @@ def q_m24(spark, sf):
 
 @register("m25")
 def q_m25(spark, sf):
-    """Five persisted models loaded back and applied to the test rows (long form)."""
-    train, test = frames(spark, sf)
-    n = train.count()
-    makers = {"forest": Mo.random_forest(num_trees=20), "boosting": Mo.gradient_boosting(max_iter=20),
-              "tree": Mo.decision_tree(), "logistic": Mo.logistic(1.0, n_rows=n),
-              "linear_svm": Mo.LinearSVC(regParam=1.0 / (7.0 * n))}
-    out = None
-    for name, est in makers.items():
-        path = Mo.save_model(Mo.fit_pipeline([est], train), f"m25_{name}", spark)
-        scored = Mo.load_model(path).transform(test).select(
-            F.lit(name).alias("model"), "participant_id", "prediction")
-        out = scored if out is None else out.unionByName(scored)
-    return out.join(test.select("participant_id", F.col("label").alias("expected")), "participant_id")
+    """Five persisted models (AdaBoost, boosting, logistic, SVM, vote) loaded back and applied to the test rows (long form)."""
+    models, test = session_models(spark, sf, "m25")
+    return long_predictions(models, test, "participant_id").join(
+        test.select("participant_id", F.col("phq_binary").cast("double").alias("expected")), "participant_id")
 
 
 @register("k7")
 def q_k7(spark, sf):
-    """Model persistence round trip: a saved and reloaded forest gives the same predictions."""
+    """Model persistence round trip: a saved and reloaded forest (100 trees) gives the same predictions."""
     train, test = frames(spark, sf)
-    model = Mo.fit_pipeline([Mo.random_forest(num_trees=20)], train)
+    model = Mo.fit_pipeline([Mo.random_forest()], train)
     path = Mo.save_model(model, "k7_forest", spark)
     a = model.transform(test).select("participant_id", F.col("prediction").alias("before"))
     b = Mo.load_model(path).transform(test).select("participant_id", F.col("prediction").alias("after"))

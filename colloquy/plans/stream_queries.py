@@ -21,6 +21,7 @@ from colloquy.plans.running_queries import PHRASES_SQL
 from colloquy.plans.sqlparts import lexicon_ctes, tokens_cte
 from colloquy.plans.text_queries import _wide_sql
 from colloquy.sources import tables as S
+from colloquy.session import write_stage
 from colloquy.streaming import session as St
 
 FILES_PER_BATCH = 4
@@ -122,21 +123,16 @@ def q_t3(spark, sf):
 
 @register("t6")
 def q_t6(spark, sf):
-    """End-of-session prediction: indicator row of each session's patient text scored by
-    a forest trained on the labelled documents (rows-only check)."""
+    """End-of-session prediction: the indicator row of each session's patient text, scored by the five saved pipelines
+    (training means and deviations inside), one row for each session and model (rows-only check)."""
     from colloquy.operators import dialogue as D
-    from colloquy.operators import features as Fe
-    from colloquy.operators import models as Mo
-    from colloquy.plans.model_queries import frames, NUMERIC
-    train, _ = frames(spark, sf)
-    model = Mo.random_forest(num_trees=20).fit(train)
+    from colloquy.plans.model_queries import long_predictions, session_models
+    models, _ = session_models(spark, sf, "t6")
     vocab = S.vocabulary(spark, sf)
     val, emo, dic = S.valence_lexicon(vocab), S.emotion_lexicon(vocab), S.unit_dictionary(vocab)
     dia = D.patient_dialogue(S.turns(spark, sf)).select(F.col("conv_id").alias("doc_id"), F.col("dialogue").alias("text"))
-    ind = rounded(I.indicator_row(S.spread(dia), val, emo, dictionary=dic, with_maps=False))
-    stats = Fe.column_stats(ind, NUMERIC)
-    feats = Fe.assemble(NUMERIC).transform(Fe.zscore(Fe.fill_means(ind, stats), Fe.column_stats(Fe.fill_means(ind, stats), NUMERIC)))
-    return model.transform(feats).select(F.col("doc_id").alias("conv_id"), "prediction")
+    ind = write_stage(rounded(I.indicator_row(S.spread(dia), val, emo, dictionary=dic, with_maps=False)).withColumnRenamed("doc_id", "conv_id"), "session-indicators")
+    return long_predictions(models, ind, "conv_id")
 
 
 @register("t7", "SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS window_start, event_type, count(*) AS n, "

@@ -56,3 +56,62 @@ def test_importance_selection(spark):
     assert {k for k, _ in keep} <= {"a", "b", "c"} and keep
     sl = Mo.select_features(["a", "b", "c"], [keep[0][0]]).transform(df)
     assert sl.first()["selected"].size == 1
+
+
+def test_composite_models_are_saved_within_pipelines(spark):
+    from pyspark.ml import PipelineModel
+
+    df = blobs(spark)
+    vote = Mo.SoftVote([Mo.random_forest(5, 2), Mo.gradient_boosting(3, 2)], weights=[2, 1])
+    for name, est in {"ada": Mo.AdaBoostClassifier(4, 0.5, max_depth=1, balanced_trees=True), "svm": Mo.SigmoidSVC(max_landmarks=16), "vote": vote}.items():
+        model = est.fit(df)
+        back = Mo.load_model(Mo.save_model(PipelineModel([model]), f"t_{name}", spark))
+        a, b = ([tuple(r) for r in Mo.positive_probability(m.transform(df)).select("participant_id", "prediction", "p1").orderBy("participant_id").collect()]
+                for m in (model, back))
+        assert a == b and type(back.stages[0]) is type(model) and back.stages[0].uid == model.uid
+        if name == "vote":  # the mean of the members' probabilities, by weight
+            p = [[r["p1"] for r in Mo.positive_probability(m.transform(df)).orderBy("participant_id").collect()] for m in model.models]
+            assert np.allclose([x[2] for x in a], (2 * np.array(p[0]) + np.array(p[1])) / 3)
+
+
+def test_logistic_search_equals_separate_fits(spark):
+    from colloquy.operators import search as Se
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 3))
+    y = (x @ [1.5, -1, 0] + rng.normal(size=150) * 1.5 > 0.8).astype(float)
+    rows = [(i, float(y[i]), Vectors.dense(x[i].tolist())) for i in range(150)]
+    df = spark.createDataFrame(rows, blobs(spark, 2).schema).repartition(3)
+    points = [Se.Point(c, balanced, intercept, n) for c in (0.05, 2.0) for balanced in (True, False) for intercept in (True, False) for n in (1, 50)]
+    found = Se.logistic_search(df, points, "participant_id", folds=3)
+    assert [f.point for f in found] == points
+    folds = {r["i"]: r["fold"] for r in folds_of(df)}
+    for f in found:
+        p = f.point
+        if p.max_iter == 1:
+            continue
+
+        def fit(keep):
+            t = df.where(F.col("participant_id").isin(keep))
+            n1 = sum(y[i] for i in keep)
+            w = F.when(F.col("label") == 1, len(keep) / (2 * n1)).otherwise(len(keep) / (2 * (len(keep) - n1))) if p.balanced else F.lit(1.0)
+            t = t.withColumn("w", w)
+            total = t.agg(F.sum("w")).first()[0]
+            m = LogisticRegression(regParam=1 / (p.c * total), standardization=False, fitIntercept=p.intercept, weightCol="w", tol=1e-12, maxIter=500).fit(t)
+            return np.append(m.coefficients.toArray(), m.intercept)
+
+        if p.c == 2.0 and p.balanced:
+            assert np.allclose(f.coefficients, fit(list(range(150))), atol=1e-4)
+            acc = []
+            for k in range(3):
+                w = fit([i for i in folds if folds[i] != k])
+                test = [i for i in folds if folds[i] == k]
+                acc.append(np.mean([(x[i] @ w[:3] + w[3] > 0) == y[i] for i in test]))
+            assert abs(np.mean(acc) - f.accuracy) < 1e-9
+
+
+def folds_of(df):
+    from colloquy.operators import features as Fe
+
+    return Fe.hash_rank(df, ["label"], "participant_id").select(F.col("participant_id").alias("i"), (F.col("_rank") % 3).alias("fold")).collect()
