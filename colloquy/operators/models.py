@@ -16,31 +16,32 @@ public ``Estimator`` / ``Model`` extension points; their models are saved and lo
 from __future__ import annotations
 
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.session import checkpoint_dir, cut_lineage
+from colloquy.session import checkpoint_dir, cut_lineage, write_stage
 
 SEED = 42
 
 
 # --- built-in estimators with the reference settings ------------------------------------------------
 
-def random_forest(num_trees: int = 100, max_depth: int = 30, weight_col: str | None = None) -> RandomForestClassifier:
+def random_forest(num_trees: int = 100, max_depth: int = 30, weight_col: str | None = None) -> "Forest":
     """100 trees, seeded; sklearn grows unbounded trees, Spark caps depth at 30."""
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=SEED)
-    return rf.setWeightCol(weight_col) if weight_col else rf
+    return Forest(num_trees, max_depth, weight_col)
 
 
 def decision_tree(max_depth: int = 3, weight_col: str | None = None) -> DecisionTreeClassifier:
@@ -87,10 +88,9 @@ class _CompositeWriter(MLWriter):
         self.model = model
 
     def saveImpl(self, path: str) -> None:
-        parts = self.model.parts()
         DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession,
-                                         extraMetadata={"values": self.model.values(), "parts": len(parts)})
-        each([lambda i=i, p=p: p.write().save(f"{path}/parts/{i}") for i, p in enumerate(parts)])
+                                         extraMetadata={"values": self.model.values(), "parts": len(self.model.parts())})
+        self.model.save_parts(path)
 
 
 class _CompositeReader(MLReader):
@@ -101,8 +101,7 @@ class _CompositeReader(MLReader):
     def load(self, path: str):
         spark = self.sparkSession
         metadata = DefaultParamsReader.loadMetadata(path, spark)
-        parts = each([lambda i=i: DefaultParamsReader.loadParamsInstance(f"{path}/parts/{i}", spark) for i in range(metadata["parts"])])
-        model = self.cls.restore(metadata["values"], parts)
+        model = self.cls.restore(metadata["values"], self.cls.load_parts([f"{path}/parts/{i}" for i in range(metadata["parts"])], spark))
         model._resetUid(metadata["uid"])
         return model
 
@@ -117,6 +116,99 @@ class CompositeModel(Model, MLWritable, MLReadable):
     def read(cls) -> MLReader:
         return _CompositeReader(cls)
 
+    def save_parts(self, path: str) -> None:
+        each([lambda i=i, p=p: p.write().save(f"{path}/parts/{i}") for i, p in enumerate(self.parts())])
+
+    @classmethod
+    def load_parts(cls, paths: list[str], spark) -> list:
+        return each([lambda p=p: DefaultParamsReader.loadParamsInstance(p, spark) for p in paths])
+
+
+# --- forests in groups of trees ----------------------------------------------------------------------------
+
+TREE_ROWS = 1 << 21     #: rows times trees (or nodes, of shallow trees) that are grown and held at once
+
+
+class ForestModel(CompositeModel):
+    """A forest kept as groups of trees below the shared folder (``paths``); the driver holds one group at a time.
+
+    Rows pass the groups in turn and are written after each; a class's probability is the mean over all trees.
+    """
+
+    def __init__(self, paths, sizes, importances, n_classes, featuresCol="features", predictionCol="prediction"):
+        super().__init__()
+        self.paths, self.sizes, self.importances, self.n_classes = paths, sizes, importances, n_classes
+        self.featuresCol, self.predictionCol = featuresCol, predictionCol
+
+    def values(self) -> dict:
+        return {"sizes": self.sizes, "importances": self.importances, "n_classes": self.n_classes, "featuresCol": self.featuresCol, "predictionCol": self.predictionCol}
+
+    def parts(self) -> list:
+        return list(self.paths)
+
+    def save_parts(self, path: str) -> None:
+        for i, p in enumerate(self.paths):
+            RandomForestClassificationModel.load(p).write().save(f"{path}/parts/{i}")
+
+    @classmethod
+    def load_parts(cls, paths: list[str], spark) -> list:
+        return paths
+
+    @classmethod
+    def restore(cls, values: dict, parts: list) -> "ForestModel":
+        return cls(parts, **values)
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        return DenseVector(self.importances)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        df = dataset.withColumn("_votes", F.array(*[F.lit(0.0)] * self.n_classes))
+        for path, size in zip(self.paths, self.sizes):
+            group = (RandomForestClassificationModel.load(path).setFeaturesCol(self.featuresCol).setPredictionCol("")
+                     .setRawPredictionCol("").setProbabilityCol("_p"))
+            voted = group.transform(df).withColumn("_votes", F.zip_with("_votes", vector_to_array("_p"), lambda a, b: a + b * F.lit(float(size))))
+            df = write_stage(voted.drop("_p"), "forest-votes")
+        total = float(sum(self.sizes))
+        df = df.withColumn("probability", array_to_vector(F.transform("_votes", lambda v: v / F.lit(total))))
+        best = F.array_position("_votes", F.array_max("_votes")) - 1
+        return df.withColumn(self.predictionCol, best.cast("double")).drop("_votes")
+
+
+class Forest(Estimator):
+    """A random forest of deep trees, whose nodes grow with the rows.
+
+    A forest of at most ``tree_rows`` rows times trees is Spark's own. A larger one is grown by Spark in groups of
+    trees of that size (one tree at least), each with a seed of its own and stored before the next.
+    """
+
+    def __init__(self, num_trees: int = 100, max_depth: int = 30, weight_col: str | None = None, tree_rows: int | None = None,
+                 featuresCol: str = "features", labelCol: str = "label"):
+        super().__init__()
+        self.num_trees, self.max_depth, self.weight_col, self.tree_rows = num_trees, max_depth, weight_col, tree_rows
+        self.featuresCol, self.labelCol = featuresCol, labelCol
+
+    def group(self, num_trees: int, seed: int) -> RandomForestClassifier:
+        rf = RandomForestClassifier(featuresCol=self.featuresCol, labelCol=self.labelCol, numTrees=num_trees, maxDepth=self.max_depth, seed=seed)
+        return rf.setWeightCol(self.weight_col) if self.weight_col else rf
+
+    def _fit(self, dataset: DataFrame):
+        nodes = min(dataset.count(), 2 ** (self.max_depth + 1))
+        at_once = max(1, (self.tree_rows or TREE_ROWS) // max(1, nodes))
+        if at_once >= self.num_trees:
+            return self.group(self.num_trees, SEED).fit(dataset)
+        folder = f"{checkpoint_dir(dataset.sparkSession).rstrip('/')}/forest-{uuid.uuid4().hex}"
+        paths, sizes, importances, grown, k = [], [], 0.0, 0, 0
+        for i, at in enumerate(range(0, self.num_trees, at_once)):
+            sizes.append(min(at_once, self.num_trees - at))
+            model = self.group(sizes[-1], SEED + i).fit(dataset)
+            paths.append(f"{folder}/{i}")
+            model.write().save(paths[-1])
+            n = sum(t.depth > 0 for t in model.trees)      # a tree without a split has no importances
+            importances, grown, k = importances + n * model.featureImportances.toArray(), grown + n, model.numClasses
+            del model
+        return ForestModel(paths, sizes, (importances / max(1, grown)).tolist(), k, self.featuresCol)
+
 
 # --- AdaBoost (SAMME) ------------------------------------------------------------------------------------
 

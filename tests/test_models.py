@@ -115,3 +115,22 @@ def folds_of(df):
     from colloquy.operators import features as Fe
 
     return Fe.hash_rank(df, ["label"], "participant_id").select(F.col("participant_id").alias("i"), (F.col("_rank") % 3).alias("fold")).collect()
+
+
+def test_large_forest_grows_in_stored_groups(spark):
+    from pyspark.ml.classification import RandomForestClassificationModel
+    df = blobs(spark)
+    whole = Mo.Forest(7, 4).fit(df)
+    assert isinstance(whole, RandomForestClassificationModel) and len(whole.trees) == 7  # a small forest is Spark's own
+    model = Mo.Forest(7, 4, tree_rows=32 * 3).fit(df)  # 32 nodes bound a tree: three trees at once
+    assert model.sizes == [3, 3, 1] and abs(sum(model.importances) - 1) < 1e-9
+    groups = [RandomForestClassificationModel.load(p) for p in model.paths]
+    assert [len(g.trees) for g in groups] == [3, 3, 1]
+    out = {r["participant_id"]: r for r in model.transform(df).collect()}
+    votes = [{r["participant_id"]: r["probability"].toArray() for r in g.transform(df).collect()} for g in groups]
+    for i, r in out.items():
+        p = (3 * votes[0][i] + 3 * votes[1][i] + votes[2][i]) / 7
+        assert np.allclose(p, r["probability"].toArray()) and r["prediction"] == float(p[1] > p[0])
+    again = Mo.load_model(Mo.save_model(Mo.PipelineModel([model]), "t_forest", spark))
+    assert {r["participant_id"]: r["probability"] for r in again.transform(df).collect()} == {i: r["probability"] for i, r in out.items()}
+    assert len(out) == 80 and "_votes" not in model.transform(df).columns
