@@ -21,6 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassificationModel, RandomForestClassifier)
@@ -272,12 +273,13 @@ class AdaBoostClassifier(Estimator):
         df = dataset.select(self.featuresCol, lab, w0.cast("double").alias("_w"))
         total = df.agg(F.sum("_w")).first()[0]
         df = cut_lineage(df.withColumn("_w", F.col("_w") / F.lit(total)))
-        trees, alphas = [], []
+        trees, alphas, scored = [], [], []
         for t in range(self.n_estimators):
             tree = DecisionTreeClassifier(featuresCol=self.featuresCol, labelCol=lab, weightCol="_tw",
                                           maxDepth=self.max_depth, seed=SEED + t).fit(df.withColumn("_tw", F.col("_w") * factor))
             pred = tree.transform(df).select(self.featuresCol, lab, "_w",
                                              (F.col("prediction") != F.col(lab)).cast("double").alias("_miss"))
+            scored.append(pred.persist(StorageLevel.MEMORY_AND_DISK))  # a round's tree scores the rows once, not in each job of the next ones
             err = pred.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("e")).first()["e"]
             if err <= 0:
                 trees.append(tree)
@@ -293,11 +295,16 @@ class AdaBoostClassifier(Estimator):
             alphas.append(alpha)
             if t == self.n_estimators - 1:
                 break
+            for old in scored[:-1]:
+                old.unpersist()
+            scored = scored[-1:]
             nxt = pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")))
             s = nxt.agg(F.sum("_w")).first()[0]
             df = nxt.select(self.featuresCol, lab, (F.col("_w") / F.lit(s)).alias("_w"))
             if (t + 1) % self.checkpoint_every == 0:      # reliable checkpoint bounds the lineage
                 df = cut_lineage(df)
+        for old in scored:
+            old.unpersist()
         return AdaBoostModel(trees, alphas, int(k), self.featuresCol)
 
 
