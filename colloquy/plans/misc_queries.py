@@ -9,7 +9,7 @@ from colloquy.operators import features as Fe
 from colloquy.operators import lexicon as X
 from colloquy.operators import running as R
 from colloquy.operators import setops as U
-from colloquy.operators.tokens import annotate
+from colloquy.operators.tokens import annotate, tagged
 from colloquy.plans.feature_queries import PART_SQL, _indicators
 from colloquy.plans.registry import register, rounded, rsql
 from colloquy.plans.running_queries import PHRASES_SQL
@@ -88,7 +88,7 @@ def q_p21(spark, sf):
                  "FROM tok GROUP BY doc_id")
 def q_p23(spark, sf):
     """Token predicates per document: punctuation, stop words, determiners, blanks."""
-    t = annotate(S.spread(S.documents(spark, sf)))
+    t = tagged(S.spread(S.documents(spark, sf)))
     return t.groupBy("doc_id").agg(
         F.sum(F.col("is_punct").cast("long")).alias("n_punct"), F.sum(F.col("is_stop").cast("long")).alias("n_stop"),
         F.sum((F.col("pos") == "DET").cast("long")).alias("n_det"),
