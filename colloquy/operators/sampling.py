@@ -1,9 +1,10 @@
 """Rebalancing samplers: exact k nearest neighbours, SMOTE, ADASYN (M5–M7).
 
 Exact kNN without enumerating pairs in the plan: rows are cut into blocks of at most
-``block_rows`` (by hash rank inside each group), every (left block, right block) pair is
-one task that computes the distances with numpy and emits only each left row's ``k``
-best; a ``row_number() <= k`` per row then merges the block winners (Spark cuts each row's
+``block_rows`` (by hash rank inside each group), every unordered pair of blocks is one group
+that finds with numpy the ``k`` best of each row of either block in the other: a matrix product
+rules out pairs beyond its rounding bound, exact differences decide among the rest; a
+``row_number() <= k`` per row then merges the block winners (Spark cuts each row's
 candidates to ``k`` per map task before the shuffle). Memory per task is two blocks.
 
 Synthetic rows are generated from per-row quotas with ``sequence``/``explode``; the
@@ -23,37 +24,68 @@ from colloquy.operators.features import hash_rank
 
 K_NEIGHBOURS = 5          # fixed value: library default of both samplers
 SEED = 42
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16384
+SMALL_BLOCK_ROWS, SMALL_BLOCKS = 1024, 8      # groups of up to 8 blocks are cut into blocks of 1024 rows or more
 LEFT_ROWS = 256           # rows of a block whose distances are held at once
+PAIRS_HELD = 1 << 22      # pairs of rows whose distances are held at once
+
+
+def _nearest(a: np.ndarray, lid: np.ndarray, b: np.ndarray, rid: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of the rows ``b`` (in id order) for each of ``a``; rows of the same id are not compared.
+
+    One matrix product gives all distances up to a rounding error with a known bound. Only pairs that may be among a
+    row's ``k`` within that bound are measured by exact differences, so the result is that of measuring all.
+    """
+    dims = a.shape[1]
+    middle = b.mean(axis=0)
+    ac, bc = a - middle, b - middle
+    an, bn = (ac * ac).sum(axis=1), (bc * bc).sum(axis=1)
+    bound = 16 * (dims + 8) * np.finfo(float).eps * (an + bn.max())
+    finite = bool(np.isfinite(bound).all())
+    starts = np.unique(np.linspace(0, len(b), max(64, 4 * k), endpoint=False).astype(int))
+    shared = np.flatnonzero(np.isin(lid, rid))
+    ac *= -2
+    out = []
+    step = max(1, min(LEFT_ROWS, PAIRS_HELD // len(b)))
+    for at in range(0, len(a), step):
+        part = slice(at, at + step)
+        own = [(i - at, lid[i] == rid) for i in shared[(shared >= at) & (shared < at + step)]]
+        near = np.ones((len(a[part]), len(b)), dtype=bool)
+        if finite and len(starts) >= k:
+            d2 = ac[part] @ bc.T                            # squared distances less the left row's own square
+            d2 += bn
+            for i, same in own:
+                d2[i, same] = np.inf
+            # k stretches have a row at or below the k-th lowest minimum, so the k-th nearest is not above it
+            limit = np.partition(np.minimum.reduceat(d2, starts, axis=1), k - 1, axis=1)[:, k - 1]
+            np.less_equal(d2, (limit + bound[part])[:, None], out=near)
+        for i, same in own:
+            near[i, same] = False
+        rows, cols = np.nonzero(near)
+        d2 = np.zeros(len(rows))
+        for c in range(dims):                               # exact differences, a column at a time
+            d2 += (a[part][rows, c] - b[cols, c]) ** 2
+        order = np.lexsort((cols, d2, rows))                # right rows stand by id: ties go to the lowest
+        rows, cols, d2 = rows[order], cols[order], d2[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append(pd.DataFrame({"id": lid[part][rows[best]], "nid": rid[cols[best]], "dist": np.sqrt(d2[best])}))
+    return pd.concat(out)
 
 
 def _knn_block(k: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_side"] == 0]
-        right = pdf[pdf["_side"] == 1]
-        if left.empty or right.empty:
+        pdf = pdf.sort_values("id", kind="stable")
+        first, second = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        one_block = pdf["_bi"].iloc[0] == pdf["_bj"].iloc[0]
+        if first.empty or (second.empty and not one_block):
             return pd.DataFrame({"_g": [], "id": [], "nid": [], "dist": []})
-        right = right.sort_values("id")
-        a = np.stack(left["vec"].to_numpy()).astype(float)
-        b = np.stack(right["vec"].to_numpy()).astype(float)
-        lid = left["id"].to_numpy()
-        rid = right["id"].to_numpy()
-        out = []
-        for at in range(0, len(a), LEFT_ROWS):
-            part = a[at:at + LEFT_ROWS]
-            d2 = np.zeros((len(part), len(b)))
-            for c in range(a.shape[1]):                     # exact differences, a column at a time
-                d2 += (part[:, c, None] - b[None, :, c]) ** 2
-            own = lid[at:at + LEFT_ROWS, None] == rid[None, :]
-            d2[own] = np.inf                                # a row is not its own neighbour
-            # right rows stand by id, so the stable sort breaks ties by the lowest id
-            idx = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), idx.shape[1])
-            cols = idx.ravel()
-            keep = ~own[rows, cols]
-            out.append(pd.DataFrame({"_g": left["_g"].iloc[0], "id": lid[at + rows][keep], "nid": rid[cols][keep],
-                                     "dist": np.sqrt(d2[rows, cols][keep])}))
-        return pd.concat(out)
+        sides = [(np.stack(s["vec"].to_numpy()).astype(float), s["id"].to_numpy()) for s in ((first,) if one_block else (first, second))]
+        found = [_nearest(*sides[0], *sides[-1], k)]
+        if not one_block:
+            found.append(_nearest(*sides[1], *sides[0], k))
+        out = pd.concat(found)
+        out.insert(0, "_g", pdf["_g"].iloc[0])
+        return out
     return fn
 
 
@@ -67,14 +99,16 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = K_NEIGHBOURS, group:
     g = F.col(group) if group else F.lit(0)
     base = df.select(g.cast("long").alias("_g"), F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).cast("array<double>").alias("vec"))
-    r = hash_rank(base, ["_g"], "id").withColumn("_blk", (F.col("_rank") / block_rows).cast("long"))
-    nb = r.groupBy("_g").agg((F.max("_blk") + 1).alias("_nb"))
-    r = r.join(F.broadcast(nb), "_g")
-    left = r.select("_g", F.col("_blk").alias("_bi"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bj"),
-                    F.lit(0).alias("_side"), "id", "vec")
-    right = r.select("_g", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bi"), F.col("_blk").alias("_bj"),
-                     F.lit(1).alias("_side"), "id", "vec")
-    pairs = left.unionByName(right).groupBy("_g", "_bi", "_bj").applyInPandas(
+    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    # blocks of at most block_rows; a small group is cut finer, so that its pairs of blocks keep the cores busy
+    blocks = F.greatest(F.ceil(F.col("_n") / block_rows), F.least(F.ceil(F.col("_n") / SMALL_BLOCK_ROWS), F.lit(SMALL_BLOCKS)))
+    sizes = sizes.withColumn("_nb", blocks.cast("long"))
+    r = hash_rank(base, ["_g"], "id").join(F.broadcast(sizes), "_g")
+    r = r.withColumn("_blk", F.floor(F.col("_rank") * F.col("_nb") / F.col("_n")).cast("long"))
+    # each pair of blocks once, i <= j: a row goes to the pairs of its block, on the left or on the right
+    places = F.expr("concat(transform(sequence(_blk, _nb - 1), j -> struct(_blk AS _bi, j AS _bj, 0 AS _side)), "
+                    "IF(_blk = 0, array(), transform(sequence(0L, _blk - 1), i -> struct(i AS _bi, _blk AS _bj, 1 AS _side))))")
+    pairs = r.select("_g", F.inline(places), "id", "vec").groupBy("_g", "_bi", "_bj").applyInPandas(
         _knn_block(k), "_g long, id long, nid long, dist double")
     from pyspark.sql import Window
     w = Window.partitionBy("_g", "id").orderBy("dist", "nid")
