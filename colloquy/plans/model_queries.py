@@ -187,36 +187,41 @@ def _resampled(train: DataFrame, how: str) -> DataFrame:
     return out.select(F.col("participant_id"), "label", array_to_vector("vec").alias("features"))
 
 
+VARIANTS = ("raw", "smote", "adasyn")
+
+
+def _variant_models(train: DataFrame, make) -> dict:
+    """A model of each resampled training set; a set's model is fitted while the next sets are still being resampled."""
+    return dict(zip(VARIANTS, Mo.each([lambda v=v: make(v).fit(cut_lineage(_resampled(train, v))) for v in VARIANTS])))
+
+
 def _variants(train: DataFrame, test: DataFrame, make) -> DataFrame:
     """Scores of the test rows by a model of each resampled training set."""
-    variants = ("raw", "smote", "adasyn")
-    sets = {v: cut_lineage(_resampled(train, v)) for v in variants}
-    models = Mo.each([lambda v=v: make(v).fit(sets[v]) for v in variants])
     out = None
-    for v, model in zip(variants, models):
+    for v, model in _variant_models(train, make).items():
         scored = _scored(model, test).withColumn("variant", F.lit(v))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+def variant_report(models: dict, test: DataFrame) -> DataFrame:
+    """Report and AUC of each model. The report reads predictions in many places: each model scores the test rows once,
+    and one report has the models as its key."""
+    out = None
+    for variant, model in models.items():
+        scored = Mo.positive_probability(model.transform(test)).select(F.lit(variant).alias("variant"), "label", "prediction", "p1")
+        out = scored if out is None else out.unionByName(scored)
+    scored = cut_lineage(out)
+    conf = cut_lineage(M.confusion(scored, keys=["variant"]))
+    rep = M.classification_report(conf, keys=["variant"])
+    return rep.join(M.roc_auc(scored, score="p1", keys=["variant"]), "variant")
+
+
 @register("m24")
 def q_m24(spark, sf):
     """Gradient boosting on raw, SMOTE and ADASYN training data, one report table."""
     train, test = frames(spark, sf)
-    variants = ("raw", "smote", "adasyn")
-    sets = {v: cut_lineage(_resampled(train, v)) for v in variants}
-    models = Mo.each([lambda v=v: Mo.gradient_boosting().fit(sets[v]) for v in variants])
-    tables = []
-    for variant, model in zip(variants, models):
-        scored = Mo.positive_probability(model.transform(test)).withColumn("variant", F.lit(variant))
-        conf = M.confusion(scored, keys=["variant"])
-        rep = M.classification_report(conf, keys=["variant"])
-        auc = M.roc_auc(scored, score="p1", keys=["variant"])
-        tables.append(rep.join(auc, "variant"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return rounded(out)
+    return rounded(variant_report(_variant_models(train, lambda v: Mo.gradient_boosting()), test))
 
 
 @register("m25")

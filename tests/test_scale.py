@@ -44,3 +44,44 @@ def test_a_phrase_is_one_row_and_its_known_words(spark):
     rows = St.phrase_events(phr, emo, units).collect()
     assert sorted((r["phrase"], r["words"] is not None, r["n_doc"], r["joy"], r["n_units"]) for r in rows) == [
         (0, False, 0, 0, 1), (0, False, 0, 1, 0), (0, False, 0, 1, 0), (0, True, 6, 0, 0), (1, True, 0, 0, 0)]
+
+
+def test_samplers_find_neighbours_once(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, int(i % 4 == 0), [float(x) for x in rng.normal(size=3)]) for i in range(60)], "id long, cls int, vec array<double>")
+    for sampler in (Sm.smote, Sm.adasyn):
+        out = sampler(df, "id", "vec", "cls", k=3)
+        # the plan reads stored neighbours in each of its joins: no search is left in it
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.filter("synthetic").count() > 0
+
+
+def test_variant_report_scores_once_and_equals_separate_reports(spark):
+    from colloquy.operators import metrics as M
+    from colloquy.plans import model_queries as Q
+
+    class Scorer:
+        """Counts the rows that it scores."""
+        def __init__(self, cut):
+            self.cut, self.seen = cut, spark.sparkContext.accumulator(0)
+
+        def transform(self, df):
+            cut, seen = self.cut, self.seen
+
+            def score(x):
+                seen.add(1)
+                return [1 - x, x]
+            p = df.withColumn("probability_array", F.udf(score, "array<double>")("x"))
+            return p.withColumn("prediction", (F.col("probability_array")[1] > cut).cast("double"))
+
+    rng = np.random.default_rng(12)
+    test = spark.createDataFrame([(float(i % 3 == 0), float(round(x, 2))) for i, x in enumerate(rng.random(50))], "label double, x double").repartition(3)
+    models = {"a": Scorer(0.5), "b": Scorer(0.9), "c": Scorer(2.0)}      # c predicts one class only
+    got = sorted(map(tuple, Q.variant_report(models, test).collect()), key=str)
+    assert [m.seen.value for m in models.values()] == [50, 50, 50]
+    want = []
+    for v, m in models.items():
+        scored = m.transform(test).withColumn("p1", F.col("probability_array")[1]).withColumn("variant", F.lit(v))
+        rep = M.classification_report(M.confusion(scored, keys=["variant"]), keys=["variant"])
+        want += map(tuple, rep.join(M.roc_auc(scored, score="p1", keys=["variant"]), "variant").collect())
+    assert got == sorted(want, key=str) and len(got) == 15
