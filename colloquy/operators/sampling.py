@@ -6,7 +6,6 @@ that finds with numpy the ``k`` best of each row of either block in the other: a
 rules out pairs beyond its rounding bound, exact differences decide among the rest; a
 ``row_number() <= k`` per row then merges the block winners (Spark cuts each row's
 candidates to ``k`` per map task before the shuffle). Memory per task is two blocks.
-The samplers read neighbours in several joins: they are found once and checkpointed.
 
 Synthetic rows are generated from per-row quotas with ``sequence``/``explode``; the
 neighbour and the interpolation factor of sample *s* of row *i* come from md5(i, s, seed),
@@ -156,7 +155,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = K_NEIGH
     minority, n_min, n_maj = _classes(df, label)
     g = n_maj - n_min
     mino = df.filter(F.col(label) == minority)
-    nbrs = cut_lineage(knn(mino, id_col, vec_col, k))
+    nbrs = knn(mino, id_col, vec_col, k)
     ranked = hash_rank(mino.withColumn("_one", F.lit(0)), ["_one"], id_col, seed)
     quota = F.lit(g // n_min) + (F.col("_rank") < F.lit(g % n_min)).cast("long")
     base = ranked.withColumn("_quota", quota)
@@ -175,17 +174,18 @@ def adasyn(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = K_NEIG
     g = n_maj - n_min
     all_nbrs = knn(df, id_col, vec_col, k)
     lab = df.select(F.col(id_col).cast("long").alias("nid"), F.col(label).alias("_nl"))
-    ratio = cut_lineage(all_nbrs.join(lab, "nid").groupBy("id")
-                        .agg((F.sum((F.col("_nl") != minority).cast("double")) / F.lit(float(k))).alias("_r")))
+    ratio = (all_nbrs.join(lab, "nid").groupBy("id")
+             .agg((F.sum((F.col("_nl") != minority).cast("double")) / F.lit(float(k))).alias("_r")))
     mino = df.filter(F.col(label) == minority)
-    m = mino.join(ratio.withColumnRenamed("id", id_col), id_col, "left").fillna(0.0, ["_r"])
+    # read for the total, the quotas and the vectors: the neighbours of all rows are searched once
+    m = cut_lineage(mino.join(ratio.withColumnRenamed("id", id_col), id_col, "left").fillna(0.0, ["_r"]))
     total = m.agg(F.sum("_r")).first()[0] or 0.0
     if total == 0:
         quota = F.lit(0).cast("long")
     else:
         quota = F.bround(F.col("_r") / F.lit(total) * F.lit(float(g)), 0).cast("long")
     base = m.withColumn("_quota", quota)
-    nbrs = cut_lineage(knn(mino, id_col, vec_col, k))
+    nbrs = knn(mino, id_col, vec_col, k)
     synth = _interpolate(base, nbrs, id_col, vec_col, label, minority, k, seed)
     orig = df.select(F.col(id_col).cast("long").alias(id_col), label, F.col(vec_col).cast("array<double>").alias(vec_col),
                      F.lit(False).alias("synthetic"), F.lit(None).cast("long").alias("source_id"),

@@ -46,14 +46,21 @@ def test_a_phrase_is_one_row_and_its_known_words(spark):
         (0, False, 0, 0, 1), (0, False, 0, 1, 0), (0, False, 0, 1, 0), (0, True, 6, 0, 0), (1, True, 0, 0, 0)]
 
 
-def test_samplers_find_neighbours_once(spark):
+def test_adasyn_searches_all_rows_once(spark):
     rng = np.random.default_rng(11)
     df = spark.createDataFrame([(i, int(i % 4 == 0), [float(x) for x in rng.normal(size=3)]) for i in range(60)], "id long, cls int, vec array<double>")
+    searches = []
     for sampler in (Sm.smote, Sm.adasyn):
         out = sampler(df, "id", "vec", "cls", k=3)
-        # the plan reads stored neighbours in each of its joins: no search is left in it
-        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+        searches.append(out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas"))
         assert out.filter("synthetic").count() > 0
+    assert searches[0] == searches[1]      # what is left in the plan is the search within the minority, as in SMOTE
+
+
+def test_adasyn_of_a_null_minority_searches_nothing(spark):
+    rows = [(i, None if i < 3 else i % 2, [float(i)] * (1 + i % 2)) for i in range(20)]       # vectors of two lengths
+    out = Sm.adasyn(spark.createDataFrame(rows, "id long, cls int, vec array<double>"), "id", "vec", "cls")
+    assert out.count() == 20 and out.filter("synthetic").count() == 0
 
 
 def test_variant_report_scores_once_and_equals_separate_reports(spark):
