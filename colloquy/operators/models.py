@@ -30,10 +30,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import checkpoint_dir, cut_lineage, write_stage
+from colloquy.operators import trees as Tr
+from colloquy.session import checkpoint_dir, cut_lineage, discard, write_stage
 
 SEED = 42
 
@@ -128,6 +129,8 @@ class CompositeModel(Model, MLWritable, MLReadable):
 # --- forests in groups of trees ----------------------------------------------------------------------------
 
 TREE_ROWS = 1 << 21     #: rows times trees (or nodes, of shallow trees) that are grown and held at once
+SHALLOW_DEPTH = 10      #: trees up to it have so few nodes that Spark grows them in some passes
+BOOST_ROWS = 1 << 13    #: rows up to which Spark grows the deep trees of a boosted model
 
 
 class ForestModel(CompositeModel):
@@ -176,10 +179,68 @@ class ForestModel(CompositeModel):
         return df.withColumn(self.predictionCol, best.cast("double")).drop("_votes")
 
 
+class TreeTableModel(CompositeModel):
+    """Trees of :mod:`colloquy.operators.trees`, kept as a table of their pieces below the shared folder (``path``)."""
+
+    def __init__(self, path, cuts, sizes, n_classes, featuresCol="features", predictionCol="prediction"):
+        super().__init__()
+        self.path, self.cuts, self.sizes, self.n_classes = path, cuts, sizes, n_classes
+        self.featuresCol, self.predictionCol = featuresCol, predictionCol
+
+    def values(self) -> dict:
+        return {"cuts": self.cuts, "sizes": self.sizes, "n_classes": self.n_classes, "featuresCol": self.featuresCol, "predictionCol": self.predictionCol}
+
+    def parts(self) -> list:
+        return [self.path]
+
+    @staticmethod
+    def table(spark, path: str) -> DataFrame:
+        return spark.read.schema(Tr.PIECE).option("recursiveFileLookup", True).parquet(path)
+
+    def save_parts(self, path: str) -> None:
+        spark = SparkSession.active()
+        self.table(spark, self.path).write.parquet(f"{path}/parts/0")
+
+    @classmethod
+    def load_parts(cls, paths: list[str], spark) -> list:
+        return paths
+
+    @classmethod
+    def restore(cls, values: dict, parts: list):
+        return cls(*parts, **values)
+
+    def voted(self, dataset: DataFrame, weights: list[float], whole: bool) -> DataFrame:
+        return Tr.with_votes(dataset, self.featuresCol, [np.array(c) for c in self.cuts], self.table(dataset.sparkSession, self.path),
+                             self.sizes, self.n_classes, weights, whole)
+
+
+class GrownForestModel(TreeTableModel):
+    """A forest whose class probabilities are the mean of its leaves' shares."""
+
+    def __init__(self, path, cuts, sizes, n_classes, importances, featuresCol="features", predictionCol="prediction"):
+        super().__init__(path, cuts, sizes, n_classes, featuresCol, predictionCol)
+        self.importances = importances
+
+    def values(self) -> dict:
+        return super().values() | {"importances": self.importances}
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        return DenseVector(self.importances)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        n = float(len(self.sizes))
+        df = self.voted(dataset, [1.0] * len(self.sizes), whole=False)
+        df = df.withColumn("probability", array_to_vector(F.transform("_votes", lambda v: v / F.lit(n))))
+        best = F.array_position("_votes", F.array_max("_votes")) - 1
+        return df.withColumn(self.predictionCol, best.cast("double")).drop("_votes")
+
+
 class Forest(Estimator):
     """A random forest of deep trees, whose nodes grow with the rows.
 
-    A forest of at most ``tree_rows`` rows times trees is Spark's own. A larger one is grown by Spark in groups of
+    A forest of at most ``tree_rows`` rows times trees is Spark's own. A larger one of deep trees is grown by
+    :mod:`colloquy.operators.trees`, one of shallow trees by Spark in groups of
     trees of that size (one tree at least), each with a seed of its own and stored before the next.
     """
 
@@ -198,6 +259,8 @@ class Forest(Estimator):
         at_once = max(1, (self.tree_rows or TREE_ROWS) // max(1, nodes))
         if at_once >= self.num_trees:
             return self.group(self.num_trees, SEED).fit(dataset)
+        if self.max_depth > SHALLOW_DEPTH:
+            return self._grown(dataset)
         folder = f"{checkpoint_dir(dataset.sparkSession).rstrip('/')}/forest-{uuid.uuid4().hex}"
         paths, sizes, importances, grown, k = [], [], 0.0, 0, 0
         for i, at in enumerate(range(0, self.num_trees, at_once)):
@@ -211,6 +274,29 @@ class Forest(Estimator):
         return ForestModel(paths, sizes, (importances / max(1, grown)).tolist(), k, self.featuresCol)
 
 
+    def _grown(self, dataset: DataFrame) -> GrownForestModel:
+        rows = tree_rows(dataset, self.featuresCol, self.labelCol, F.col(self.weight_col) if self.weight_col else F.lit(1.0))
+        cuts = Tr.cuts_of(rows)
+        stored = Tr.stored_chunks(rows, cuts)
+        n, top = rows.agg(F.count("*"), F.max("y")).first()
+        k, path = int(top) + 1, f"{checkpoint_dir(dataset.sparkSession).rstrip('/')}/trees-{uuid.uuid4().hex}"
+        for pieces in Tr.grow_trees(stored, n, k, len(cuts), list(range(self.num_trees)), self.max_depth, Tr.sqrt_of(len(cuts)), SEED,
+                                    lambda c, t: c.w * np.random.default_rng([SEED, t, c.number]).poisson(1.0, len(c.y))):
+            pieces.write.mode("append").parquet(path)
+        discard(stored)
+        sizes, gains = [0] * self.num_trees, np.zeros((self.num_trees, len(cuts)))
+        for r in TreeTableModel.table(dataset.sparkSession, path).select("tree", "nodes", "gains").toLocalIterator():
+            sizes[r["tree"]] += r["nodes"]
+            gains[r["tree"]] += np.frombuffer(r["gains"])
+        gains = gains[gains.sum(1) > 0]         # a tree without a split has no importances
+        importances = (gains / gains.sum(1, keepdims=True)).mean(0) if len(gains) else np.zeros(len(cuts))
+        return GrownForestModel(path, [c.tolist() for c in cuts], sizes, k, importances.tolist(), self.featuresCol)
+
+
+def tree_rows(df: DataFrame, features: str, label: str, weight) -> DataFrame:
+    return df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), weight.cast("double").alias("w"))
+
+
 # --- AdaBoost (SAMME) ------------------------------------------------------------------------------------
 
 class AdaBoostModel(CompositeModel):
@@ -238,25 +324,47 @@ class AdaBoostModel(CompositeModel):
             df = tree.transform(df).drop(f"_r{i}", f"_q{i}")
             df = df.withColumn("_score", F.transform("_score", lambda s, j: s + F.when(
                 F.col(col).cast("int") == j, F.lit(alpha)).otherwise(F.lit(0.0)))).drop(col)
-        total = float(sum(self.alphas)) or 1.0
-        proba = F.transform("_score", lambda s: F.exp(s / F.lit(total) / F.lit(float(max(k - 1, 1)))))
-        df = df.withColumn("_e", proba)
-        df = df.withColumn("probability_array", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)))
-        best = F.array_position("_score", F.array_max("_score")) - 1
-        return df.withColumn(self.predictionCol, best.cast("double")).drop("_score", "_e")
+        return _boosted(df, self.alphas, k, self.predictionCol)
+
+
+def _boosted(df: DataFrame, alphas: list[float], k: int, prediction: str) -> DataFrame:
+    """Probabilities and class from ``_score``, the weights of the trees that vote for each class."""
+    total = float(sum(alphas)) or 1.0
+    proba = F.transform("_score", lambda s: F.exp(s / F.lit(total) / F.lit(float(max(k - 1, 1)))))
+    df = df.withColumn("_e", proba)
+    df = df.withColumn("probability_array", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)))
+    best = F.array_position("_score", F.array_max("_score")) - 1
+    return df.withColumn(prediction, best.cast("double")).drop("_score", "_e")
+
+
+class GrownBoostModel(TreeTableModel):
+    """AdaBoost over trees of :mod:`colloquy.operators.trees`: scores as :class:`AdaBoostModel` does."""
+
+    def __init__(self, path, cuts, sizes, n_classes, alphas, featuresCol="features", predictionCol="prediction"):
+        super().__init__(path, cuts, sizes, n_classes, featuresCol, predictionCol)
+        self.alphas = alphas
+
+    def values(self) -> dict:
+        return super().values() | {"alphas": self.alphas}
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        df = self.voted(dataset, self.alphas, whole=True).withColumnRenamed("_votes", "_score")
+        return _boosted(df, self.alphas, self.n_classes, self.predictionCol)
 
 
 class AdaBoostClassifier(Estimator):
     """SAMME boosting of weighted decision trees (50 rounds, rate 0.01 by default).
 
     Trees grow to ``max_depth`` (30 is Spark's bound for unbounded ones). ``balanced_trees`` multiplies the weights that a
-    tree learns from by n / (classes * n_c); the boosting error keeps the plain ones.
+    tree learns from by n / (classes * n_c); the boosting error keeps the plain ones. Deep trees of more than ``boost_rows`` rows are grown by
+    :mod:`colloquy.operators.trees`, others by Spark.
     """
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 0.01, max_depth: int = 30,
                  featuresCol: str = "features", labelCol: str = "label", weightCol: str | None = None,
-                 checkpoint_every: int = 5, balanced_trees: bool = False):
+                 checkpoint_every: int = 5, balanced_trees: bool = False, boost_rows: int | None = None):
         super().__init__()
+        self.boost_rows = boost_rows
         self.n_estimators, self.learning_rate, self.max_depth = n_estimators, learning_rate, max_depth
         self.checkpoint_every, self.balanced_trees = max(1, checkpoint_every), balanced_trees
         self.featuresCol, self.labelCol, self.weightCol = featuresCol, labelCol, weightCol
@@ -272,6 +380,8 @@ class AdaBoostClassifier(Estimator):
         w0 = F.col(self.weightCol) if self.weightCol else F.lit(1.0)
         df = dataset.select(self.featuresCol, lab, w0.cast("double").alias("_w"))
         total = df.agg(F.sum("_w")).first()[0]
+        if self.max_depth > SHALLOW_DEPTH and sum(counts.values()) > (self.boost_rows or BOOST_ROWS):
+            return self._grown(df.withColumn("_w", F.col("_w") / F.lit(total)), counts)
         df = cut_lineage(df.withColumn("_w", F.col("_w") / F.lit(total)))
         trees, alphas, scored = [], [], []
         for t in range(self.n_estimators):
@@ -307,6 +417,41 @@ class AdaBoostClassifier(Estimator):
             old.unpersist()
         return AdaBoostModel(trees, alphas, int(k), self.featuresCol)
 
+    def _grown(self, df: DataFrame, counts: dict) -> GrownBoostModel:
+        spark, n, k = df.sparkSession, sum(counts.values()), len(counts)
+        classes = max(k, int(max(counts)) + 1)
+        factors = np.ones(classes)
+        if self.balanced_trees:
+            for y, n_y in counts.items():
+                factors[int(y)] = n / (k * n_y)
+        rows = tree_rows(df, self.featuresCol, self.labelCol, F.col("_w"))
+        cuts = Tr.cuts_of(rows)
+        stored = Tr.stored_chunks(rows, cuts)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+        alphas, sizes, alpha, scale = [], [], 0.0, 1.0
+        for t in range(self.n_estimators):
+            # a row's weight: what it was in the last round, raised where that round's tree was wrong
+            weight = lambda c, alpha=alpha, scale=scale: c.w * np.exp(alpha * c.miss) / scale
+            for pieces in Tr.grow_trees(stored, n, classes, len(cuts), [t], self.max_depth, len(cuts), SEED, lambda c, _: weight(c) * factors[c.y]):  # noqa: B023
+                pieces.write.mode("append").parquet(f"{path}/{t}")
+            (tree,) = Tr.load(TreeTableModel.table(spark, f"{path}/{t}"), [t])
+            scored = Tr.scored_chunks(stored, tree, weight)
+            discard(stored)
+            stored = scored
+            mass, missed = stored.agg(F.sum("mass"), F.sum("missed")).first()
+            err = missed / mass
+            if err >= 1.0 - 1.0 / k and err > 0 and alphas:
+                break
+            sizes.append(len(tree.feature))
+            if err <= 0 or err >= 1.0 - 1.0 / k:
+                alphas.append(1.0)
+                break
+            alpha = self.learning_rate * (math.log((1.0 - err) / err) + math.log(k - 1))
+            scale = mass - missed + missed * math.exp(alpha)
+            alphas.append(alpha)
+        discard(stored)
+        return GrownBoostModel(path, [c.tolist() for c in cuts], sizes, classes, alphas, self.featuresCol)
+
 
 # --- sigmoid-kernel SVM --------------------------------------------------------------------------------------
 
